@@ -84,7 +84,7 @@ def parse(page: str) -> Node:
         tag = name[1].lower()
         if raw[1] == "/":
             if tag not in ("html", "body"):
-                at = closed(at, {tag}, {"td", "th", "table"} - {tag} if tag not in BLOCK else ())
+                at = closed(at, {tag}, BLOCK if tag not in BLOCK else ())
             continue
         if tag == "html":
             continue
