@@ -43,11 +43,6 @@ def rolled(data: np.ndarray, k: int, p: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _rolled(data, k, p):
-    """As rolled(), with one weight for each part of k whatever the order of the parts."""
-    return rolled(data, k, p)
-
-
 def minimizers(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the leftmost least gram of every window."""
     h, w = rolled(data, gram, P1), length - gram + 1
