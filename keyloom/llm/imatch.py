@@ -4,7 +4,8 @@ Terms are runs of letters and digits, lower-cased, as 32-bit hashes. The lexicon
 share of documents lies in [low, high] and that occur in two documents at least; it has at most
 (mean distinct terms of a document) / low terms, which bounds what is broadcast. A fingerprint is
 `subsets` hashes: of the sorted distinct lexicon terms, and of those that randomised subsets of the
-lexicon keep. A text without lexicon terms is hashed over all its terms. Likeness is the share of
+lexicon keep: all, a half, a quarter and so on, so that some subset holds only a few terms of any
+text. A subset without terms of a text is hashed over all its terms instead. Likeness is the share of
 equal hashes. Null and empty texts share one fingerprint; repeated rows each give a row.
 
 The next document comes from a window over ranges of doc_id, to each of which the first row of the
@@ -49,21 +50,22 @@ def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
     return df.where((F.col("count") >= max(2, low * n)) & (F.col("count") <= max(2, high * n))).select("term")
 
 
-def fingerprints(docs: DataFrame, subsets: int = 8, low: float = 0.0005, high: float = 0.1) -> DataFrame:
+def fingerprints(docs: DataFrame, subsets: int = 24, low: float = 0.0005, high: float = 0.1) -> DataFrame:
     lex = written(lexicon(docs, low, high), "imatch-lexicon")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next", F.lit(1), half)))
     own, changed = F.col("own"), F.col("changed")
-    rows = rows.select("b", "r", "nb", "nr", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("changed"))
-    spread = rows.select(
-        "b", "r", "nb", "nr", "doc_id", "n_chars", "edited_sha256",
-        F.xxhash64(F.array_sort(own)).alias("all_own"), F.xxhash64(F.array_sort(changed)).alias("all_changed"),
-        F.explode_outer(F.concat(
+    place = ["b", "r", "nb", "nr", "doc_id", "n_chars", "edited_sha256"]
+    rows = rows.select(*place[:6], F.sha2("edited", 256).alias("edited_sha256"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("changed"))
+    rows = rows.select(
+        *place, F.xxhash64(F.sort_array(own)).alias("all_own"), F.xxhash64(F.sort_array(changed)).alias("all_changed"),
+        F.concat(
             F.transform(own, lambda x: F.struct(x.alias("term"), F.lit(True).alias("o"))),
             F.transform(changed, lambda x: F.struct(x.alias("term"), F.lit(False).alias("o"))),
-        )).alias("x"),
-    ).select("*", "x.term", "x.o").drop("x")
+        ).alias("x"),
+    )
+    spread = rows.select(*place, "all_own", "all_changed", F.explode_outer("x").alias("x")).select(*place, "all_own", "all_changed", "x.term", "x.o")
     kept = spread.join(F.broadcast(lex.withColumn("kept", F.lit(True))), "term", "left")
     listed = kept.groupBy("b", "r").agg(
         *[F.first(c).alias(c) for c in ("nb", "nr", "doc_id", "n_chars", "edited_sha256", "all_own", "all_changed")],
@@ -73,8 +75,9 @@ def fingerprints(docs: DataFrame, subsets: int = 8, low: float = 0.0005, high: f
 
     def prints(c, whole):
         def one(k):
-            part = c if k == 0 else F.filter(c, lambda x: F.pmod(F.xxhash64(x, F.lit(k)), F.lit(3)) != 0)
-            return F.lower(F.lpad(F.hex(F.when(F.size(c) == 0, F.xxhash64(whole, F.lit(k))).otherwise(F.xxhash64(F.array_sort(part), F.lit(k)))), 16, "0"))
+            keep = 1 << (k % 8 + (k >= 8))
+            part = c if keep == 1 else F.filter(c, lambda x: F.pmod(F.xxhash64(x, F.lit(k)), F.lit(keep)) == 0)
+            return F.lower(F.lpad(F.hex(F.when(F.size(part) == 0, F.xxhash64(whole, F.lit(k))).otherwise(F.xxhash64(F.sort_array(part), F.lit(k)))), 16, "0"))
 
         return F.array(*[one(k) for k in range(subsets)])
 
