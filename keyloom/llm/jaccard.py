@@ -136,7 +136,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, hot: int
         both = pairs.join(held.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         return written(both.select("a", "b", "set_a", "set_b").mapInPandas(probe, "a long, b long"), f"{tag}-links")
 
-    to_head = lists.where((F.col("id") != F.col("head.id")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.id").alias("a"), F.col("id").alias("b"))
+    # One head for each record; lists that it leaves open are paired below.
+    to_head = lists.where((F.col("id") != F.col("head.id")) & fits(F.col("n"), F.col("head.n"))).groupBy(F.col("id").alias("b")).agg(F.min("head.id").alias("a")).select("a", "b")
     links = verified(to_head, "jaccard-head")
     comp = components(links)
     named = lists.select("s", "id", "n").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
