@@ -63,17 +63,16 @@ def ambiguity(counts: DataFrame) -> DataFrame:
 
 
 def fnv(c) -> object:
-    """Signed FNV-1a 64 of the UTF-8 bytes, in decimals so that nothing overflows."""
-    hexed = F.hex(F.encode(c, "UTF-8"))
-    octets = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("int"))
+    """Signed FNV-1a 64 over the code points (whole, not bytes), in decimals so that nothing overflows."""
+    units = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x))
 
     def step(h, b):
-        low = F.pmod(h, F.lit(256).cast("decimal(38,0)")).cast("int")
+        low = F.pmod(h, F.lit(65536).cast("decimal(38,0)")).cast("int")
         mixed = (h - low.cast("decimal(20,0)") + low.bitwiseXOR(b).cast("decimal(20,0)")).cast("decimal(20,0)")
         wide = F.pmod(mixed * F.lit("435").cast("decimal(3,0)") + F.pmod(mixed, F.lit("16777216").cast("decimal(20,0)")) * F.lit("1099511627776").cast("decimal(14,0)"), F.lit("18446744073709551616").cast("decimal(20,0)"))
         return wide.cast("decimal(20,0)")
 
-    h = F.aggregate(octets, F.lit("14695981039346656037").cast("decimal(20,0)"), step)
+    h = F.aggregate(units, F.lit("14695981039346656037").cast("decimal(20,0)"), step)
     return F.when(h >= F.lit("9223372036854775808").cast("decimal(20,0)"), h - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(h).cast("long")
 
 

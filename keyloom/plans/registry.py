@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.functions import keypad
-from keyloom.operators import align, corpus, evaluate, lexicon, presses
+from keyloom.operators import align, corpus, decode, evaluate, lexicon, presses
 from keyloom.sources.tables import lines, table
+from keyloom.streaming import words
 
 DAY = 86_400_000
 
@@ -96,6 +97,20 @@ def _fragments(s, d, n=4):
     return g.select("doc_id", "pos", "part", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("fragment"))
 
 
+def _spoken(s, d):
+    c = table(s, d, "conversations")
+    t = c.select(F.col("conv_id").alias("user_id"), "turn", F.posexplode(F.split(keypad.normalise(F.regexp_replace("text", "\n", " ")), " ")).alias("i", "word"))
+    return t.where("word <> ''").where(keypad.sequence_of(F.col("word")).isNotNull()).select("user_id", (F.col("turn") * 1_000_000 + F.col("i")).alias("at"), "word")
+
+
+def _decoded(s, d):
+    """The first three words of every user's turn, decoded."""
+    c = table(s, d, "conversations").where("role = 'user'")
+    said = F.slice(F.filter(F.split(keypad.normalise(F.regexp_replace("text", "\n", " ")), " "), lambda w: keypad.sequence_of(w).isNotNull() & (w != "")), 1, 3)
+    asked = c.select(keypad.phrase_sequence(F.array_join(said, " ")).alias("keys")).where("keys <> ''").distinct()
+    return decode.decode(asked, {"en": (1.0, _lex(s, d))})
+
+
 def _balance(s, d):
     keys = corpus.tokens(_docs(s, d)).where("seq is not null").select(F.explode(F.split("seq", "")).alias("key")).where("key <> ''")
     return keys.groupBy("key").agg(F.count("*").alias("n"))
@@ -133,6 +148,10 @@ QUERIES = {
     "o41_alignment": (lambda s, d: align.aligned(_typed(s, d)), None),
     "o21_error_counts": (lambda s, d: align.error_counts(align.aligned(_typed(s, d))), None),
     "o23_confusion": (lambda s, d: align.confusion(align.aligned(_typed(s, d))), None),
+    "o30_user_words": (lambda s, d: lexicon.user_words(_spoken(s, d)), f"""with w as (select conv_id user_id, unnest(list_filter(string_split({NORM.format("replace(text, chr(10), ' ')")}, ' '), lambda w: w <> '')) word from conversations)
+        select user_id, word, least(count(*), 1000) uses from w where {SEQ.format('word')} is not null group by all"""),
+    "o58_learn": (lambda s, d: words.folded(_spoken(s, d), 50), None),
+    "o42_decode": (_decoded, None),
     "o46_exact_reading": (lambda s, d: lexicon.exact_reading(_typed(s, d).select(F.col("wanted").alias("keys")).distinct(), _lex(s, d)), None),
     "o50_multitap": (lambda s, d: presses.multitap(presses.presses(table(s, d, "events")), 30 * DAY), f"""with {PRESSES}, f as (select *, case when digit = lag(digit) over w and ms - lag(ms) over w <= {30 * DAY} then 0 else 1 end new from presses window w as (partition by user_id order by ms, event_id)),
         r as (select *, cast(sum(new) over (partition by user_id order by ms, event_id) as bigint) run from f), g as (select user_id, run, min(digit) digit, count(*) n from r group by user_id, run)
