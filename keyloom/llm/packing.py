@@ -16,6 +16,7 @@ import bisect
 import re
 import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,33 +33,39 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 PLAIN = re.compile("[\x1c-\x1f\x85Σİ᠎​]|<\\|")
 
 
-class Tokens:
-    """Ids of a vocabulary file; pre-tokens are encoded by the library once and kept, up to a bound."""
+# Texts of these characters alone split alike by this simpler pattern, and are in composed form.
+LATIN = re.compile(r"[^\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ſ]")
+LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
+
+
+class Tokens(dict):
+    """Pre-token to ids of a vocabulary file; each is encoded by the library once and kept, up to a bound."""
 
     KEEP = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.lib, self.kept = Tokenizer.from_file(path), {}
+        super().__init__()
+        self.lib = Tokenizer.from_file(path)
 
-    def _new(self, word: str) -> list[int]:
-        if len(self.kept) >= self.KEEP:
-            self.kept.clear()
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= self.KEEP:
+            self.clear()
         ids = self.lib.encode(word, add_special_tokens=False).ids
         if len(word) < 64:
-            self.kept[word] = ids
+            self[word] = ids
         return ids
 
     def ids(self, text: str) -> np.ndarray:
         if PLAIN.search(text):
             out = self.lib.encode(text, add_special_tokens=False).ids
             return np.array([*out, END], dtype="<u4")
-        get, out = self.kept.get, []
-        for w in SPLIT.findall(unicodedata.normalize("NFC", text).lower()):
-            out += get(w) or self._new(w)
-        out.append(END)
-        return np.array(out, dtype="<u4")
+        if LATIN.search(text):
+            words = SPLIT.findall(unicodedata.normalize("NFC", text).lower())
+        else:
+            words = LATIN_SPLIT.findall(text.lower())
+        return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, words)), (END,)), dtype="<u4")
 
 
 class Windows:
