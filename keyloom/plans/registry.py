@@ -122,6 +122,12 @@ QUERIES = {
         select doc_id, pos, lang, line, used from sized where used < 200000"""),
     "o07_normalise": (lambda s, d: corpus.normalised(_docs(s, d)), f"with {LINES}, {NORMED} select doc_id, lang, pos, line from normed"),
     "o09_sequences": (_words, f"{BASE} select distinct word, seq from tokens"),
+    "o10_phrase_sequence": (lambda s, d: corpus.normalised(_docs(s, d)).select("doc_id", "pos", keypad.phrase_sequence(F.col("line")).alias("keys")).where("keys is not null"),
+        f"with {LINES}, {NORMED} select doc_id, pos, translate(lower(line), '{A} ', '{B}0') keys from normed where regexp_full_match(lower(line), '[{A} ]*')"),
+    "o20_pair_selection": (lambda s, d: corpus.pair_count(_docs(s, d), _lex(s, d)).where("n >= 3").orderBy(F.desc("n"), "prev", "word").limit(1000),
+        f"{LEX}, {PAIRS} select prev, word, n from pairs where n >= 3 order by n desc, prev, word limit 1000"),
+    "o63_word_delete": (lambda s, d: corpus.normalised(_docs(s, d)).select("doc_id", "pos", F.regexp_replace("line", r"\S+\s*$", "").alias("left")),
+        rf"with {LINES}, {NORMED} select doc_id, pos, regexp_replace(line, '\S+\s*$', '') as left from normed".replace("as left", 'as "left"')),
     "o12_pack": (lambda s, d: _words(s, d).where("seq is not null").select("word", keypad.packed(F.col("seq")).alias("packed")),
         f"{BASE} select distinct word, cast(('0x' || rpad(translate(seq[1:15], '23456789', '12345678'), 15, '0')) as bigint) packed from tokens where seq is not null"),
     "o13_case": (lambda s, d: _words(s, d).select("word", keypad.once(F.col("word")).alias("once"), F.upper("word").alias("locked")),
