@@ -22,7 +22,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keyloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # What is written is durable, so the shuffle files behind it go at once rather than at some later GC.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,8 +4,8 @@ Rows with equal shingle sets form a class; only its first row is joined. A recor
 shares at least T = ceil(share * |x|) shingles with it, so after leaving out x's T-1 longest lists
 the short ones must hold it: they are merged (a sort-merge join on the shingle), and the long ones
 are probed per candidate in sorted sets, as DivideSkip does. Lists count as long when more than
-max(hot, 1/5000 of the classes) records have them among their first shingles by hash; there are at
-most 5000 * (mean prefix length) of those, the bound of what is sent to the workers.
+max(hot, 1/5000 of the classes) rows have them among their first shingles by hash; there are at most
+5000 * (mean prefix length) * (rows / classes) of those, the bound of what is sent to the workers.
 
 Groups of near copies collapse first: every record of a list is verified against the list's first
 record, components are formed, and only lists that still span several components are paired further,
@@ -14,41 +14,75 @@ between components. No candidate is dropped. Texts without words link with nothi
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts, written
 
-SPACE = re.compile(r"[^\x20\x09-\x0D]+")
-UPPER = {c: c + 32 for c in range(65, 91)}
 MIX = np.uint64(0x9E3779B97F4A7C15)
+STEP = 0x100000001B3 | 0x5DEECE66 << 33
+CHUNK = 1 << 20  # bytes of text hashed at a time, more only for one longer text
+
+_bytes = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.uint64)
+_bytes[65:91] = _bytes[97:123]  # A-Z as a-z
+_space = np.zeros(256, bool)
+_space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _grown(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        inverse = pow(STEP, -1, 1 << 64)
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, p, np.uint64)])) for p in (STEP, inverse)]
+    return _powers
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def _chunk_sets(encoded: list[bytes], k: int) -> list[np.ndarray]:
+    data = np.frombuffer(b" ".join(encoded) + b" ", np.uint8)
+    up, down = _grown(len(data))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _space[data]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_bytes[data] * up[: len(data)])])
+    a = _mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    limits = np.searchsorted(start, np.cumsum([0] + [len(e) + 1 for e in encoded]))
 
+    def joined(words: np.ndarray, size: int) -> np.ndarray:
+        h = np.full(max(len(words) - size + 1, 0), size, np.uint64)
+        for j in range(size if len(h) else 0):
+            h = (h ^ words[j : j + len(h)]) * MIX
+            h ^= h >> np.uint64(29)
+        return h
 
-def shingles(text: str, k: int, kept: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles (of the whole sequence where shorter)."""
-    words = SPACE.findall(text.translate(UPPER))
-    if not words:
-        return np.zeros(0, np.int64)
-    ids = []
-    for w in words:
-        h = kept.get(w)
-        if h is None:
-            if len(kept) > 500_000:
-                kept.clear()
-            h = kept[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        ids.append(h)
-    a = np.array(ids, np.uint64)
-    k = min(k, len(a))
-    h = np.full(len(a) - k + 1, k, np.uint64)
-    for j in range(k):
-        h = (h ^ a[j : len(a) - k + 1 + j]) * MIX
-        h ^= h >> np.uint64(29)
-    return np.unique(h.view(np.int64))
+    whole = joined(a, k)
+    out = []
+    for lo, hi in zip(limits[:-1], limits[1:]):
+        n = hi - lo
+        h = whole[lo : hi - k + 1] if n >= k else joined(a[lo:hi], int(n)) if n else np.zeros(0, np.uint64)
+        out.append(np.unique(h.view(np.int64)))
+    return out
+
+
+def shingle_sets(texts_, k: int):
+    """Sorted distinct 64-bit hashes of the k-word shingles (of the whole sequence where shorter) of each text."""
+    held, size = [], 0
+    for t in texts_:
+        e = t.encode("utf-8", "surrogatepass")
+        if held and size + len(e) > CHUNK:
+            yield from _chunk_sets(held, k)
+            held, size = [], 0
+        held.append(e)
+        size += len(e) + 1
+    if held:
+        yield from _chunk_sets(held, k)
 
 
 def prefix(s: np.ndarray, long_lists: np.ndarray, percent: int) -> np.ndarray:
@@ -75,69 +109,139 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = 64) -> DataFrame:
+def packed(tokens: np.ndarray, buckets: int, *columns: np.ndarray) -> pd.DataFrame:
+    """One row per bucket of tokens: the bytes of the tokens and of the columns beside them."""
+    bucket = (tokens.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    rows = []
+    for k in range(buckets):
+        at = order[bounds[k] : bounds[k + 1]]
+        if len(at):
+            rows.append((k, *[c[at].tobytes() for c in (tokens, *columns)]))
+    return pd.DataFrame(rows, columns=["bucket", *"abc"[: 1 + len(columns)]])
+
+
+def token_counts(sets: DataFrame, buckets: int, more_than: int, flush: int = 1 << 20) -> DataFrame:
+    """Tokens that lie in the prefixes of more than so many rows; counted per task before the exchange."""
+
+    def spread(frames):
+        held, size = [], 0
+        for f in frames:
+            held += list(f["prefix"])
+            size += sum(map(len, f["prefix"]))
+            if size >= flush:
+                yield packed(*(lambda u, c: (u, buckets, c.astype("<u4")))(*np.unique(np.concatenate(held), return_counts=True)))
+                held, size = [], 0
+        if size:
+            yield packed(*(lambda u, c: (u, buckets, c.astype("<u4")))(*np.unique(np.concatenate(held), return_counts=True)))
+
+    def total(f: pd.DataFrame) -> pd.DataFrame:
+        u, back = np.unique(np.frombuffer(b"".join(f["a"]), "<i8"), return_inverse=True)
+        n = np.bincount(back, np.frombuffer(b"".join(f["b"]), "<u4"))
+        return pd.DataFrame({"s": u[n > more_than]})
+
+    return sets.select("prefix").mapInPandas(spread, "bucket int, a binary, b binary").groupBy("bucket").applyInPandas(total, "s long")
+
+
+def shared_lists(order: DataFrame, buckets: int, flush: int = 1 << 20, often: int = 64) -> DataFrame:
+    """(s, id, n) of the tokens that two rows or more have.
+
+    Entries travel packed, in buckets of tokens. A token that one flush of a task holds `often` times
+    is known to be shared: its entries skip the meeting place, where one marker (n = 0) stands for them.
+    """
+
+    def sent(held: list, count: int):
+        tok = np.concatenate([h[2] for h in held])
+        size = [len(h[2]) for h in held]
+        ids, ns = (np.repeat(np.array([h[i] for h in held], np.int64), size) for i in (0, 1))
+        u, back, n = np.unique(tok, return_inverse=True, return_counts=True)
+        hot = n[back] >= often
+        marks = u[n >= often]
+        nothing = np.zeros(len(marks), np.int64)
+        yield packed(np.concatenate([tok[~hot], marks]), buckets, np.concatenate([ids[~hot], nothing]), np.concatenate([ns[~hot], nothing])).assign(known=False)
+        tok, ids, ns = tok[hot], ids[hot], ns[hot]
+        for i in range(0, len(tok), 1 << 16):
+            part = [c[i : i + (1 << 16)].tobytes() for c in (tok, ids, ns)]
+            yield pd.DataFrame([(buckets + (count * 31 + i) % (4 * buckets), *part, True)], columns=["bucket", "a", "b", "c", "known"])
+
+    def spread(frames):
+        held, size, count = [], 0, TaskContext.get().partitionId() * 1009
+        for f in frames:
+            for d, n, p in zip(f["doc_id"], f["n"], f["prefix"]):
+                held.append((d, n, p))
+                size += len(p)
+                if size >= flush:
+                    yield from sent(held, count)
+                    held, size, count = [], 0, count + 1
+        if size:
+            yield from sent(held, count)
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        tok, ids, ns = (np.frombuffer(b"".join(f[c]), "<i8") for c in "abc")
+        if not f["known"].iloc[0]:
+            _, back, n = np.unique(tok, return_inverse=True, return_counts=True)
+            marked = np.zeros(len(n), bool)
+            marked[back[ns == 0]] = True
+            keep = ((n > 1) | marked)[back] & (ns > 0)
+            tok, ids, ns = tok[keep], ids[keep], ns[keep]
+        return pd.DataFrame({"s": tok, "id": ids, "n": ns})
+
+    return order.mapInPandas(spread, "bucket int, a binary, b binary, c binary, known boolean").groupBy("bucket").applyInPandas(meet, "s long, id long, n long")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = 64, bucket_tokens: int = 400_000) -> DataFrame:
     t = texts(docs)
 
     def first(frames):
-        kept, none = {}, np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
         for f in frames:
             rows = []
-            for d, text in zip(f["doc_id"], f["text"]):
-                s = shingles(text, k, kept)
+            for d, s in zip(f["doc_id"], shingle_sets(f["text"], k)):
                 x = xxhash.xxh3_128_intdigest(s.tobytes())
                 rows.append((d, len(s), (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), prefix(s, none, percent)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "x", "y", "prefix"])
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "x", "y", "prefix"]).astype({"doc_id": "Int64"})
 
     signed = written(t.mapInPandas(first, "doc_id long, n long, x long, y long, prefix array<long>"), "jaccard-sets")
     reps = written(signed.where("n > 0").groupBy("x", "y").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
-    many = max(hot, reps.count() // 5000)
+    classes, tokens = reps.count(), signed.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    many, buckets = max(hot, classes // 5000), int(max(12, tokens // bucket_tokens))
     rep_ids = reps.select(F.col("rep").alias("doc_id"))
-    counted = signed.where("n > 0").select("doc_id", F.explode("prefix").alias("s")).join(rep_ids, "doc_id", "left_semi").groupBy("s").count()
-    long_lists = np.sort(np.array([r[0] for r in counted.where(F.col("count") > many).select("s").collect()], np.int64))
+    long_lists = np.sort(np.array([r[0] for r in written(token_counts(signed.where("n > 0"), buckets, many), "jaccard-long").collect()], np.int64))
     at = t.sparkSession.sparkContext.broadcast(long_lists)
 
     def second(frames):
-        kept = {}
         for f in frames:
-            rows = []
-            for d, text in zip(f["doc_id"], f["text"]):
-                s = shingles(text, k, kept)
-                rows.append((d, len(s), prefix(s, at.value, percent)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "prefix"])
+            rows = [(d, len(s), prefix(s, at.value, percent)) for d, s in zip(f["doc_id"], shingle_sets(f["text"], k))]
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "prefix"]).astype({"doc_id": "Int64"})
 
     order = t.mapInPandas(second, "doc_id long, n long, prefix array<long>") if len(long_lists) else signed.select("doc_id", "n", "prefix")
     # A repeated doc_id gives its rows once.
-    lists = order.where("n > 0").join(rep_ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("prefix").alias("s"))
-    lists = written(lists, "jaccard-lists")
-    heads = lists.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("head")).where("c > 1")
-    lists = written(lists.join(heads.select("s", "head"), "s"), "jaccard-short")
+    lists = written(shared_lists(order.where("n > 0").join(rep_ids, "doc_id", "left_semi"), buckets), "jaccard-lists")
+    heads = lists.groupBy("s").agg(F.min(F.struct("id", "n")).alias("head"))
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
+        """Pairs whose whole sets are near enough; texts, shorter than their sets, are what is exchanged."""
         pairs = written(pairs.distinct(), tag)
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-
-        def sets(frames):
-            kept = {}
-            for f in frames:
-                yield pd.DataFrame({"id": f["doc_id"], "set": [shingles(x, k, kept) for x in f["text"]]})
-
-        held = written(t.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(sets, "id long, set array<long>"), f"{tag}-sets")
 
         def probe(frames):
+            last, p = None, None
             for f in frames:
                 good = []
-                for p, q in zip(f["set_a"], f["set_b"]):
-                    p, q = (p, q) if len(p) <= len(q) else (q, p)
-                    i = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                    good.append(100 * i >= percent * (len(p) + len(q) - i))
+                for a, text, q in zip(f["a"], f["text_a"], shingle_sets(f["text_b"], k)):
+                    if (a, text) != last:
+                        last, p = (a, text), next(shingle_sets([text], k))
+                    i = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(q) else 0
+                    good.append(100 * i >= percent * (len(p) + len(q) - i) and i > 0)
                 yield f.loc[np.array(good, bool), ["a", "b"]]
 
-        both = pairs.join(held.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        return written(both.select("a", "b", "set_a", "set_b").mapInPandas(probe, "a long, b long"), f"{tag}-links")
+        left = t.join(pairs.select("a").distinct(), t["doc_id"] == F.col("a"), "left_semi").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+        right = pairs.join(t, pairs["b"] == t["doc_id"]).select("a", "b", F.col("text").alias("text_b"))
+        return written(right.join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(probe, "a long, b long").distinct(), f"{tag}-links")
 
     # One head for each record; lists that it leaves open are paired below.
-    to_head = lists.where((F.col("id") != F.col("head.id")) & fits(F.col("n"), F.col("head.n"))).groupBy(F.col("id").alias("b")).agg(F.min("head.id").alias("a")).select("a", "b")
+    to_head = lists.join(heads, "s").where((F.col("id") != F.col("head.id")) & fits(F.col("n"), F.col("head.n"))).groupBy(F.col("id").alias("b")).agg(F.min("head.id").alias("a")).select("a", "b")
     links = verified(to_head, "jaccard-head")
     comp = components(links)
     named = lists.select("s", "id", "n").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
