@@ -9,7 +9,8 @@ max(hot, 1/5000 of the classes) rows have them among their first shingles by has
 
 Groups of near copies collapse first: every record of a list is verified against the list's first
 record, components are formed, and only lists that still span several components are paired further,
-between components. No candidate is dropped. Texts without words link with nothing.
+between components: those that share enough of their first shingles to reach the required overlap.
+No pair that could link is dropped. Texts without words link with nothing.
 """
 
 from __future__ import annotations
@@ -241,7 +242,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, hot: int
         return written(right.join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(probe, "a long, b long").distinct(), f"{tag}-links")
 
     # One head for each record; lists that it leaves open are paired below.
-    to_head = lists.join(heads, "s").where((F.col("id") != F.col("head.id")) & fits(F.col("n"), F.col("head.n"))).groupBy(F.col("id").alias("b")).agg(F.min("head.id").alias("a")).select("a", "b")
+    to_head = lists.join(heads, "s").where((F.col("id") != F.col("head.id")) & fits(F.col("n"), F.col("head.n"))).groupBy(F.col("id").alias("b"), F.col("head.id").alias("a")).count()
+    to_head = to_head.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
     links = verified(to_head, "jaccard-head")
     comp = components(links)
     named = lists.select("s", "id", "n").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -249,7 +251,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, hot: int
     open_ = named.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
     named = named.join(open_, "s", "left_semi")
     other = named.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    between = named.join(other, "s").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("cb")) & fits(F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b")
+    between = named.join(other, "s").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("cb")) & fits(F.col("n"), F.col("nb"))).groupBy(F.col("id").alias("a"), "b", "n", "nb").count()
+    # Of two prefixes in one order, what the sets share beyond the one that ends first lies behind it, so
+    # `count` shared prefix tokens allow an overlap of count + max(n - |prefix|) at most.
+    behind = F.greatest(*[F.ceil(F.col(c) * percent / 100) - 1 for c in ("n", "nb")])
+    between = between.where((F.col("count") + behind) * (100 + percent) >= percent * (F.col("n") + F.col("nb"))).select("a", "b")
     comp = components(links.unionByName(verified(between, "jaccard-rest")))
     classes = signed.where("n > 0").select("doc_id", "n", "x", "y").join(reps, ["x", "y"]).join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     out = classes.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
