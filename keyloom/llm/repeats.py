@@ -5,7 +5,8 @@ Whole copies collapse first: of equal texts only the first row is searched. Two
 only windows around a minimizer value that occurs twice are candidates. Their starts are grouped by
 a 128-bit window hash with a map-side minimum, which holds for hot passages; every start that is not
 its group's first covers `length` bytes. Rows order by (doc_id, hash of the text), so repeated
-doc_ids have a defined first. Null and empty texts have nothing to remove.
+doc_ids have a defined first. Rows without doc_id are documents of their own that come before all
+others; inside they bear a number that no doc_id has. Null and empty texts have nothing to remove.
 """
 
 from __future__ import annotations
@@ -62,11 +63,18 @@ def minimizers(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np
     return found, h[found].view(np.int64)
 
 
+def unused_id(docs: DataFrame) -> int:
+    """A number below every doc_id, or above them where none is left below."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return 0 if low is None else low - 1 if low > -(1 << 63) else high + 1
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
-    t = texts(docs).withColumn("h", F.xxhash64("text")).withColumn("h2", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    none = F.lit(unused_id(docs)).cast("long")
+    t = texts(docs).withColumn("doc_id", F.coalesce("doc_id", none)).withColumn("h", F.xxhash64("text")).withColumn("h2", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     rows = t.select("doc_id", "h", "h2", F.octet_length("text").cast("long").alias("n_bytes"))
-    firsts = rows.groupBy("h", "h2").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes"))
-    firsts = written(firsts.select("h", "h2", F.col("first.doc_id").alias("doc_id"), "n", "n_bytes"), "repeats-first")
+    firsts = rows.groupBy("h", "h2").agg(F.min(F.struct("doc_id")).alias("first"), F.count_if(F.col("doc_id") == none).alias("n_null"), F.max("n_bytes").alias("n_bytes"))
+    firsts = written(firsts.select("h", "h2", F.col("first.doc_id").alias("doc_id"), "n_null", "n_bytes"), "repeats-first")
 
     def anchors(frames):
         for f in frames:
@@ -116,7 +124,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFr
 
     done = first_texts.join(later, ["doc_id", "h"], "left").mapInPandas(cut, "doc_id long, h long, h2 binary, n_removed long, n_spans long, kept_sha256 string")
     short = t.where(F.octet_length("text") < length).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    copies = rows.where(f"n_bytes >= {length}").join(firsts.select("h", "h2", F.col("doc_id").alias("first")), ["h", "h2"]).where("doc_id > first")
-    copies = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(NOTHING).alias("kept_sha256"))
+    copies = rows.where(f"n_bytes >= {length}").join(firsts.select("h", "h2", F.col("doc_id").alias("first")), ["h", "h2"]).where("doc_id > first").select("doc_id", "n_bytes")
+    # Of equal texts without doc_id one stands in firsts; the others are copies too.
+    unnamed = firsts.where((F.col("doc_id") == none) & F.expr(f"n_null > 1 and n_bytes >= {length}")).select("doc_id", "n_bytes", F.explode(F.sequence(F.lit(2).cast("long"), "n_null")))
+    copies = copies.unionByName(unnamed.select("doc_id", "n_bytes")).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(NOTHING).alias("kept_sha256"))
     kept = done.join(firsts.select("doc_id", "h", "h2", "n_bytes"), ["doc_id", "h", "h2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return short.unionByName(copies).unionByName(kept)
+    return short.unionByName(copies).unionByName(kept).withColumn("doc_id", F.nullif("doc_id", none))

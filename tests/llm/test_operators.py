@@ -111,6 +111,16 @@ def test_repeats_by_brute_force(spark, corpus):
         assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()), d
 
 
+def test_repeats_without_doc_id(spark):
+    r = random.Random(3)
+    x, y, z = ("".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    big = (1 << 53) + 1
+    rows = [(None, x), (3, x), (4, x), (None, x), (None, x), (big, y), (None, z), (big + 2, z + y), (None, "s"), (None, "s")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    got = sorted(((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(df).collect()))
+    assert got == sorted([(0, 300, 0, 0), (3, 300, 300, 1), (4, 300, 300, 1), (0, 300, 300, 1), (0, 300, 300, 1), (big, 300, 0, 0), (0, 300, 0, 0), (big + 2, 600, 600, 1), (0, 1, 0, 0), (0, 1, 0, 0)])
+
+
 def test_jaccard_by_brute_force(spark, corpus):
     df, texts = corpus
     sets = []
