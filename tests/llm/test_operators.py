@@ -137,6 +137,17 @@ def test_jaccard_by_brute_force(spark, corpus):
     assert got == {i: (len(s), comp[i]) for i, s in enumerate(sets)}
 
 
+def test_pipeline_keeps_documents_without_doc_id(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(None, a), (None, a), (None, b), (1, b), (2, c), (3, c), (None, ""), (None, None)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA)
+    got = corpus_pipeline.distinct(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == sorted([(0, a), (1, b), (2, c), (0, ""), (0, "")])
+
+
 def test_tiling_catches_reordered_passages(spark):
     item = " ".join(f"w{i}" for i in range(40))
     parts = item.split()
