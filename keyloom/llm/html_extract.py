@@ -1,9 +1,11 @@
 """HTML extraction by composite text density.
 
 A tolerant parser builds the DOM. For every node the link-adjusted characters per tag are computed;
-the densities of its children are summed, and the subtree with the greatest sum is selected. The
-least density on its path to the body is the threshold below which a block of links in it is left
-out. Elements that mark up boilerplate are taken away first. Null and empty pages give an empty text.
+the densities of its children are summed, and the subtree with the greatest sum is selected, or the
+article or main that holds it. The least density on its path to the body is the threshold: a block
+of links below it is left out, every other block at or above it is kept too, and so are headings
+right before what is kept. Elements that mark up boilerplate are taken away first. Null and empty
+pages give an empty text.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 DROP = {"aside", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "iframe", "input", "menu", "nav", "noscript", "object", "script", "select", "style", "svg", "template", "textarea"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp"}
 BAD = {"ad", "ads", "advert", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert"}
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -137,6 +140,20 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def headings(n: Node, best: Node, way: set, chosen) -> set:
+    """Headings directly before a child that is kept or holds the best node."""
+    out, run = set(), []
+    for k in n.kids:
+        if isinstance(k, str):
+            run = run if not k.strip() else []
+        elif k.tag in HEADINGS and not k.drop:
+            run.append(id(k))
+        elif not k.drop:
+            out.update(run if k is best or id(k) in way or chosen(k) else ())
+            run = []
+    return out
+
+
 def extract(page: str) -> str:
     root = parse(page)
     nodes = measure(root)
@@ -145,20 +162,31 @@ def extract(page: str) -> str:
         return ""
     while best.up is not None and best.tag not in BLOCK:
         best = best.up
+    best = next((n for n in path(best) if n.tag in ("article", "main")), best)
     threshold = min(n.d for n in path(best) if n.tag not in ("html",) or n is best)
+    way = {id(n) for n in path(best.up)}
     blocks: list[list[str]] = [[]]
 
-    # An own stack: pages can be nested deeper than Python calls.
-    todo: list = [best]
+    def listing(n):
+        return n.tag in ("ul", "ol", "div", "section", "table") and n.d < threshold and 2 * n.lc > n.c
+
+    def chosen(n):
+        """Other blocks as dense as the threshold, unless mostly links."""
+        return n.tag in BLOCK and n.c and n.d >= threshold and 2 * n.lc <= n.c
+
+    # An own stack: pages can be nested deeper than Python calls. Below a kept node everything is kept.
+    todo: list = [(root, root is best)]
     while todo:
-        n = todo.pop()
+        n, kept = todo.pop()
         if n is None:
             blocks.append([])
         elif isinstance(n, str):
-            blocks[-1].append(n)
-        elif not n.drop and not (n is not best and n.tag in ("ul", "ol", "div", "section", "table") and n.d < threshold and 2 * n.lc > n.c):
+            blocks[-1] += [n] * kept
+        elif not n.drop and not (kept and n is not best and listing(n)):
+            kept = kept or n is best or id(n) not in way and bool(chosen(n))
             inner = n.tag in BLOCK
-            todo += [None] * inner + [" "] * (n.tag == "br") + list(reversed(n.kids)) + [None] * inner
+            heads, kids = headings(n, best, way, chosen) if not kept else (), n.kids
+            todo += [(None, kept)] * inner + [(" ", kept)] * (n.tag == "br") + [(k, kept or id(k) in heads) for k in reversed(kids)] + [(None, kept)] * inner
     return "\n\n".join(b for b in (" ".join("".join(x).split()) for x in blocks) if b)
 
 

@@ -94,6 +94,20 @@ def test_html():
     assert html_extract.extract("") == "" and html_extract.extract("<div>" * 3000 + "x").endswith("x")
 
 
+def test_html_keeps_every_dense_block():
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    ten = [[text(200) for _ in range(10)] for _ in range(2)]
+    sections = "".join("<section>" + "".join(f"<p>{p}</p>" for p in s) + "</section>" for s in ten)
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(20)) + "</ul>"
+    for page in (f"<body>{menu}<article>{sections}</article>{menu}</body>", f"<body>{menu}<div>{sections}</div>{menu}</body>"):
+        assert html_extract.extract(page) == "\n\n".join(ten[0] + ten[1])
+    five = [text(300) for _ in range(5)]
+    div = "<div>" + "".join(f"<p>{p}</p>" for p in five) + "</div>"
+    for tag in ("article", "div"):
+        assert html_extract.extract(f"<body>{menu}<{tag}><h1>Headline</h1>{div}</{tag}>{menu}</body>") == "\n\n".join(["Headline", *five])
+
+
 def test_repeats_by_brute_force(spark, corpus):
     df, texts = corpus
     got = {r.doc_id: r for r in repeats.remove_repeats(df).collect()}
