@@ -67,10 +67,10 @@ def _words(s, d):
 
 
 def _typed(s, d):
-    """Typing records made from phrases: one key in eleven is missed, by a hash of its place."""
-    w = corpus.tokens(_docs(s, d)).where("seq is not null and i < 4").groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "seq"))).alias("w"))
+    """Typing records, one of every O-14 fragment: one key in eleven is missed, by a hash of its place."""
+    g = _grouped(s, d)
     wanted = F.array_join(F.transform("w", lambda x: x["seq"]), "0")
-    rows = w.select((F.col("doc_id") * 100_000 + F.col("pos")).alias("id"), wanted.alias("wanted"))
+    rows = g.select(((F.col("doc_id") * 100_000 + F.col("pos")) * 100_000 + F.col("part")).alias("id"), wanted.alias("wanted"))
     keep = F.filter(F.sequence(F.lit(1), F.greatest(F.length("wanted"), F.lit(1))), lambda i: F.pmod(i + F.col("id"), F.lit(11)) != 0)
     return rows.select("id", "wanted", F.array_join(F.transform(keep, lambda i: F.expr("wanted").substr(i, F.lit(1))), "").alias("typed"))
 
@@ -88,13 +88,17 @@ def _budget(s, d, budget=200_000, block=1000):
     return t.where(F.col("used") < budget).select("doc_id", "pos", "lang", "line", "used")
 
 
-def _fragments(s, d, n=4):
+def _grouped(s, d, n=4):
+    """The typeable words of each line in groups of n: (doc_id, pos, part, w)."""
     t = corpus.tokens(_docs(s, d)).where("seq is not null")
     from pyspark.sql import Window
 
     t = t.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "pos").orderBy("i")) - 1).withColumn("part", F.expr(f"cast(k div {n} as int)"))
-    g = t.groupBy("doc_id", "pos", "part").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("w"))
-    return g.select("doc_id", "pos", "part", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("fragment"))
+    return t.groupBy("doc_id", "pos", "part").agg(F.array_sort(F.collect_list(F.struct("k", "word", "seq"))).alias("w"))
+
+
+def _fragments(s, d, n=4):
+    return _grouped(s, d, n).select("doc_id", "pos", "part", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("fragment"))
 
 
 def _spoken(s, d):

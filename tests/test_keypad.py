@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import keypad
 from keyloom.operators import align, corpus, decode, lexicon, presses
+from keyloom.plans import registry
 from keyloom.streaming import words
 
 
@@ -77,3 +78,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("learnt").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("learnt").collect())) == sorted(map(tuple, words.folded(rows, 2).collect()))
+
+
+def test_every_fragment_is_typed(spark, tmp_path):
+    line = "one two three four five six seven eight nine"
+    rows = [(0, "en", f"{line}\nit's ten"), (1, "en", "42 a"), (2, "en", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seqs = [r.seq for r in spark.createDataFrame([(w,) for w in [*line.split(), "ten", "a"]], "w string").select(keypad.sequence_of(F.col("w")).alias("seq")).collect()]
+    got = registry._typed(spark, str(tmp_path)).collect()
+    assert sorted(r.wanted for r in got) == sorted(["0".join(seqs[:4]), "0".join(seqs[4:8]), seqs[8], seqs[9], seqs[10]])
+    assert len({r.id for r in got}) == 5
+    fragments = registry.queries()["o14_fragments"](spark, str(tmp_path)).collect()
+    assert {r.fragment for r in fragments} == {"one two three four", "five six seven eight", "nine", "ten", "a"}
