@@ -107,12 +107,17 @@ def _spoken(s, d):
     return t.where("word <> ''").where(keypad.sequence_of(F.col("word")).isNotNull()).select("user_id", (F.col("turn") * 1_000_000 + F.col("i")).alias("at"), "word")
 
 
-def _decoded(s, d):
-    """The first three words of every user's turn, decoded."""
+def _asked_phrases(s, d, n=4):
+    """Keys of every n words of every user's turn, the last group shorter."""
     c = table(s, d, "conversations").where("role = 'user'")
-    said = F.slice(F.filter(F.split(keypad.normalise(F.regexp_replace("text", "\n", " ")), " "), lambda w: keypad.sequence_of(w).isNotNull() & (w != "")), 1, 3)
-    asked = c.select(keypad.phrase_sequence(F.array_join(said, " ")).alias("keys")).where("keys <> ''").distinct()
-    return decode.decode(asked, {"en": (1.0, _lex(s, d))})
+    said = F.filter(F.split(keypad.normalise(F.regexp_replace("text", "\n", " ")), " "), lambda w: keypad.sequence_of(w).isNotNull() & (w != ""))
+    c = c.select(said.alias("said")).where("size(said) > 0").select("said", F.explode(F.expr(f"sequence(1, size(said), {n})")).alias("at"))
+    return c.select(keypad.phrase_sequence(F.array_join(F.slice("said", F.col("at"), n), " ")).alias("keys")).distinct()
+
+
+def _decoded(s, d):
+    """All words of every user's turn, decoded; the beam is slow, so the phrases are dealt out."""
+    return decode.decode(_asked_phrases(s, d).repartition(64, "keys"), {"en": (1.0, _lex(s, d))})
 
 
 def _balance(s, d):

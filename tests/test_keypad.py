@@ -90,3 +90,12 @@ def test_every_fragment_is_typed(spark, tmp_path):
     assert len({r.id for r in got}) == 5
     fragments = registry.queries()["o14_fragments"](spark, str(tmp_path)).collect()
     assert {r.fragment for r in fragments} == {"one two three four", "five six seven eight", "nine", "ten", "a"}
+
+
+def test_whole_turns_are_decoded(spark, tmp_path):
+    rows = [(1, 0, "user", "the cat sat on the mat, it's a cat"), (1, 1, "system", "no"), (2, 0, "user", "42"), (2, 2, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(0, "en", "the cat sat on a mat")], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "the cat")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["o42_decode"](spark, str(tmp_path)).collect()
+    assert {r["keys"] for r in got} == {"84302280728066", "843020228"}
