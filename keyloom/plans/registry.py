@@ -10,6 +10,8 @@ from keyloom.sources.tables import lines, table
 from keyloom.streaming import words
 
 DAY = 86_400_000
+# The reference's vocabulary and store; the queries with SQL keep the limits that stand in their SQL.
+WORDS, CAPACITY = 120_000, 4_000
 
 # --- SQL building blocks -------------------------------------------------------------------------
 A, B = "abcdefghijklmnopqrstuvwxyząćęłńóśźż", "22233344455566677778889999" + "223566799"
@@ -48,6 +50,10 @@ def _lex(s, d):
     return corpus.lexicon(_en(s, d))
 
 
+def _whole_lex(s, d):
+    return corpus.lexicon(_en(s, d), WORDS)
+
+
 def _asked_words(s, d):
     c = table(s, d, "conversations").where("role = 'user'")
     words = F.split(keypad.normalise(F.regexp_replace("text", "\n", " ")), " ")
@@ -117,7 +123,7 @@ def _asked_phrases(s, d, n=4):
 
 def _decoded(s, d):
     """All words of every user's turn, decoded; the beam is slow, so the phrases are dealt out."""
-    return decode.decode(_asked_phrases(s, d).repartition(64, "keys"), {"en": (1.0, _lex(s, d))})
+    return decode.decode(_asked_phrases(s, d).repartition(64, "keys"), {"en": (1.0, _whole_lex(s, d))})
 
 
 def _balance(s, d):
@@ -159,22 +165,22 @@ QUERIES = {
     "o40_lexicon": (_lex, f"{LEX} select word, n, seq, score, pos from lex"),
     "o40c_front_coding": (lambda s, d: corpus.front_coded(_lex(s, d)), f"""{LEX}, p as (select pos, word, coalesce(lag(word) over (partition by pos // 32 order by pos), '') p from lex)
         select pos, word, cast(coalesce(list_max(list_filter(range(1, 33), lambda k: k <= length(word) and k <= length(p) and word[1:k] = p[1:k])), 0) as int) shared from p"""),
-    "o40d_pair_hash": (lambda s, d: corpus.pair_count(_docs(s, d), _lex(s, d)).where("n >= 3").select("prev", "word", corpus.fnv(F.concat_ws(" ", "prev", "word")).alias("hash")), None),
+    "o40d_pair_hash": (lambda s, d: corpus.pair_count(_docs(s, d), _whole_lex(s, d)).where("n >= 3").select("prev", "word", corpus.fnv(F.concat_ws(" ", "prev", "word")).alias("hash")), None),
     "o41_alignment": (lambda s, d: align.aligned(_typed(s, d)), None),
     "o21_error_counts": (lambda s, d: align.error_counts(align.aligned(_typed(s, d))), None),
     "o23_confusion": (lambda s, d: align.confusion(align.aligned(_typed(s, d))), None),
     "o30_user_words": (lambda s, d: lexicon.user_words(_spoken(s, d)), f"""with w as (select conv_id user_id, unnest(list_filter(string_split({NORM.format("replace(text, chr(10), ' ')")}, ' '), lambda w: w <> '')) word from conversations)
         select user_id, word, least(count(*), 1000) uses from w where {SEQ.format('word')} is not null group by all"""),
-    "o58_learn": (lambda s, d: words.folded(_spoken(s, d), 50), None),
+    "o58_learn": (lambda s, d: words.folded(_spoken(s, d), CAPACITY), None),
     "o42_decode": (_decoded, None),
-    "o46_exact_reading": (lambda s, d: lexicon.exact_reading(_typed(s, d).select(F.col("wanted").alias("keys")).distinct(), _lex(s, d)), None),
+    "o46_exact_reading": (lambda s, d: lexicon.exact_reading(_typed(s, d).select(F.col("wanted").alias("keys")).distinct(), _whole_lex(s, d)), None),
     "o50_multitap": (lambda s, d: presses.multitap(presses.presses(table(s, d, "events")), 30 * DAY), f"""with {PRESSES}, f as (select *, case when digit = lag(digit) over w and ms - lag(ms) over w <= {30 * DAY} then 0 else 1 end new from presses window w as (partition by user_id order by ms, event_id)),
         r as (select *, cast(sum(new) over (partition by user_id order by ms, event_id) as bigint) run from f), g as (select user_id, run, min(digit) digit, count(*) n from r group by user_id, run)
         select user_id, run, digit, n, substr({KEYMAP}[digit], cast((n - 1) % length({KEYMAP}[digit]) + 1 as int), 1) letter from g"""),
     "o57_debounce": (lambda s, d: presses.debounced(presses.presses(table(s, d, "events")), DAY // 4), f"""with {PRESSES}, f as (select *, case when ms - lag(ms) over (partition by user_id order by ms, event_id) < {DAY // 4} then 0 else 1 end new from presses),
         r as (select *, cast(sum(new) over (partition by user_id order by ms, event_id) as bigint) g from f) select user_id, g, count(*) n, max(ms) last_ms from r group by all"""),
     "o62_turn_over": (lambda s, d: presses.presses(table(s, d, "events")).select("event_id", keypad.turned_over(F.col("digit")).alias("digit")), f"with {PRESSES} select event_id, translate(digit, '123789', '789123') digit from presses"),
-    "o80_word_cost": (lambda s, d: evaluate.word_cost(_asked_words(s, d), _lex(s, d)), None),
+    "o80_word_cost": (lambda s, d: evaluate.word_cost(_asked_words(s, d), _whole_lex(s, d)), None),
 }
 
 

@@ -1,3 +1,5 @@
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,13 @@ def test_whole_turns_are_decoded(spark, tmp_path):
     spark.createDataFrame([(0, "the cat")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = registry.queries()["o42_decode"](spark, str(tmp_path)).collect()
     assert {r["keys"] for r in got} == {"84302280728066", "843020228"}
+
+
+def test_limits_of_the_reference(spark, tmp_path):
+    many = ["".join(w) for w in product("abcdefgh", repeat=5)][:20_500]
+    spark.createDataFrame([(0, "en", " ".join(many))], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, "user", " ".join(many[:60]))], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    read = registry.queries()["o46_exact_reading"](spark, str(tmp_path))
+    assert read.where("reading is null").count() == 0
+    assert registry.queries()["o58_learn"](spark, str(tmp_path)).count() == 60
