@@ -30,7 +30,7 @@ URL = re.compile(r"[^\s%]*%[0-9A-Fa-f]{2}\S*")
 ESCAPED = re.compile(r"[^\s\\]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})\S*")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-MAX_LAYER = 1 << 26  # documented bound on one decompressed layer, against decompression bombs
+MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 
 
 def found(text: str):
@@ -40,26 +40,43 @@ def found(text: str):
                 yield kind, m.start(), m.end()
 
 
-def readable(raw: bytes):
-    for _ in range(8):
-        if raw[:2] not in (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"):
-            break
-        try:
-            raw = zlib.decompressobj(47).decompress(raw, MAX_LAYER)
-        except zlib.error:
-            break
+def printable(raw: bytes, errors: str = "strict"):
     try:
-        s = raw.decode("utf-8")
+        s = raw.decode("utf-8", errors)
     except UnicodeDecodeError:
         return None
     return s if s and sum(c.isprintable() or c in "\n\r\t" for c in s) >= 0.9 * len(s) else None
 
 
+def unpacked(raw: bytes) -> bytes:
+    """All members of compressed bytes, joined as gunzip does; what follows the last valid one is left out."""
+    out = []
+    while raw[:2] in MAGIC:
+        d = zlib.decompressobj(47)
+        try:
+            out.append(d.decompress(raw))
+        except zlib.error:
+            break
+        raw = d.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+def readable(raw: bytes, errors: str = "strict"):
+    seen = set()
+    while raw[:2] in MAGIC and raw not in seen:
+        seen.add(raw)
+        inner = unpacked(raw)
+        if not inner:
+            break
+        raw = inner
+    return printable(raw, errors)
+
+
 def layers(text: str):
     """(start, end, decoded text) of each encoded token."""
     if "%" in text:
         for m in URL.finditer(text):
-            if s := readable(unquote_to_bytes(m[0])):
+            if s := readable(unquote_to_bytes(m[0]), "replace"):
                 yield m.start(), m.end(), s
     if "\\" in text:
         for m in ESCAPED.finditer(text):

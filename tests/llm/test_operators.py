@@ -53,6 +53,20 @@ def test_secret_layers():
     assert secrets.masked("a password=abcdefghijkl1 b", secrets.scan("a password=abcdefghijkl1 b")[-1]) == "a [SECRET] b"
 
 
+def test_secret_layers_are_whole():
+    plain = b"password = abcdefghijkl1"
+    token = lambda raw: base64.b64encode(raw).decode()
+    deep = plain
+    for _ in range(12):
+        deep = gzip.compress(deep)
+    far = gzip.compress(b"a " * (1 << 25) + plain)
+    for raw in (deep, gzip.compress(b"first") + gzip.compress(plain), far):
+        assert secrets.scan(token(raw))[-1].startswith("assign:0:")
+    url = "caf%E9?password%3Dabcdefghijkl1"
+    assert secrets.scan(url)[-1] == f"assign:0:{len(url)}"
+    assert secrets.masked(url, secrets.scan(url)[-1]) == "[SECRET]"
+
+
 def test_packing_round_trip(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
