@@ -1,16 +1,22 @@
-"""N-gram Jaccard join by T-occurrence search.
-
-Rows with equal shingle sets form a class; only its first row is joined. A record that links with x
-shares at least T = ceil(share * |x|) shingles with it, so after leaving out x's T-1 longest lists
-the short ones must hold it: they are merged (a sort-merge join on the shingle), and the long ones
-are probed per candidate in sorted sets, as DivideSkip does. Lists count as long when more than
-max(hot, 1/5000 of the classes) rows have them among their first shingles by hash; there are at most
-5000 * (mean prefix length) * (rows / classes) of those, the bound of what is sent to the workers.
-
-Groups of near copies collapse first: every record of a list is verified against the list's first
-record, components are formed, and only lists that still span several components are paired further,
-between components: those that share enough of their first shingles to reach the required overlap.
-No pair that could link is dropped. Texts without words link with nothing.
+"""N-gram Jaccard join by T-occurrence search over inverted lists.
+
+Rows with equal shingle sets form a class; classes are the nodes of the join, so rows without doc_id
+and repeated doc_ids need no key. A partner of x shares T = ceil(share * |x|) shingles with it at
+least, hence one of any |x| - T + 1 of them.
+
+1. Screening: the first shingles of each set by hash, a tenth of the set more than |x| - T + 1, are
+   counted over all classes. A class in which |x| - T + 1 of them occur nowhere else has no partner.
+2. The whole sets of the classes left are ordered rarest shingle first. Classes that share one of
+   their |x| - T + 1 rarest shingles are tied into clusters; partners are always in one cluster.
+3. Each cluster is searched in one task, or in one task for each two blocks of it if it is large:
+   DivideSkip merges the short lists of a query, probes its long lists by binary search for the
+   candidates of the merge, and keeps what reaches the required overlap. A query is left out only if
+   its class is already tied to the class that its cluster began with, as it could add no new group.
+4. Groups are the connected components of the links; component_id is the least doc_id in a group.
+
+Every exchange is packed, and counted before it in its task, so that a shingle or a text that a third
+of all rows hold is one entry per task and not one per row. Texts without words link with nothing; a
+group of rows that all lack doc_id has no component_id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import MIX, named, packed, renumbered, written
 
-MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = 0x100000001B3 | 0x5DEECE66 << 33
 CHUNK = 1 << 20  # bytes of text hashed at a time, more only for one longer text
+FLUSH = 1 << 20  # shingles held before an exchange
 
 _bytes = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.uint64)
 _bytes[65:91] = _bytes[97:123]  # A-Z as a-z
@@ -86,14 +92,14 @@ def shingle_sets(texts_, k: int):
         yield from _chunk_sets(held, k)
 
 
-def prefix(s: np.ndarray, long_lists: np.ndarray, percent: int) -> np.ndarray:
-    """The |x| - T + 1 first shingles when long lists come last."""
-    n = len(s)
-    take = n + (-percent * n // 100) + 1 if n else 0
-    if len(long_lists) and n:
-        late = long_lists[np.minimum(np.searchsorted(long_lists, s), len(long_lists) - 1)] == s
-        s = np.concatenate([s[~late], s[late]])
-    return s[:take]
+def need(n, percent: int):
+    """T: the least overlap with any partner of a set of n."""
+    return (percent * n + 99) // 100
+
+
+def class_of(s: np.ndarray) -> tuple[int, int]:
+    x = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -110,153 +116,279 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def packed(tokens: np.ndarray, buckets: int, *columns: np.ndarray) -> pd.DataFrame:
-    """One row per bucket of tokens: the bytes of the tokens and of the columns beside them."""
-    bucket = (tokens.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-    rows = []
-    for k in range(buckets):
-        at = order[bounds[k] : bounds[k + 1]]
-        if len(at):
-            rows.append((k, *[c[at].tobytes() for c in (tokens, *columns)]))
-    return pd.DataFrame(rows, columns=["bucket", *"abc"[: 1 + len(columns)]])
-
+def shared_counts(t: DataFrame, k: int, percent: int, tokens: int, bucket_tokens: int) -> DataFrame:
+    """(x, shared): how many of the first shingles of each class other classes have among theirs too."""
+    buckets = int(max(12, tokens * 3 // 10 // bucket_tokens))
 
-def token_counts(sets: DataFrame, buckets: int, more_than: int, flush: int = 1 << 20) -> DataFrame:
-    """Tokens that lie in the prefixes of more than so many rows; counted per task before the exchange."""
+    def sent(held: list, src: int):
+        tok = np.concatenate([s for _, s in held])
+        cls = np.repeat(np.array([x for x, _ in held], np.int64), [len(s) for _, s in held])
+        u, at, back, n = np.unique(tok, return_index=True, return_inverse=True, return_counts=True)
+        x, c = np.unique(cls[n[back] > 1], return_counts=True)  # these are known to be shared
+        yield pd.DataFrame({"bucket": -1 - src % buckets, "x": x, "c": c, "src": src})
+        # One entry for each shingle: the class that alone holds it here, or a mark that several do.
+        out = packed(u, buckets, cls[at], (n > 1).astype(np.uint8))
+        yield out.assign(src=src)
 
     def spread(frames):
-        held, size = [], 0
+        held, size, seen, src = [], 0, set(), TaskContext.get().partitionId() << 20
         for f in frames:
-            held += list(f["prefix"])
-            size += sum(map(len, f["prefix"]))
-            if size >= flush:
-                yield packed(*(lambda u, c: (u, buckets, c.astype("<u4")))(*np.unique(np.concatenate(held), return_counts=True)))
-                held, size = [], 0
+            for s in shingle_sets(f["text"], k):
+                n = len(s)
+                x = class_of(s)[0] if n else None
+                if n and x not in seen:
+                    seen.add(x)
+                    held.append((x, s[: lead(n, percent)]))
+                    size += len(held[-1][1])
+                    if size >= FLUSH:
+                        yield from sent(held, src)
+                        held, size, src = [], 0, src + 1
+                        seen.clear()
         if size:
-            yield packed(*(lambda u, c: (u, buckets, c.astype("<u4")))(*np.unique(np.concatenate(held), return_counts=True)))
+            yield from sent(held, src)
 
-    def total(f: pd.DataFrame) -> pd.DataFrame:
-        u, back = np.unique(np.frombuffer(b"".join(f["a"]), "<i8"), return_inverse=True)
-        n = np.bincount(back, np.frombuffer(b"".join(f["b"]), "<u4"))
-        return pd.DataFrame({"s": u[n > more_than]})
-
-    return sets.select("prefix").mapInPandas(spread, "bucket int, a binary, b binary").groupBy("bucket").applyInPandas(total, "s long")
-
-
-def shared_lists(order: DataFrame, buckets: int, flush: int = 1 << 20, often: int = 64) -> DataFrame:
-    """(s, id, n) of the tokens that two rows or more have.
-
-    Entries travel packed, in buckets of tokens. A token that one flush of a task holds `often` times
-    is known to be shared: its entries skip the meeting place, where one marker (n = 0) stands for them.
-    """
-
-    def sent(held: list, count: int):
-        tok = np.concatenate([h[2] for h in held])
-        size = [len(h[2]) for h in held]
-        ids, ns = (np.repeat(np.array([h[i] for h in held], np.int64), size) for i in (0, 1))
-        u, back, n = np.unique(tok, return_inverse=True, return_counts=True)
-        hot = n[back] >= often
-        marks = u[n >= often]
-        nothing = np.zeros(len(marks), np.int64)
-        yield packed(np.concatenate([tok[~hot], marks]), buckets, np.concatenate([ids[~hot], nothing]), np.concatenate([ns[~hot], nothing])).assign(known=False)
-        tok, ids, ns = tok[hot], ids[hot], ns[hot]
-        for i in range(0, len(tok), 1 << 16):
-            part = [c[i : i + (1 << 16)].tobytes() for c in (tok, ids, ns)]
-            yield pd.DataFrame([(buckets + (count * 31 + i) % (4 * buckets), *part, True)], columns=["bucket", "a", "b", "c", "known"])
+    def meet(key, f: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return f[["x", "src", "c"]]
+        tok, cls = (np.frombuffer(b"".join(f[c]), "<i8") for c in "ab")
+        many = np.frombuffer(b"".join(f["many"]), np.uint8) > 0
+        src = np.repeat(f["src"].to_numpy(), [len(a) // 8 for a in f["a"]])
+        order = np.lexsort((cls, tok))
+        t_, c_ = tok[order], cls[order]
+        first = np.concatenate([[True], t_[1:] != t_[:-1]])
+        group = np.cumsum(first) - 1
+        kinds = np.bincount(group, first | np.concatenate([[False], c_[1:] != c_[:-1]]))
+        shared = (kinds > 1) | (np.bincount(group, many[order]) > 0)
+        keep = shared[group] & ~many[order]
+        got = pd.DataFrame({"x": c_[keep], "src": src[order][keep]})
+        return got.groupby(["x", "src"], sort=False).size().rename("c").reset_index()[["x", "src", "c"]]
 
-    def spread(frames):
-        held, size, count = [], 0, TaskContext.get().partitionId() * 1009
-        for f in frames:
-            for d, n, p in zip(f["doc_id"], f["n"], f["prefix"]):
-                held.append((d, n, p))
-                size += len(p)
-                if size >= flush:
-                    yield from sent(held, count)
-                    held, size, count = [], 0, count + 1
-        if size:
-            yield from sent(held, count)
+    columns = ["bucket", "src", "x", "c", "a", "b", "many"]
 
-    def meet(f: pd.DataFrame) -> pd.DataFrame:
-        tok, ids, ns = (np.frombuffer(b"".join(f[c]), "<i8") for c in "abc")
-        if not f["known"].iloc[0]:
-            _, back, n = np.unique(tok, return_inverse=True, return_counts=True)
-            marked = np.zeros(len(n), bool)
-            marked[back[ns == 0]] = True
-            keep = ((n > 1) | marked)[back] & (ns > 0)
-            tok, ids, ns = tok[keep], ids[keep], ns[keep]
-        return pd.DataFrame({"s": tok, "id": ids, "n": ns})
+    def rows(frames):
+        for out in spread(frames):
+            yield out.assign(a=None, b=None, many=None)[columns] if "x" in out else out.rename(columns={"c": "many"}).assign(x=0, c=0)[columns]
+
+    met = t.select("text").mapInPandas(rows, "bucket int, src long, x long, c long, a binary, b binary, many binary")
+    met = met.groupBy("bucket").applyInPandas(lambda key, f: meet(key, f), "x long, src long, c long")
+    # Each source counts the whole of its classes, so copies of a class give the same number.
+    return met.groupBy("x", "src").agg(F.sum("c").alias("c")).groupBy("x").agg(F.max("c").alias("shared"))
 
-    return order.mapInPandas(spread, "bucket int, a binary, b binary, c binary, known boolean").groupBy("bucket").applyInPandas(meet, "s long, id long, n long")
 
+def lead(n: int, percent: int) -> int:
+    """Shingles of a set that are screened: a tenth more than any partner must reach."""
+    return min(n, n - need(n, percent) + 1 + (n + 9) // 10)
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, hot: int = 64, bucket_tokens: int = 400_000) -> DataFrame:
-    t = texts(docs)
+
+def held_sets(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of the rows of f and the row of each."""
+    sets = [np.frombuffer(b, "<i8") for b in f["tokens"]]
+    return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+
+def clusters(sets: DataFrame, blocks: int, buckets: int, percent: int) -> DataFrame:
+    """(a, b): ids that tie classes which share one of their |x| - T + 1 rarest shingles."""
+
+    def count(f: pd.DataFrame) -> pd.DataFrame:
+        u, n = np.unique(held_sets(f)[0], return_counts=True)
+        return packed(u, buckets, n.astype("<u4")).assign(block=int(f["block"].iloc[0]))
+
+    def total(f: pd.DataFrame) -> pd.DataFrame:
+        """Back to each block that asked: the shingles that two classes or more have, and how many."""
+        tok = [np.frombuffer(a, "<i8") for a in f["a"]]
+        u, back = np.unique(np.concatenate(tok), return_inverse=True)
+        df = np.bincount(back, np.frombuffer(b"".join(f["b"]), "<u4")).astype("<u4")
+        rows, at = [], 0
+        for block, t in zip(f["block"], tok):
+            n = df[back[at : at + len(t)]]
+            at += len(t)
+            rows.append((block, t[n > 1].tobytes(), n[n > 1].tobytes()))
+        return pd.DataFrame(rows, columns=["block", "a", "b"])
+
+    def tie(key, f: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        columns = ["bucket", "a", "b", "x", "y"]
+        if not len(f) or not len(known):
+            return pd.DataFrame([], columns=columns)
+        tok, own = held_sets(f)
+        u, df = (np.frombuffer(b"".join(known[c]), d) for c, d in (("a", "<i8"), ("b", "<u4")))
+        order = np.argsort(u)
+        u, df = u[order], df[order]
+        at = np.minimum(np.searchsorted(u, tok), len(u) - 1)
+        hit = u[at] == tok
+        n = np.bincount(own, minlength=len(f))
+        rare = n - np.bincount(own[hit], minlength=len(f))  # shingles that no other class has come first
+        left = np.maximum(n - need(n, percent) + 1 - rare, 0)
+        tok, own, df = tok[hit], own[hit], df[at[hit]]
+        order = np.lexsort((tok, df, own))
+        tok, own = tok[order], own[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        tok, ids = tok[place < left[own]], f["id"].to_numpy(np.int64)[own[place < left[own]]]
+        if not len(tok):
+            return pd.DataFrame([], columns=columns)
+        order = np.lexsort((ids, tok))
+        tok, ids = tok[order], ids[order]
+        first = np.concatenate([[True], tok[1:] != tok[:-1]])
+        least = ids[np.maximum.accumulate(np.where(first, np.arange(len(tok)), 0))]
+        ties = np.unique(np.stack([least[~first], ids[~first]]), axis=1)
+        here = pd.DataFrame({"bucket": -1, "a": None, "b": None, "x": ties[0], "y": ties[1]})
+        return pd.concat([here, packed(tok[first], buckets, ids[first]).assign(x=0, y=0)[columns]])
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        tok, ids = (np.frombuffer(b"".join(f[c]), "<i8") for c in "ab")
+        order = np.lexsort((ids, tok))
+        tok, ids = tok[order], ids[order]
+        first = np.concatenate([[True], tok[1:] != tok[:-1]])
+        least = ids[np.maximum.accumulate(np.where(first, np.arange(len(tok)), 0))]
+        ties = np.unique(np.stack([least, ids])[:, ~first], axis=1)
+        return pd.DataFrame({"a": ties[0], "b": ties[1]})
+
+    dealt = sets.select("id", "tokens", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    counts = dealt.groupBy("block").applyInPandas(count, "bucket int, a binary, b binary, block int")
+    back = counts.groupBy("bucket").applyInPandas(total, "block int, a binary, b binary")
+    tied = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(lambda key, f, known: tie(key, f, known), "bucket int, a binary, b binary, x long, y long")
+    tied = written(tied, "jaccard-ties")
+    far = tied.where("bucket >= 0").groupBy("bucket").applyInPandas(meet, "a long, b long")
+    return tied.where("bucket < 0").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(far)
+
+
+class Lists:
+    """Inverted lists over the sets of one task, and the T-occurrence search in them."""
+
+    MU = 0.01  # weight of a probe against a step of the merge, as DivideSkip has it
+
+    def __init__(self, f: pd.DataFrame, percent: int):
+        tok, own = held_sets(f)
+        self.percent, self.n = percent, np.bincount(own, minlength=len(f))
+        _, tok, df = np.unique(tok, return_inverse=True, return_counts=True)
+        shared = df[tok] > 1  # a shingle of one set adds nothing to any overlap
+        tok, own = tok[shared], own[shared]
+        order = np.lexsort((own, tok))
+        self.records, self.keys = own[order], tok[order] * len(f) + own[order]
+        self.start = np.concatenate([[0], np.cumsum(np.where(df > 1, df, 0))])
+        order = np.lexsort((tok, df[tok], own))
+        self.of = tok[order]  # the lists of each record, shortest first
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(f)))])
+
+    def query(self, x: int) -> np.ndarray:
+        """Records whose overlap with x is large enough for the share asked for."""
+        lists = self.of[self.begin[x] : self.begin[x + 1]]
+        n, t = int(self.n[x]), int(need(int(self.n[x]), self.percent))
+        if len(lists) < t:
+            return np.zeros(0, np.int64)
+        size = self.start[lists + 1] - self.start[lists]
+        n_long = min(t - 1, int(t / (self.MU * np.log2(size[-1] + 1) + 1)))
+        short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        merged = np.concatenate([self.records[self.start[s] : self.start[s + 1]] for s in short])
+        found, count = np.unique(merged, return_counts=True)
+        least = -(-self.percent * (n + self.n[found]) // (100 + self.percent))
+        m = self.n[found]
+        ok = (found != x) & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (count + n_long >= least)
+        found, count, least = found[ok], count[ok], least[ok]
+        for i in range(0, n_long, 64):
+            if not len(found):
+                break
+            part = long_[i : i + 64]
+            asked = part[:, None] * len(self.n) + found[None, :]
+            at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            count = count + (self.keys[at] == asked).sum(axis=0)
+            ok = count + (n_long - i - len(part)) >= least
+            found, count, least = found[ok], count[ok], least[ok]
+        return found[count >= least]
+
+
+def linked(f: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b): links enough to tie every group among the rows of f (id, cluster, tokens)."""
+    lists = Lists(f, percent)
+    ids, cluster = f["id"].to_numpy(np.int64), f["cluster"].to_numpy(np.int64)
+    group, members = np.arange(len(f)), {i: [i] for i in range(len(f))}
+    main: dict[int, int] = {}
+    out = []
+    share = np.diff(lists.begin) / np.maximum(lists.n, 1)
+    for x in np.lexsort((ids, -share, cluster)):
+        c = int(cluster[x])
+        if c in main and group[x] == group[main[c]]:
+            continue
+        main.setdefault(c, int(x))
+        for y in lists.query(int(x)):
+            a, b = int(group[x]), int(group[y])
+            if a != b:
+                out.append((ids[x], ids[y]))
+                if len(members[a]) < len(members[b]):
+                    a, b = b, a
+                moved = members.pop(b)
+                group[moved] = a
+                members[a] += moved
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def links(sets: DataFrame, cluster: DataFrame, percent: int, task_tokens: int) -> DataFrame:
+    """Searches every cluster; one of more than task_tokens is cut into blocks that meet two by two."""
+    sized = sets.join(cluster, "id")
+    weight = sized.groupBy("cluster").agg(F.sum("n").alias("w"))
+    total = weight.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    tasks = int(max(12, total // task_tokens + 1))
+    many = F.expr(f"cast(w div {task_tokens} + 1 as int)")
+    place = sized.join(weight.withColumn("k", many), "cluster").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    place = place.select("id", "cluster", "tokens", "k", "i", other.alias("o")).where("k = 1 or i <> o")
+    lot = F.when(F.col("k") == 1, F.struct(F.lit(-1).cast("long").alias("c"), F.pmod(F.xxhash64("cluster"), F.lit(tasks)).cast("int").alias("p"), F.lit(0).alias("q")))
+    lot = lot.otherwise(F.struct(F.col("cluster").alias("c"), F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q")))
+    return place.select("id", "cluster", "tokens", lot.alias("lot")).groupBy("lot").applyInPandas(lambda f: linked(f, percent), "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, bucket_tokens: int = 400_000, task_tokens: int = 2_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id; and x, y, the class of the row's set, h, the hash of its text."""
+    t = named(docs)
 
     def first(frames):
-        none = np.zeros(0, np.int64)
         for f in frames:
-            rows = []
-            for d, s in zip(f["doc_id"], shingle_sets(f["text"], k)):
-                x = xxhash.xxh3_128_intdigest(s.tobytes())
-                rows.append((d, len(s), (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), prefix(s, none, percent)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "x", "y", "prefix"]).astype({"doc_id": "Int64"})
-
-    signed = written(t.mapInPandas(first, "doc_id long, n long, x long, y long, prefix array<long>"), "jaccard-sets")
-    reps = written(signed.where("n > 0").groupBy("x", "y").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
-    classes, tokens = reps.count(), signed.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    many, buckets = max(hot, classes // 5000), int(max(12, tokens // bucket_tokens))
-    rep_ids = reps.select(F.col("rep").alias("doc_id"))
-    long_lists = np.sort(np.array([r[0] for r in written(token_counts(signed.where("n > 0"), buckets, many), "jaccard-long").collect()], np.int64))
-    at = t.sparkSession.sparkContext.broadcast(long_lists)
-
-    def second(frames):
+            rows = [(d, h, len(s), *class_of(s)) for d, h, s in zip(f["doc_id"], f["h"], shingle_sets(f["text"], k))]
+            yield pd.DataFrame(rows, columns=["doc_id", "h", "n", "x", "y"])
+
+    signed = renumbered(t.withColumn("h", F.xxhash64("text")).mapInPandas(first, "doc_id string, h long, n long, x long, y long"), docs)
+    signed = written(signed, "jaccard-sets")
+    some = signed.where("n > 0")
+    reps = written(some.groupBy("x", "y").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "jaccard-reps")
+    tokens = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    spare = f"(n - ({percent} * n + 99) div 100 + 1)"
+    shared = shared_counts(t, k, percent, tokens, bucket_tokens)
+    # Alive: fewer than |x| - T + 1 of the shingles screened are its own.
+    alive = written(reps.join(shared, "x").where(f"least(n, {spare} + (n + 9) div 10) - shared < {spare}").select("x", "y", "n", "rep"), "jaccard-alive")
+
+    def whole(frames):
         for f in frames:
-            rows = [(d, len(s), prefix(s, at.value, percent)) for d, s in zip(f["doc_id"], shingle_sets(f["text"], k))]
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "prefix"]).astype({"doc_id": "Int64"})
-
-    order = t.mapInPandas(second, "doc_id long, n long, prefix array<long>") if len(long_lists) else signed.select("doc_id", "n", "prefix")
-    # A repeated doc_id gives its rows once.
-    lists = written(shared_lists(order.where("n > 0").join(rep_ids, "doc_id", "left_semi"), buckets), "jaccard-lists")
-    heads = lists.groupBy("s").agg(F.min(F.struct("id", "n")).alias("head"))
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        """Pairs whose whole sets are near enough; texts, shorter than their sets, are what is exchanged."""
-        pairs = written(pairs.distinct(), tag)
-
-        def probe(frames):
-            last, p = None, None
-            for f in frames:
-                good = []
-                for a, text, q in zip(f["a"], f["text_a"], shingle_sets(f["text_b"], k)):
-                    if (a, text) != last:
-                        last, p = (a, text), next(shingle_sets([text], k))
-                    i = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(q) else 0
-                    good.append(100 * i >= percent * (len(p) + len(q) - i) and i > 0)
-                yield f.loc[np.array(good, bool), ["a", "b"]]
-
-        left = t.join(pairs.select("a").distinct(), t["doc_id"] == F.col("a"), "left_semi").select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = pairs.join(t, pairs["b"] == t["doc_id"]).select("a", "b", F.col("text").alias("text_b"))
-        return written(right.join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(probe, "a long, b long").distinct(), f"{tag}-links")
-
-    # One head for each record; lists that it leaves open are paired below.
-    to_head = lists.join(heads, "s").where((F.col("id") != F.col("head.id")) & fits(F.col("n"), F.col("head.n"))).groupBy(F.col("id").alias("b"), F.col("head.id").alias("a")).count()
-    to_head = to_head.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
-    links = verified(to_head, "jaccard-head")
-    comp = components(links)
-    named = lists.select("s", "id", "n").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    named = written(named, "jaccard-named")
-    open_ = named.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
-    named = named.join(open_, "s", "left_semi")
-    other = named.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    between = named.join(other, "s").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("cb")) & fits(F.col("n"), F.col("nb"))).groupBy(F.col("id").alias("a"), "b", "n", "nb").count()
-    # Of two prefixes in one order, what the sets share beyond the one that ends first lies behind it, so
-    # `count` shared prefix tokens allow an overlap of count + max(n - |prefix|) at most.
-    behind = F.greatest(*[F.ceil(F.col(c) * percent / 100) - 1 for c in ("n", "nb")])
-    between = between.where((F.col("count") + behind) * (100 + percent) >= percent * (F.col("n") + F.col("nb"))).select("a", "b")
-    comp = components(links.unionByName(verified(between, "jaccard-rest")))
-    classes = signed.where("n > 0").select("doc_id", "n", "x", "y").join(reps, ["x", "y"]).join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    out = classes.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
-    return out.unionByName(signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+            rows = [(*class_of(s), len(s), s.tobytes()) for s in shingle_sets(f["text"], k)]
+            yield pd.DataFrame(rows, columns=["x", "y", "n", "tokens"])
+
+    asked = alive.select(F.col("rep").cast("string").alias("rep")).distinct()
+    sets = t.join(asked, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInPandas(whole, "x long, y long, n long, tokens binary")
+    sets = sets.join(alive.select("x", "y"), ["x", "y"], "left_semi").dropDuplicates(["x", "y"])
+    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "jaccard-alive-sets")
+    held = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ties = written(clusters(sets, int(max(12, held // FLUSH)), int(max(12, held // bucket_tokens)), percent).distinct(), "jaccard-cluster-ties")
+    cluster = components(ties).withColumnRenamed("comp", "cluster")
+    comp = components(written(links(sets, cluster, percent, task_tokens), "jaccard-links"))
+    node = sets.select("id", "x", "y").join(comp, "id").join(reps.select("x", "y", "rep"), ["x", "y"])
+    least = node.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    tied = node.join(least, "comp").select("x", "y", "comp", "component_id")
+    out = some.join(reps.select("x", "y", "rep"), ["x", "y"]).join(tied, ["x", "y"], "left")
+    columns = ["doc_id", F.col("n").alias("n_shingles")]
+    out = out.select(*columns, F.when(F.col("comp").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), "x", "y", "comp", "h")
+    none = F.lit(None).cast("long")
+    return out.unionByName(signed.where("n = 0").select(*columns, F.col("doc_id").alias("component_id"), none.alias("x"), none.alias("y"), none.alias("comp"), "h"))
+
+
+def kept(docs: DataFrame, **options) -> DataFrame:
+    """Rows of docs, all columns: of each group the row with the least doc_id, rows without one last; of
+    rows equal in doc_id and text one. Rows without words are in no group and all stay."""
+    found = written(jaccard_components(docs, **options), "jaccard-kept")
+    key = [F.coalesce("comp", F.lit(-1)).alias("g"), F.when(F.col("comp").isNull(), F.col("x")).alias("gx"), F.when(F.col("comp").isNull(), F.col("y")).alias("gy")]
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("h").alias("t")))
+    heads = found.where("n_shingles > 0").groupBy(*key).agg(best.alias("r")).select(F.col("r.d").alias("keep_d"), F.col("r.t").alias("keep_t"))
+    heads = written(heads.distinct(), "jaccard-heads")
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), h.alias("row_t"), F.col("doc_id").alias("row_d"))
+    mine = F.col("row_d").eqNullSafe(F.col("keep_d")) & (F.col("row_t") == F.col("keep_t"))
+    stay = rows.join(heads, mine, "left_semi").dropDuplicates(["row_d", "row_t"])
+    wordless = F.col("row.text").isNull() | ~F.col("row.text").rlike(r"[^\x20\x09-\x0D]")
+    return stay.unionByName(rows.where(wordless)).select("row.*")

@@ -13,7 +13,7 @@ def queries() -> dict:
         "op3_sharding": lambda s, d: sharding.shard(table(s, d, "documents")),
         "op4_main_text": lambda s, d: html_extract.main_text(table(s, d, "pages")),
         "op5_repeats": lambda s, d: repeats.remove_repeats(table(s, d, "documents")),
-        "op6_jaccard": lambda s, d: jaccard.jaccard_components(table(s, d, "documents")),
+        "op6_jaccard": lambda s, d: jaccard.jaccard_components(table(s, d, "documents")).select("doc_id", "n_shingles", "component_id"),
         "op7_secrets": lambda s, d: secrets.secret_scan(table(s, d, "documents")),
         "op8_decontamination": lambda s, d: decontam.decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
         "op9_imatch": lambda s, d: imatch.fingerprints(table(s, d, "documents")),

@@ -161,7 +161,7 @@ def test_jaccard_by_brute_force(spark, corpus):
             for j, b in enumerate(sets):
                 if a and b and 100 * len(a & b) >= 80 * len(a | b):
                     comp[i] = comp[j] = min(comp[i], comp[j])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, hot=2).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, task_tokens=300).collect()}
     assert got == {i: (len(s), comp[i]) for i, s in enumerate(sets)}
 
 
