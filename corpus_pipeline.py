@@ -15,16 +15,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component stays. Documents without doc_id take part under numbers above
-    every doc_id, so that those with one come first, and stay without one."""
-    top = docs.agg(F.max("doc_id")).first()[0] or 0
-    unnamed = docs.where("doc_id is null").withColumn("key", F.monotonically_increasing_id() + F.lit(max(top, 0) + 1))
-    unnamed = written(unnamed, "distinct-unnamed")  # the numbers must not change between reads
-    named = docs.where("doc_id is not null")
-    every = named.unionByName(unnamed.withColumn("doc_id", F.col("key")).drop("key"))
-    kept = jaccard.jaccard_components(every).where("component_id = doc_id").select("doc_id").distinct()
-    stay = unnamed.join(kept.withColumnRenamed("doc_id", "key"), "key", "left_semi").select(*docs.columns)
-    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(stay)
+    """One document of each group of near duplicates stays, the one with the least doc_id; documents
+    without doc_id take part and come last. Documents without words are in no group and all stay."""
+    return jaccard.kept(docs)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
