@@ -160,8 +160,7 @@ def shared_counts(t: DataFrame, k: int, percent: int, tokens: int, bucket_tokens
         kinds = np.bincount(group, first | np.concatenate([[False], c_[1:] != c_[:-1]]))
         shared = (kinds > 1) | (np.bincount(group, many[order]) > 0)
         keep = shared[group] & ~many[order]
-        got = pd.DataFrame({"x": c_[keep], "src": src[order][keep]})
-        return got.groupby(["x", "src"], sort=False).size().rename("c").reset_index()[["x", "src", "c"]]
+        return pd.DataFrame({"x": c_[keep], "src": src[order][keep], "c": 1})
 
     columns = ["bucket", "src", "x", "c", "a", "b", "many"]
 
