@@ -359,7 +359,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, bucket_to
             rows = [(*class_of(s), len(s), s.tobytes()) for s in shingle_sets(f["text"], k)]
             yield pd.DataFrame(rows, columns=["x", "y", "n", "tokens"])
 
-    asked = alive.select(F.col("rep").cast("string").alias("rep")).distinct()
+    # Always the same join, whatever the size: texts and ids are exchanged by doc_id, nothing is broadcast.
+    asked = alive.select(F.col("rep").cast("string").alias("rep")).distinct().hint("merge")
     sets = t.join(asked, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInPandas(whole, "x long, y long, n long, tokens binary")
     sets = sets.join(alive.select("x", "y"), ["x", "y"], "left_semi").dropDuplicates(["x", "y"])
     sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "jaccard-alive-sets")
