@@ -205,3 +205,35 @@ def test_quality_learns(spark):
     held = [x for x in rows if x.held_out and x.doc_id < 400]
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in rows)
     assert sum(x.predicted == (x.doc_id % 4 != 0) for x in held) >= 0.95 * len(held)
+
+
+@pytest.mark.parametrize("most", [1, 16_384])
+def test_repeats_of_hot_passages_by_brute_force(spark, most):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abé\0") for _ in range(r.randint(1, 9)))
+    passage = " ".join(word() for _ in range(90))
+    texts = [" ".join(word() for _ in range(r.randint(0, 60))) + passage[r.randint(0, 40) : r.randint(150, 400)] + " ".join(word() for _ in range(r.randint(0, 40))) for _ in range(60)]
+    got = {x.doc_id: x for x in repeats.remove_repeats(docs(spark, texts).repartition(5), most=most, bucket_entries=50).collect()}
+    seen = set()
+    for d, t in enumerate(texts):
+        b = t.encode()
+        gone = [False] * len(b)
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = [True] * 100
+            seen.add(b[i : i + 100])
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        assert (got[d].n_bytes, got[d].n_removed, got[d].kept_sha256) == (len(b), sum(gone), hashlib.sha256(kept).hexdigest()), d
+
+
+def test_maximal_repeats_have_all_occurrences(spark):
+    r = random.Random(2)
+    some = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    shared = some(130)
+    texts = [some(50) + shared + some(60) for _ in range(4)]
+    rows = repeats.maximal_repeats(docs(spark, texts)).collect()
+    whole = {}
+    for x in rows:
+        assert texts[x.doc_id][x.start : x.start + x.n] == texts[x.first_doc_id][x.first_start : x.first_start + x.n] and x.n >= 100
+        whole.setdefault((x.first_doc_id, x.first_start, x.n), set()).add(x.doc_id)
+    assert any(len(v) == 4 for v in whole.values())
