@@ -13,59 +13,99 @@ shared folder, so a lost executor changes nothing.
 from __future__ import annotations
 
 import bisect
+import os
 import re
-import unicodedata
 import zlib
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import named, renumbered, written
 
 END = 1
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-# Texts in which Python's white space, lower case or special strings could differ from the library's.
-PLAIN = re.compile("[\x1c-\x1f\x85Σİ᠎​]|<\\|")
+# White space other than blank, tab and line ends, where Python and the library could differ.
+ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
-# Texts of these characters alone split alike by this simpler pattern, and are in composed form.
-LATIN = re.compile(r"[^\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ſ]")
-LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
+# A part of these characters alone is in composed form and is cut into words by this pattern, as the file
+# has it; all other parts, and those with special tokens, are cut by the library.
+OTHER = re.compile(r"[^!-~À-ÖØ-öø-įĲ-ſ]|<\|")
+OTHER_TEXT = re.compile(r"[^!-~À-ÖØ-öø-įĲ-ſ \t\r\n]|<\|")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 
 
-class Tokens(dict):
-    """Pre-token to ids of a vocabulary file; each is encoded by the library once and kept, up to a bound."""
+class Tokens:
+    """Ids of texts by a vocabulary file.
 
-    KEEP = 400_000
+    No token, lower-casing or composition of characters reaches over a blank, so a text has the ids of its
+    parts between blanks, and a part those of its words. Each word is encoded by the library once and kept,
+    as are the parts, up to a bound; what a batch of texts lacks is encoded in one call. Texts with odd
+    white space are given to the library whole.
+    """
+
+    KEEP = 1_000_000
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of a worker are the parallelism
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.lib = Tokenizer.from_file(path)
+        self._clear()
+
+    def _clear(self):
+        self.place: dict[str, int] = {}
+        self.flat, self.begin, self.size = (np.zeros(0, d) for d in ("<u4", np.int64, np.int64))
+
+    def _keep(self, parts: list[str], size: np.ndarray, ids: np.ndarray):
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.place.update(zip(parts, range(len(self.begin), len(self.begin) + len(parts))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
+
+    def _held(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each of the parts, all known, and their ids one after the other."""
+        at = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return size, self.flat[np.repeat(self.begin[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _add(self, parts: list[str]):
+        words = [[p] if OTHER.search(p) else WORDS.findall(p.lower()) for p in parts]
+        new = [w for w in set(chain.from_iterable(words)) if w not in self.place]
+        ids = [e.ids for e in self.lib.encode_batch_fast(new, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._keep(new, size, np.fromiter(chain.from_iterable(ids), "<u4", int(size.sum())))
+        rest = [(p, w) for p, w in zip(parts, words) if p not in self.place]
+        size, ids = self._held([w for _, ws in rest for w in ws])
+        first = np.cumsum([0] + [len(ws) for _, ws in rest])
+        ends = np.concatenate([[0], np.cumsum(size)])[first]
+        self._keep([p for p, _ in rest], np.diff(ends), ids)
+
+    def ids(self, texts_: list[str]) -> list[np.ndarray]:
+        """The ids of each text, and the end token."""
+        if len(self.place) > self.KEEP or len(self.flat) > 8 * self.KEEP:
+            self._clear()
+        parts = [t.lower().split() if not OTHER_TEXT.search(t) else [t] if ODD_SPACE.search(t) else t.split() for t in texts_]
+        if new := [p for p in set(chain.from_iterable(parts)) if p not in self.place]:
+            self._add(new)
+        out = []
+        for p in parts:
+            out.append(np.append(self._held(p)[1], np.uint32(END)))
+        return out
+
+
+_kept: dict[str, Tokens] = {}
+
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= self.KEEP:
-            self.clear()
-        ids = self.lib.encode(word, add_special_tokens=False).ids
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> np.ndarray:
-        if PLAIN.search(text):
-            out = self.lib.encode(text, add_special_tokens=False).ids
-            return np.array([*out, END], dtype="<u4")
-        if LATIN.search(text):
-            words = SPLIT.findall(unicodedata.normalize("NFC", text).lower())
-        else:
-            words = LATIN_SPLIT.findall(text.lower())
-        return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, words)), (END,)), dtype="<u4")
+def tokens_of(path: str) -> Tokens:
+    """The tokens of a file, kept for all tasks of a worker."""
+    if path not in _kept:
+        _kept[path] = Tokens(path)
+    return _kept[path]
 
 
 class Windows:
@@ -124,19 +164,17 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 2048, open_window
     names = [*COLUMNS[:5], "offset", "sequence_id", "whole"]
 
     def first(frames):
-        tokens, windows, part = Tokens(path), Windows(size, open_windows, least_cut), TaskContext.get().partitionId()
+        tokens, windows, part = tokens_of(path), Windows(size, open_windows, least_cut), TaskContext.get().partitionId()
 
         def frame(rows):
             out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
             out["sequence_id"] += part * SHIFT
             out["part"] = part
             return out
 
         for f in frames:
             rows = []
-            for d, t in zip(f["doc_id"].astype("Int64"), f["text"]):
-                ids = tokens.ids(t)
+            for d, ids in zip(f["doc_id"], tokens.ids(f["text"].tolist())):
                 rows += windows.put((d, len(ids), 0), len(ids), ids)
                 if len(rows) > 50_000:
                     yield frame(rows)
@@ -159,8 +197,8 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 2048, open_window
         f["sequence_id"] = f["sequence_id"].map(lambda k: to[k][0])
         return f[COLUMNS]
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, sequence_id long, whole boolean, part int"
-    placed = written(texts(docs).mapInPandas(first, schema), "packing")
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, offset long, sequence_id long, whole boolean, part int"
+    placed = written(named(docs).mapInPandas(first, schema), "packing")
     whole = placed.where("whole").select(*COLUMNS)
-    rest = placed.where("not whole").groupBy(F.expr(f"part div {merge}")).applyInPandas(lambda f: merged(f), SCHEMA)
-    return whole.unionByName(rest)
+    rest = placed.where("not whole").groupBy(F.expr(f"part div {merge}")).applyInPandas(lambda f: merged(f), SCHEMA.replace("doc_id long", "doc_id string"))
+    return renumbered(whole.unionByName(rest), docs)

@@ -237,3 +237,17 @@ def test_maximal_repeats_have_all_occurrences(spark):
         assert texts[x.doc_id][x.start : x.start + x.n] == texts[x.first_doc_id][x.first_start : x.first_start + x.n] and x.n >= 100
         whole.setdefault((x.first_doc_id, x.first_start, x.n), set()).add(x.doc_id)
     assert any(len(v) == 4 for v in whole.values())
+
+
+def test_tokens_are_those_of_the_library():
+    import public_tokenizers
+
+    tokens = packing.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(4)
+    chars = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    odd = list(" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2028\u200b\u0300\u0301\u0345\u1100\u1161\u11a8\u03a3\u0130'sS") + ["<|endoftext|>", "<|", "\u208f", "\u209d"]
+    texts = ["".join(r.choice(odd if r.random() < 0.5 else chars) for _ in range(r.randint(0, 30))) for _ in range(8000)]
+    texts += [f"a{c}b {c}c" for c in chars[:0x10000]]
+    for i in range(0, len(texts), 1000):
+        for t, got in zip(texts[i : i + 1000], tokens.ids(texts[i : i + 1000])):
+            assert got.tolist() == [*tokens.lib.encode(t, add_special_tokens=False).ids, 1], repr(t)
