@@ -13,13 +13,16 @@ shared folder, so a lost executor changes nothing.
 from __future__ import annotations
 
 import bisect
+import gc
 import os
 import re
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,22 +69,30 @@ class Tokens:
         self.flat = np.concatenate([self.flat, ids])
         self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
 
-    def _held(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each of the parts, all known, and their ids one after the other."""
-        at = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+    def _spread(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each of the parts at these places, and their ids one after the other."""
         size = self.size[at]
         ends = np.cumsum(size)
         return size, self.flat[np.repeat(self.begin[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def _add(self, parts: list[str]):
-        words = [[p] if OTHER.search(p) else WORDS.findall(p.lower()) for p in parts]
+    def _places(self, parts: list[str], plain: bool) -> np.ndarray:
+        """Places of distinct parts; those not known yet are encoded."""
+        at = np.fromiter(map(self.place.get, parts, repeat(-1)), np.int64, len(parts))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            self._add([parts[i] for i in unknown.tolist()], plain)
+            at[unknown] = np.fromiter((self.place[parts[i]] for i in unknown.tolist()), np.int64, len(unknown))
+        return at
+
+    def _add(self, parts: list[str], plain: bool):
+        words = list(map(WORDS.findall, parts)) if plain else [[p] if OTHER.search(p) else WORDS.findall(p.lower()) for p in parts]
         new = [w for w in set(chain.from_iterable(words)) if w not in self.place]
         ids = [e.ids for e in self.lib.encode_batch_fast(new, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         self._keep(new, size, np.fromiter(chain.from_iterable(ids), "<u4", int(size.sum())))
         rest = [(p, w) for p, w in zip(parts, words) if p not in self.place]
-        size, ids = self._held([w for _, ws in rest for w in ws])
-        first = np.cumsum([0] + [len(ws) for _, ws in rest])
+        first = np.cumsum([0] + [len(w) for _, w in rest])
+        size, ids = self._spread(np.fromiter(map(self.place.__getitem__, chain.from_iterable(w for _, w in rest)), np.int64, int(first[-1])))
         ends = np.concatenate([[0], np.cumsum(size)])[first]
         self._keep([p for p, _ in rest], np.diff(ends), ids)
 
@@ -89,13 +100,21 @@ class Tokens:
         """The ids of each text, and the end token."""
         if len(self.place) > self.KEEP or len(self.flat) > 8 * self.KEEP:
             self._clear()
-        parts = [t.lower().split() if not OTHER_TEXT.search(t) else [t] if ODD_SPACE.search(t) else t.split() for t in texts_]
-        if new := [p for p in set(chain.from_iterable(parts)) if p not in self.place]:
-            self._add(new)
-        out = []
-        for p in parts:
-            out.append(np.append(self._held(p)[1], np.uint32(END)))
-        return out
+        plain = [not OTHER_TEXT.search(t) for t in texts_]
+        if all(plain):  # split by Arrow, which may add empty parts: they have no ids
+            lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts_], pa.large_string()))
+        else:
+            parts = [t.lower().split() if p else [t] if ODD_SPACE.search(t) else t.split() for t, p in zip(texts_, plain)]
+            lists = pa.array(parts, pa.list_(pa.large_string()))
+        parts = lists.values.dictionary_encode()
+        gc.disable()  # many small lists come and go at once, none in cycles
+        try:
+            at = self._places(parts.dictionary.to_pylist(), all(plain))
+        finally:
+            gc.enable()
+        size, ids = self._spread(at[parts.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(size)])[lists.offsets.to_numpy()]
+        return [np.append(ids[i:j], np.uint32(END)) for i, j in zip(ends[:-1], ends[1:])]
 
 
 _kept: dict[str, Tokens] = {}
