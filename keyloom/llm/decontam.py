@@ -10,13 +10,15 @@ empty texts, and items without `least` words, match nothing.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import named, renumbered, written
 
 WORD = re.compile(r"\w+")
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -102,28 +104,38 @@ def blocks(benchmark: DataFrame, least: int, block_bytes: int):
         yield Index([tuple(r) for r in part], least)
 
 
-SCHEMA = "doc_id long, n_items long, best_item long, coverage double, contaminated boolean"
+FOUND = "n_items long, best_item string, coverage double, contaminated boolean"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.6, block_bytes: int = 1 << 24) -> DataFrame:
-    """Per document: items reached, the best one (ties: least item_id), its coverage, the decision."""
-    spark, out = docs.sparkSession, None
-    for index in blocks(benchmark, least, block_bytes):
-        sent = spark.sparkContext.broadcast(index)
+    """Per document: items reached, the best one (ties: least item_id), its coverage, the decision. Every row
+    gives a row, repeated ones and those without doc_id too, however many blocks the benchmark takes."""
+    indexes = list(blocks(benchmark, least, block_bytes))
+    rows = named(docs)
+    if len(indexes) > 1:  # the number of a row must not change between the passes
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
+    keys = [f.name for f in rows.schema if f.name != "text"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", " + FOUND
+    parts = []
+    for index in indexes:
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(frames, sent=sent):
             for f in frames:
-                rows = []
-                for d, t in zip(f["doc_id"], f["text"]):
+                found = []
+                for t in f["text"]:
                     got = sorted(((c, -i) for i, c in sent.value.covered(t)), reverse=True)
-                    rows.append((d, sum(c >= share for c, _ in got), -got[0][1] if got else None, got[0][0] if got else 0.0, bool(got) and got[0][0] >= share))
-                x = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-                yield x.astype({"doc_id": "Int64", "best_item": "Int64"})
+                    found.append((sum(c >= share for c, _ in got), str(-got[0][1]) if got else None, got[0][0] if got else 0.0, bool(got) and got[0][0] >= share))
+                yield pd.concat([f[keys], pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")], index=f.index)], axis=1)
 
-        part = texts(docs).mapInPandas(run, SCHEMA)
-        out = part if out is None else out.unionByName(part).groupBy("doc_id").agg(
-            F.sum("n_items").alias("n_items"), F.max_by("best_item", F.struct("coverage", -F.col("best_item"))).alias("best_item"), F.max("coverage").alias("coverage"), F.max("contaminated").alias("contaminated"))
-    return out
+        parts.append(rows.mapInPandas(run, schema))
+    out = parts[0]
+    if len(parts) > 1:
+        best = F.max_by("best_item", F.struct("coverage", -F.col("best_item").cast("long")))
+        every = reduce(DataFrame.unionByName, parts)
+        out = every.groupBy(*keys).agg(F.sum("n_items").alias("n_items"), best.alias("best_item"), F.max("coverage").alias("coverage"), F.max("contaminated").alias("contaminated"))
+    out = renumbered(out.withColumn("best_item", F.col("best_item").cast("long")), docs)
+    return out.select("doc_id", "n_items", "best_item", "coverage", "contaminated")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.6, block_bytes: int = 1 << 24) -> DataFrame:
@@ -131,9 +143,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float =
     for index in blocks(benchmark, least, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(frames, sent=sent):
-            for f in frames:
-                yield f[[not any(c >= share for _, c in sent.value.covered(t or "")) for t in f["text"]]]
+        def run(batches, sent=sent):
+            for b in batches:
+                keep = [not any(c >= share for _, c in sent.value.covered(t or "")) for t in b.column("text").to_pylist()]
+                yield b.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import renumbered
+
 # Element names and class words.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
@@ -29,30 +31,50 @@ ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "dial
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>"']|"[^"]*"|'[^']*')*>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|</?[a-zA-Z][^\s/<>]*+(?:[^<>"']|"[^"]*"|'[^']*')*+>""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+ATTR = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?|"[^"]*"|'[^']*'""")
+OPINIONS = {"comment", "comments", "replies"}
+# Words that say where or how large a thing is, not what: beside them a class word still counts.
+PLACES = {"area", "bar", "block", "body", "bottom", "box", "column", "container", "content", "global", "group", "header", "holder", "inner", "items", "left", "links", "list", "main", "outer", "page", "panel", "post", "right", "section", "site", "text", "top", "wrap", "wrapper", "zone"}
 
 
 class Node:
-    __slots__ = ("tag", "kids", "drop", "up", "c", "t", "lc", "lt", "d", "sum")
+    __slots__ = ("tag", "kids", "drop", "weak", "up", "c", "t", "lc", "lt", "d", "sum")
 
     def __init__(self, tag: str, up, drop: bool = False):
-        self.tag, self.up, self.drop, self.kids = tag, up, drop, []
+        self.tag, self.up, self.drop, self.kids, self.weak = tag, up, drop, [], False
         self.c = self.t = self.lc = self.lt = 0
         self.d = self.sum = 0.0
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Names in lower case and values of a tag; the first of each name, as browsers have it."""
+    out: dict[str, str] = {}
+    for m in ATTR.finditer(raw, NAME.match(raw).end()):
+        if m[1]:
+            out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
 def unwanted(tag: str, raw: str, up) -> bool:
+    """Elements that are boilerplate by their name, role or state."""
     if tag in DROP or tag == "header" and not any(n.tag in ("article", "main") for n in path(up)):
         return True
-    for m in ATTR.finditer(raw):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and tag not in ("html", "body", "article", "main") and BAD.intersection(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+    a = attributes(raw)
+    named = class_words(tag, a) & OPINIONS
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or bool(named)
+
+
+def class_words(tag: str, a: dict[str, str]) -> set:
+    """Words of class and id that name boilerplate, from names that say nothing else."""
+    out = set()
+    if tag not in ("html", "body", "article", "main"):
+        for name in (a.get("class", "") + " " + a.get("id", "")).lower().split():
+            words = {w for w in re.split(r"[^a-z]+", name) if w}
+            if words and words <= BAD | PLACES:
+                out |= words & BAD
+    return out
 
 
 def path(n):
@@ -98,6 +120,7 @@ def parse(page: str) -> Node:
         if tag == "body":
             at = root
         n = Node(tag, at, unwanted(tag, raw, at))
+        n.weak = not n.drop and bool(class_words(tag, attributes(raw)))
         at.kids.append(n)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
@@ -118,6 +141,15 @@ def ordered(root: Node) -> list[Node]:
     return out
 
 
+def doubted(root: Node):
+    """Nodes that class words speak against go, unless they hold more than half of the page's text."""
+    nodes, size = ordered(root), {}
+    for n in reversed(nodes):
+        size[id(n)] = sum(len(k.strip()) if isinstance(k, str) else size.get(id(k), 0) for k in n.kids)
+    for n in nodes:
+        n.drop = n.drop or n.weak and 2 * size[id(n)] <= size[id(root)]
+
+
 def measure(root: Node) -> list[Node]:
     nodes = ordered(root)
     for n in reversed(nodes):
@@ -156,6 +188,7 @@ def headings(n: Node, best: Node, way: set, chosen) -> set:
 
 def extract(page: str) -> str:
     root = parse(page)
+    doubted(root)
     nodes = measure(root)
     best = max(nodes, key=lambda n: n.sum)
     if not best.c:
@@ -190,7 +223,7 @@ def extract(page: str) -> str:
     return "\n\n".join(b for b in (" ".join("".join(x).split()) for x in blocks) if b)
 
 
-SCHEMA = "page_id long, url string, text string, n_chars long"
+SCHEMA = "page_id string, url string, text string, n_chars long"
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -199,7 +232,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     def run(frames):
         for f in frames:
             got = [extract(h) for h in f["html"]]
-            yield pd.DataFrame({"page_id": f["page_id"].astype("Int64"), "url": f["url"], "text": got, "n_chars": [len(t) for t in got]})
+            yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "text": got, "n_chars": [len(t) for t in got]})
 
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInPandas(run, SCHEMA)
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    return renumbered(rows.mapInPandas(run, SCHEMA), pages, "page_id")

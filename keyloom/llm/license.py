@@ -12,25 +12,43 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import named, renumbered
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 
-# Label, strength of the evidence, template. The first three are the base phrases.
+# Label, strength of the evidence, template. The first three are the base phrases; then come
+# references to a license by name, and wording of the licenses themselves.
+AS_IS = "is provided <<opt>>by the <<var:1-8>><</opt>> as is"
 TEMPLATES = [
     ("mit", 0.7, "under the mit license"),
     ("apache-2", 0.7, "apache license version 2"),
     ("cc-by-nc", 0.7, "cc by nc"),
-    ("mit", 0.9, "<<opt>>is<</opt>> <<opt>>released<</opt>> <<opt>>licensed<</opt>> <<opt>>distributed<</opt>> under the <<opt>>terms of the<</opt>> mit license"),
+    ("mit", 0.8, "<<opt>>is<</opt>> <<opt>>released<</opt>> <<opt>>licensed<</opt>> <<opt>>distributed<</opt>> under the terms of the mit license"),
+    ("mit", 0.8, "spdx license identifier mit"),
+    ("mit", 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind"),
     ("apache-2", 0.9, "licensed under the apache license version 2 0"),
-    ("cc-by-nc", 0.9, "creative commons attribution <<opt>>non commercial<</opt>><<opt>>noncommercial<</opt>> <<opt>>share alike<</opt>> <<var:0-1>> international"),
-    ("mit", 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <<var:1-3>> to deal in the software without restriction"),
-    ("apache-2", 1.0, "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("bsd", 1.0, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", 1.0, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("gpl", 1.0, "under the terms of the gnu <<opt>>lesser<</opt>> <<opt>>affero<</opt>> general public license"),
-    ("mpl-2", 1.0, "subject to the terms of the mozilla public license v 2 0"),
+    ("apache-2", 0.8, "spdx license identifier apache 2 0"),
+    ("apache-2", 1.0, "licensed under the apache license version 2 0 the license you may not use <<var:1-4>> except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", 1.0, "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("cc-by", 0.9, "creative commons attribution <<opt>>4 0<</opt>> <<opt>>4<</opt>> international"),
+    ("cc-by", 0.9, "creative commons attribution <<opt>>3 0<</opt>> <<opt>>2 0<</opt>> <<opt>>2 5<</opt>> <<opt>>unported<</opt>> <<opt>>generic<</opt>> license"),
+    ("cc-by-sa", 0.9, "creative commons attribution sharealike"),
+    ("cc-by-sa", 0.9, "creative commons attribution share alike"),
+    ("cc-by-nc", 0.9, "creative commons attribution noncommercial"),
+    ("cc-by-nc", 0.9, "creative commons attribution non commercial"),
+    ("cc0", 0.9, "creative commons <<opt>>cc0<</opt>> <<opt>>zero<</opt>> <<opt>>1 0<</opt>> universal <<opt>>1 0<</opt>> public domain dedication"),
+    ("bsd-2", 0.9, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software " + AS_IS),
+    ("bsd-3", 1.0, "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<opt>>3<</opt>> neither the name of <<var:1-10>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", 1.0, "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("gpl", 0.9, "under the terms of the gnu general public license"),
+    ("gpl", 1.0, "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version <<var:1-2>> of the license or at your option any later version"),
+    ("lgpl", 0.9, "under the terms of the gnu lesser general public license"),
+    ("lgpl", 0.9, "under the terms of the gnu library general public license"),
+    ("agpl", 0.9, "under the terms of the gnu affero general public license"),
+    ("mpl-2", 1.0, "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("unlicense", 1.0, "this is free and unencumbered software released into the public domain"),
+    ("zlib", 1.0, "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose"),
 ]
 N_BASE = 3
 MARK = re.compile(r"<<(/?opt|var:\d+-\d+)>>")
@@ -121,7 +139,7 @@ def scan(text: str, automata: list, templates=TEMPLATES):
     return len(ws), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -132,8 +150,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
         for f in frames:
             rows = [(d, *scan(t, automata)) for d, t in zip(f["doc_id"], f["text"])]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            for c in ("doc_id", "first_word", "last_word"):
+            for c in ("first_word", "last_word"):
                 out[c] = out[c].astype("Int64")
             yield out
 
-    return texts(docs).mapInPandas(run, SCHEMA)
+    return renumbered(named(docs).mapInPandas(run, SCHEMA), docs)

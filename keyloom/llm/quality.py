@@ -14,10 +14,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import named, renumbered, texts
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS, MAX_ROWS, SCORE = 18, 6000, 0.7
@@ -112,19 +113,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(frames):
         features = Features()
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "held_out": f["held_out"], "score": score_all(f["text"], sent.value, features)})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "score": score_all(f["text"], sent.value, features)})
 
-    scored = texts(docs).withColumn("held_out", held_out()).mapInPandas(run, "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= SCORE).cast("int"))
+    scored = named(docs).withColumn("held_out", F.coalesce(held_out(), F.lit(False))).mapInPandas(run, "doc_id string, held_out boolean, score double")
+    return renumbered(scored, docs).withColumn("predicted", (F.col("score") >= SCORE).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of docs, all columns, that are predicted good."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def run(frames):
+    def run(batches):
         features = Features()
-        for f in frames:
-            yield f[np.array(score_all(f["text"], sent.value, features)) >= SCORE]
+        for b in batches:
+            yield b.filter(pa.array(np.array(score_all(b.column("text").to_pylist(), sent.value, features)) >= SCORE, pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -1,14 +1,17 @@
 """Secret scans: a worklist of decoded layers, unwrapped until nothing new appears.
 
-Every layer is scanned; a finding inside a layer is reported at the span of the outermost encoded
-token in the original text. Layers seen before are not opened again, so cycles end. Null and empty
-texts have no findings.
+Every layer is scanned. A finding inside a layer is reported where it stands in the original text: percent
+and backslash escapes and base64 are mapped back character by character; a compressed layer, and a token whose percent
+escapes are not UTF-8, stand for the whole of the token. Layers seen before at the same place are not opened again, so cycles end. Base64 of less than 16
+characters cannot hold a finding, packed or not. Null and empty texts have no findings; repeated rows each
+give a row; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import re
 import zlib
@@ -17,7 +20,7 @@ from urllib.parse import unquote_to_bytes
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import named, renumbered
 
 # The kinds in their order, pattern, group whose length counts, least length.
 KINDS = [
@@ -26,10 +29,11 @@ KINDS = [
     ("hex", re.compile(r"[0-9a-f]{16,}"), 0, 16),
 ]
 ORDER = {k[0]: n for n, k in enumerate(KINDS)}
-URL = re.compile(r"[^\s%]*%[0-9A-Fa-f]{2}\S*")
-ESCAPED = re.compile(r"[^\s\\]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})\S*")
+TOKEN = re.compile(r"\S+")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 
 
@@ -40,14 +44,6 @@ def found(text: str):
                 yield kind, m.start(), m.end()
 
 
-def printable(raw: bytes, errors: str = "strict"):
-    try:
-        s = raw.decode("utf-8", errors)
-    except UnicodeDecodeError:
-        return None
-    return s if s and sum(c.isprintable() or c in "\n\r\t" for c in s) >= 0.9 * len(s) else None
-
-
 def unpacked(raw: bytes) -> bytes:
     """All members of compressed bytes, joined as gunzip does; what follows the last valid one is left out."""
     out = []
@@ -61,36 +57,101 @@ def unpacked(raw: bytes) -> bytes:
     return b"".join(out)
 
 
-def readable(raw: bytes, errors: str = "strict"):
-    seen = set()
+def opened(raw: bytes) -> tuple[str, bool]:
+    """The text of decoded bytes, all compression around it undone, and whether there was any. Bytes that are
+    not UTF-8 are read one to one."""
+    seen, packed = set(), False
     while raw[:2] in MAGIC and raw not in seen:
         seen.add(raw)
         inner = unpacked(raw)
         if not inner:
             break
-        raw = inner
-    return printable(raw, errors)
+        raw, packed = inner, True
+    return raw.decode("utf-8" if utf8(raw) else "latin-1"), packed
+
+
+def replaced(token: str, pattern: re.Pattern, decoded) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """Text with every match decoded; and for each match its place in the result and in the token."""
+    out, places, at, size = [], [], 0, 0
+    for m in pattern.finditer(token):
+        new = decoded(m)
+        size += m.start() - at
+        places.append((size, size + len(new), m.start(), m.end()))
+        out += [token[at : m.start()], new]
+        at, size = m.end(), size + len(new)
+    return "".join(out) + token[at:], places
+
+
+def outside(places: list, begin: int):
+    """Maps a span of a text made by replaced() back: what lies in a match stands for the match's part,
+    in proportion, since an escape is as long for each character of a run or is taken whole."""
+    starts = [p[0] for p in places]
+
+    def one(x: int, end: bool) -> int:
+        k = bisect.bisect_right(starts, x - end) - 1
+        if k < 0:
+            return begin + x
+        a, b, c, d = places[k]
+        if x >= b:
+            return begin + d + x - b
+        n = b - a
+        width = (d - c) // n if (d - c) % n == 0 else 0
+        return begin + (c + (x - a) * width if width else d if end else c)
+
+    return lambda a, b: (one(a, False), one(b, True))
+
+
+def escaped(m: re.Match) -> str:
+    return chr(int(m[1] or m[2], 16))
+
+
+def utf8(raw: bytes) -> bool:
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def unquoted(m: re.Match) -> str:
+    raw = unquote_to_bytes(m[0])
+    return raw.decode("utf-8" if utf8(raw) else "latin-1")
+
+
+def inside_base64(text: str, token: str, begin: int, utf8: bool):
+    """Maps a span of decoded characters to the characters of the token that hold them."""
+
+    def one(x: int, end: bool) -> int:
+        k = len(text[:x].encode("utf-8")) if utf8 else x
+        return begin + min((k * 4 + 2) // 3 if end else k * 4 // 3, len(token))
+
+    return lambda a, b: (one(a, False), one(b, True))
 
 
 def layers(text: str):
-    """(start, end, decoded text) of each encoded token."""
-    if "%" in text:
-        for m in URL.finditer(text):
-            if s := readable(unquote_to_bytes(m[0]), "replace"):
-                yield m.start(), m.end(), s
-    if "\\" in text:
-        for m in ESCAPED.finditer(text):
-            yield m.start(), m.end(), ESCAPE.sub(lambda e: chr(int(e[1] or e[2], 16)), m[0])
-    for m in B64.finditer(text):
-        token = m[0].rstrip("=")
-        if len(token) % 4 == 1 or token.islower() or token[1:].islower() or token.isdigit():
+    """(decoded text, map of its spans to spans of text) of each encoded token."""
+    for mark, pattern, decoded in (("%", PERCENT, unquoted), ("\\", ESCAPE, escaped)):
+        if mark in text:
+            for m in TOKEN.finditer(text):
+                if mark in m[0]:
+                    new, places = replaced(m[0], pattern, decoded)
+                    if places:
+                        known = mark != "%" or all(utf8(unquote_to_bytes(m[0][c:d])) for _, _, c, d in places)
+                        yield new, outside(places, m.start()) if known else (lambda a, b, span=m.span(): span)
+    wrapped = WRAPPED.finditer(text) if "\n" in text else ()
+    for m in (*B64.finditer(text), *wrapped):
+        token = re.sub(r"[\r\n]", "", m[0]).rstrip("=")
+        if len(token) % 4 == 1:
             continue
         try:
-            s = readable(base64.b64decode(token.replace("-", "+").replace("_", "/") + "=" * (-len(token) % 4), validate=True))
+            raw = base64.b64decode(token.replace("-", "+").replace("_", "/") + "=" * (-len(token) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        if s:
-            yield m.start(), m.end(), s
+        new, compressed = opened(raw)
+        if compressed or len(token) < len(m[0].rstrip("=")):
+            yield new, (lambda a, b, span=m.span(): span)
+        elif new:
+            yield new, inside_base64(new, m[0], m.start(), new.encode("utf-8", "surrogatepass") == raw)
 
 
 def listed(spans) -> list[str]:
@@ -99,15 +160,16 @@ def listed(spans) -> list[str]:
 
 def scan(text: str):
     base = list(found(text))
-    spans, seen = set(base), {text}
-    todo = [(a, b, s) for a, b, s in layers(text)]
+    spans, seen = set(base), set()
+    todo = [(new, back) for new, back in layers(text)]
     while todo:
-        a, b, s = todo.pop()
-        if (a, b, s) in seen:
+        layer, back = todo.pop()
+        key = (layer, back(0, len(layer)))
+        if key in seen:
             continue
-        seen.add((a, b, s))
-        spans.update((k, a, b) for k, _, _ in found(s))
-        todo += [(a, b, t) for _, _, t in layers(s) if t != s]
+        seen.add(key)
+        spans.update((k, *back(a, b)) for k, a, b in found(layer))
+        todo += [(new, lambda a, b, f=back, g=inner: f(*g(a, b))) for new, inner in layers(layer) if new != layer]
     n = [sum(k == kind for k, _, _ in base) for kind in ORDER]
     return *n, hashlib.sha256(",".join(listed(base)).encode()).hexdigest(), ",".join(listed(spans))
 
@@ -122,7 +184,7 @@ def masked(text: str, spans: str) -> str:
     return "".join(out) + text[at:]
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+SCHEMA = "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
@@ -130,8 +192,6 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            out = pd.DataFrame([(d, *scan(t)) for d, t in zip(f["doc_id"], f["text"])], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame([(d, *scan(t)) for d, t in zip(f["doc_id"], f["text"])], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return texts(docs).mapInPandas(run, SCHEMA)
+    return renumbered(named(docs).mapInPandas(run, SCHEMA), docs)

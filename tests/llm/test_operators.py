@@ -251,3 +251,88 @@ def test_tokens_are_those_of_the_library():
     for i in range(0, len(texts), 1000):
         for t, got in zip(texts[i : i + 1000], tokens.ids(texts[i : i + 1000])):
             assert got.tolist() == [*tokens.lib.encode(t, add_special_tokens=False).ids, 1], repr(t)
+
+
+def test_secret_spans_and_encodings():
+    plain = "password=abcdefghijkl1"
+    quoted = "".join(f"%{ord(c):02X}" for c in plain)
+    text = f"x {quoted} y"
+    a, b = text.index(quoted), text.index(quoted) + len(quoted)
+    assert secrets.scan(text)[-1] == f"assign:{a}:{b}"
+    mixed = "say pass%77ord=abcdefghijkl1 ok"
+    assert secrets.scan(mixed)[-1] == "assign:4:28"
+    inner = base64.b64encode(b"hello there password=abcdefghijkl1 and bye").decode()
+    a, b = map(int, secrets.scan(inner)[-1].split(":")[1:])
+    assert 0 < a < b < len(inner) and secrets.masked(inner, secrets.scan(inner)[-1]).startswith(inner[:a])
+    assert secrets.scan(base64.encodebytes(b"some words first " * 5 + plain.encode()).decode())[-1].startswith("assign:")
+    assert secrets.scan(base64.b64encode(b"caf\xe9 " + plain.encode()).decode())[-1].startswith("assign:")
+    assert secrets.scan("\\u0070assword=abcdefghijkl1")[-1] == "assign:0:27"
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    start = time.time()
+    secrets.scan("ab" * 300_000 + "%zz" + "\\" * 100_000)
+    html_extract.extract("<a " * 100_000)
+    html_extract.extract("<!" * 100_000)
+    assert time.time() - start < 20
+
+
+def test_license_labels():
+    automata = [license.Automaton(t) for _, _, t in license.TEMPLATES]
+    label = lambda t: license.scan(t, automata)[5]
+    assert label("Creative Commons Attribution 4.0 International") == "cc-by"
+    assert label("Creative Commons Attribution-NonCommercial 4.0 International License") == "cc-by-nc"
+    assert label("Creative Commons Attribution-ShareAlike 4.0 International") == "cc-by-sa"
+    assert label("under the terms of the GNU Lesser General Public License") == "lgpl"
+    assert label("This is licensed under the Apache License, Version 2.0") == "apache-2"
+    assert license.scan("under the MIT license", automata)[6] == 0.7
+
+
+def test_html_attributes():
+    body = "<p>" + "some words of an article " * 8 + "</p>"
+    for tag in ('<body style="overflow:hidden"><div>', '<body><article title="hidden gems">', '<body><div data-id="ad">', '<body><div class="share-price">', '<body><div class="widget">'):
+        assert html_extract.extract(f"<html>{tag}{body}").startswith("some words"), tag
+    assert html_extract.extract(f'<body><div>{body}</div><div class="ad-box">buy this now</div></body>') == " ".join(["some words of an article"] * 8)
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, n long, x long, bucket int, id long, row string, h long, block int, uid long"
+
+
+def odd_rows(spark):
+    """Null, large and repeated ids beside each other, null, empty, repeated and long texts, clashing names."""
+    big = (1 << 60) + 1
+    long_ = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(None, "a b c d e f"), (big, "a b c d e f"), (big, "a b c d e f"), (7, None), (8, ""), (big + 2, long_), (None, long_ + " end"), (None, None)]
+    return spark.createDataFrame([(d, t, None, None, None, 1, 2, 3, 4, "r", 5, 6, 7) for d, t in rows], CLASH), rows
+
+
+def every_operator(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six"), (None, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (None, None)], "doc_id long, quality int")
+    return {
+        "license": license.license_scan, "packing": packing.pack, "sharding": sharding.shard, "repeats": repeats.remove_repeats,
+        "jaccard": jaccard.jaccard_components, "secrets": secrets.secret_scan, "imatch": imatch.fingerprints,
+        "decontam": lambda d: decontam.decontaminate(d, bench), "blocks": lambda d: decontam.decontaminate(d, bench, block_bytes=8),
+        "quality": lambda d: quality.quality_scores(d, labels), "kept": jaccard.kept, "clean": lambda d: decontam.clean(d, bench),
+    }
+
+
+def test_odd_rows_and_empty_tables(spark):
+    df, rows = odd_rows(spark)
+    ids = sorted(d or 0 for d, _ in rows)
+    for name, apply in every_operator(spark).items():
+        got = apply(df.coalesce(1)).collect()
+        seen = sorted(r.doc_id or 0 for r in got)
+        if name == "packing":
+            assert set(seen) == set(ids)
+        elif name == "kept":
+            big = (1 << 60) + 1
+            assert seen == sorted([big, 7, 8, big + 2, 0]), seen
+        else:
+            assert seen == ids, name
+        assert apply(df.limit(0)).count() == 0, name
+    pages = spark.createDataFrame([(None, None, None), ((1 << 60) + 1, "u", "<p>one two")], "page_id long, url string, html string")
+    assert sorted((r.page_id or 0, r.text) for r in html_extract.main_text(pages.coalesce(1)).collect()) == [(0, ""), ((1 << 60) + 1, "one two")]
+    assert html_extract.main_text(pages.limit(0)).count() == 0
