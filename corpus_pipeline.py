@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from keyloom.llm.common import table, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier accepts; null and empty texts are judged by its bias."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -21,21 +22,24 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark item; null and empty texts hold none."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are replaced in the texts; n_chars follows."""
+    """Found secrets are replaced in the texts; n_chars follows. Null texts stay null."""
 
-    def run(frames):
-        for f in frames:
-            f["text"] = pd.Series([None if t is None else secrets.masked(t, secrets.scan(t)[-1]) for t in f["text"]], index=f.index, dtype=object)
-            yield f
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            new = [None if t is None else secrets.masked(t, secrets.scan(t)[-1]) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    return docs.mapInPandas(run, docs.schema).withColumn("n_chars", F.length("text").cast("long"))
+    return docs.mapInArrow(run, docs.schema).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document; null texts are packed as empty ones."""
     return packing.pack(docs)
 
 
