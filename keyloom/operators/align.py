@@ -1,33 +1,77 @@
-"""Alignment of typed keys with their target, and error rates from it."""
+"""Alignment of typed keys with their target, and error reports from it."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.functions.keypad import GRID
+
+OK, SUBSTITUTION, DELETION, INSERTION = range(4)
+NAMES = ["ok", "substitution", "deletion", "insertion"]
+WORST = 6  # most common slips that are reported
+
+
+CELLS = 1 << 23  # moves held at a time, more only for one longer pair
+
+
+def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, one row each, and their lengths."""
+    size = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), int(size.max(initial=0))), np.uint32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return out, size
+
+
+def paths(wanted: list[str], typed: list[str]) -> list[list[tuple[str, int, int]]]:
+    """Unit-cost edit paths of many pairs at once. Every cell records the move that reaches it cheapest, the
+    diagonal before a deletion before an insertion; cells depend on none further on, so padding is harmless."""
+    (a, la), (b, lb) = codes(wanted), codes(typed)
+    pairs, n = np.arange(len(wanted)), b.shape[1]
+    places = np.arange(n + 1)
+    moves = np.full((len(pairs), a.shape[1] + 1, n + 1), INSERTION, np.uint8)
+    moves[:, 1:, 0] = DELETION
+    cost = np.broadcast_to(places, (len(pairs), n + 1))
+    for i in range(1, a.shape[1] + 1):
+        same = b == a[:, i - 1 : i]
+        diagonal, down = cost[:, :-1] + ~same, cost[:, 1:] + 1
+        # Insertions run to the right: the least of what is reached at k, and j - k more, over all k <= j.
+        reach = np.concatenate([np.full((len(pairs), 1), i), np.minimum(diagonal, down)], axis=1) - places
+        cost = np.minimum.accumulate(reach, axis=1) + places
+        moves[:, i, 1:] = np.where(cost[:, 1:] == diagonal, np.where(same, OK, SUBSTITUTION), np.where(cost[:, 1:] == down, DELETION, INSERTION))
+    out: list[list] = [[] for _ in wanted]
+    i, j = la.copy(), lb.copy()
+    while len(pairs):
+        pairs = pairs[(i[pairs] > 0) | (j[pairs] > 0)]
+        move = moves[pairs, i[pairs], j[pairs]]
+        i[pairs] -= move != INSERTION
+        j[pairs] -= move != DELETION
+        for p, m, x, y in zip(pairs.tolist(), move.tolist(), i[pairs].tolist(), j[pairs].tolist()):
+            out[p].append((NAMES[m], x, y))
+    return [p[::-1] for p in out]
+
 
 def align(wanted: str, typed: str) -> list[tuple[str, int, int]]:
-    """Unit-cost edit path; going back, a diagonal comes before a deletion before an insertion."""
-    rows = [list(range(len(typed) + 1))]
-    for i, a in enumerate(wanted, 1):
-        last, row = rows[-1], [i]
-        for j, b in enumerate(typed, 1):
-            row.append(min(last[j - 1] + (a != b), last[j] + 1, row[-1] + 1))
-        rows.append(row)
-    i, j, out = len(wanted), len(typed), []
-    while i or j:
-        here = rows[i][j]
-        if i and j and here == rows[i - 1][j - 1] + (wanted[i - 1] != typed[j - 1]):
-            i, j = i - 1, j - 1
-            out.append(("ok" if wanted[i] == typed[j] else "substitution", i, j))
-        elif i and here == rows[i - 1][j] + 1:
-            i -= 1
-            out.append(("deletion", i, j))
-        else:
-            j -= 1
-            out.append(("insertion", i, j))
-    return out[::-1]
+    return paths([wanted], [typed])[0]
+
+
+def together(wanted: list[str], typed: list[str]):
+    """Places of pairs to align at once: pairs of like length, of bounded size."""
+    order = sorted(range(len(wanted)), key=lambda k: (len(wanted[k]), len(typed[k])))
+    held, a, b = [], 0, 0
+    for k in order:
+        a, b = max(a, len(wanted[k]) + 1), max(b, len(typed[k]) + 1)
+        if held and (len(held) + 1) * a * b > CELLS:
+            yield held
+            held, a, b = [], len(wanted[k]) + 1, len(typed[k]) + 1
+        held.append(k)
+    if held:
+        yield held
+
+
+STEPS = "id long, step int, op string, i int, j int, wanted_key string, typed_key string"
 
 
 def aligned(rows: DataFrame) -> DataFrame:
@@ -35,15 +79,95 @@ def aligned(rows: DataFrame) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            out = [(k, n, op, i, j, w[i] if op != "insertion" else None, t[j] if op != "deletion" else None) for k, w, t in zip(f["id"], f["wanted"], f["typed"]) for n, (op, i, j) in enumerate(align(w, t))]
-            yield pd.DataFrame(out, columns=["id", "step", "op", "i", "j", "wanted_key", "typed_key"])
+            ids, wanted, typed = f["id"].tolist(), f["wanted"].tolist(), f["typed"].tolist()
+            for some in together(wanted, typed):
+                out = []
+                for k, path in zip(some, paths([wanted[k] for k in some], [typed[k] for k in some])):
+                    w, t = wanted[k], typed[k]
+                    out += [(ids[k], n, op, i, j, w[i] if op != "insertion" else None, t[j] if op != "deletion" else None) for n, (op, i, j) in enumerate(path)]
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in STEPS.split(", ")])
+
+    return rows.select("id", "wanted", "typed").mapInPandas(run, STEPS)
+
+
+def share(part, whole):
+    return F.coalesce(F.round(100.0 * part / F.nullif(whole, F.lit(0)), 9), F.lit(0.0))
+
 
-    return rows.select("id", "wanted", "typed").mapInPandas(run, "id long, step int, op string, i int, j int, wanted_key string, typed_key string")
+def counted(steps: DataFrame, *by: str) -> DataFrame:
+    """Error counts of each group: totals, their percentages of the wanted keys, and phrases without errors."""
+    n = {op: F.count_if(F.col("op") == op) for op in NAMES}
+    per = steps.groupBy(*by, "id").agg(*[x.alias(op) for op, x in n.items()])
+    out = per.groupBy(*by).agg(*[F.sum(op).alias(op) for op in NAMES], F.count("*").alias("phrases"), F.count_if(F.col("substitution") + F.col("deletion") + F.col("insertion") == 0).alias("perfect"))
+    out = out.withColumn("wanted", F.col("ok") + F.col("substitution") + F.col("deletion"))
+    return out.select("*", *[share(F.col(op), F.col("wanted")).alias(f"{op}_share") for op in NAMES[1:]])
 
 
 def error_counts(steps: DataFrame) -> DataFrame:
-    return steps.groupBy("op").agg(F.count("*").alias("n"))
+    return counted(steps)
+
+
+def by_source(steps: DataFrame) -> DataFrame:
+    """steps(source, id, op): one row per source and one, ALL, that pools them."""
+    one = counted(steps, "source")
+    pooled = one.agg(F.lit("ALL").alias("source"), *[F.sum(c).alias(c) for c in (*NAMES, "phrases", "perfect", "wanted")])
+    pooled = pooled.select("*", *[share(F.col(op), F.col("wanted")).alias(f"{op}_share") for op in NAMES[1:]])
+    return one.unionByName(pooled)
+
+
+def missed(steps: DataFrame) -> DataFrame:
+    """Deletions within a repeat (a neighbour in the target is the same key) and others, with the places
+    where each could happen: adjacent equal keys, and all other wanted keys."""
+    w = Window.partitionBy("id").orderBy("i")
+    t = steps.where("wanted_key is not null").select("op", "wanted_key", F.lag("wanted_key").over(w).alias("before"), F.lead("wanted_key").over(w).alias("after"))
+    again = F.coalesce(F.col("wanted_key") == F.col("before"), F.lit(False))
+    twin = again | F.coalesce(F.col("wanted_key") == F.col("after"), F.lit(False))
+    gone = F.col("op") == "deletion"
+    out = t.agg(F.count_if(gone & twin).alias("in_repeat"), F.count_if(gone & ~twin).alias("isolated"), F.count_if(again).alias("repeats"), F.count("*").alias("wanted"))
+    out = out.withColumn("lone", F.col("wanted") - F.col("repeats"))
+    return out.select("in_repeat", "isolated", "repeats", "lone", "wanted", share(F.col("in_repeat"), F.col("repeats")).alias("repeat_share"), share(F.col("isolated"), F.col("lone")).alias("lone_share"))
 
 
 def confusion(steps: DataFrame) -> DataFrame:
+    """How often each wanted key was pressed as another."""
     return steps.where("op = 'substitution'").groupBy("wanted_key", "typed_key").agg(F.count("*").alias("n"))
+
+
+def confused(steps: DataFrame) -> DataFrame:
+    """Per wanted key: presses, misses and swaps in percent, and its commonest confusion (of equals the least)."""
+    per = steps.where("wanted_key is not null").groupBy("wanted_key").agg(F.count("*").alias("wanted"), F.count_if(F.col("op") == "deletion").alias("missed"), F.count_if(F.col("op") == "substitution").alias("swapped"))
+    worst = confusion(steps).groupBy("wanted_key").agg(F.max_by("typed_key", F.struct(F.col("n"), -F.ascii("typed_key"))).alias("worst"))
+    return per.join(worst, "wanted_key", "left").select("wanted_key", "wanted", share(F.col("missed"), F.col("wanted")).alias("miss_share"), share(F.col("swapped"), F.col("wanted")).alias("swap_share"), "worst")
+
+
+def slips(steps: DataFrame) -> DataFrame:
+    """Substitutions by pair of keys, with whether the keys are neighbours on the pad."""
+    where = F.create_map(*[F.lit(x) for k, (r, c) in GRID.items() for x in (k, r * 10 + c)])
+    a, b = (F.element_at(where, F.col(c)) for c in ("wanted_key", "typed_key"))
+    step = F.greatest(F.abs(F.floor(a / 10) - F.floor(b / 10)), F.abs(a % 10 - b % 10))
+    return confusion(steps).withColumn("adjacent", step == 1)
+
+
+def worst_slips(steps: DataFrame, most: int = WORST) -> DataFrame:
+    """The most common slips: a report, so the limit is the feature."""
+    return slips(steps).orderBy(F.desc("n"), "wanted_key", "typed_key").limit(most)
+
+
+def pace(records: DataFrame) -> DataFrame:
+    """records(millis): median, tenth and ninetieth percentile by index, and greatest of all gaps but the
+    first of each record. Gaps are counted by value first, so no task holds all of them."""
+    gaps = records.select(F.posexplode("millis").alias("i", "gap")).where("i > 0").groupBy("gap").agg(F.count("*").alias("n"))
+    return percentiles(gaps)
+
+
+def percentiles(gaps: DataFrame) -> DataFrame:
+    """gaps(gap, n): as many rows as there are different gaps in milliseconds."""
+    w = Window.orderBy("gap")
+    t = gaps.select("gap", "n", (F.sum("n").over(w) - F.col("n")).alias("lo"), F.sum("n").over(w).alias("hi"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
+
+    def at(i):
+        return F.max(F.when((F.col("lo") <= i) & (F.col("hi") > i), F.col("gap")))
+
+    total = F.col("total")
+    low, high = F.expr("(total - 1) div 2"), F.expr("total div 2")
+    return t.agg(((at(low) + at(high)) / 2.0).alias("median"), at(F.expr("total div 10")).alias("p10"), at(F.expr("9 * total div 10")).alias("p90"), F.max("gap").alias("longest"), F.max(total).alias("gaps"))

@@ -1,14 +1,22 @@
-"""Noisy-channel decoding of key presses into ranked readings: one beam per query, in Arrow batches.
+"""Noisy-channel decoding of key presses into ranked readings.
+
+All queries of an Arrow batch are decoded together: the states of every beam are rows of arrays, and a
+press turns the rows of one level into those of the next by lookups in a table of prefixes. The
+prefixes are numbered in sorted order, so a number stands for its keys in ties as well.
+
+A state has the prefix in hand, the language and (with a language model) the last word closed, its
+score, the part of it that mistakes cost, where the prefix began and the words closed so far. States
+that agree in query, prefix, language and last word have one future, so only the best is kept.
 
 The lexicon is sent to the workers; its size is the vocabulary limit of each language, checked here.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -16,6 +24,7 @@ from keyloom.functions.keypad import GRID
 
 LONGEST, MOST_WORDS, ALTERNATIVES = 24, 1_000_000, 4
 LETTER_KEYS = "23456789"
+NO = -1  # no language, no word, no such prefix
 
 
 @dataclass(frozen=True)
@@ -44,6 +53,7 @@ class Weights:
     prior: float = 1.0
     space: float = 2.0
     switch: float = -0.8
+    context: float = 0.0
 
 
 def near(a: str, b: str) -> bool:
@@ -51,103 +61,243 @@ def near(a: str, b: str) -> bool:
     return max(abs(r - s), abs(c - d)) == 1
 
 
+@dataclass
 class Source:
-    """One language: words by sequence and the sorted sequences for prefix tests."""
-
-    def __init__(self, language: str, prior: float, rows):
-        self.language, self.prior, self.words = language, log(prior), {}
-        for seq, word, score in rows:
-            self.words.setdefault(seq, []).append((word, (score - 255) * 15 / 254))
-        self.seqs = sorted(self.words)
-
-    def live(self, prefix: str) -> bool:
-        at = bisect_left(self.seqs, prefix)
-        return at < len(self.seqs) and self.seqs[at].startswith(prefix)
+    """One lexicon: rows (seq, word, score) in stored order; language None for learnt words; pairs
+    (prev, word) to their score in the language model."""
+
+    language: str | None
+    prior: float
+    rows: list
+    pairs: dict = field(default_factory=dict)
+
+
+@dataclass
+class Reading:
+    text: str
+    score: float
+    words: list  # (word, language, from, until, alternatives)
+
+    @property
+    def mixed(self) -> bool:
+        return len({w[1] for w in self.words if w[1] is not None}) > 1
+
+
+class Table:
+    """The prefixes of all sequences: what follows each, and what each source spells with it."""
+
+    def __init__(self, sources: list[Source]):
+        spelt = [[r for r in s.rows if r[0] and len(r[0]) <= LONGEST] for s in sources]
+        seqs = {r[0] for rows in spelt for r in rows}
+        self.prefixes = [""] + sorted({q[:k] for q in seqs for k in range(1, len(q) + 1)})
+        number = {p: i for i, p in enumerate(self.prefixes)}
+        self.next = np.full((len(number), 10), NO, np.int32)
+        for p, i in number.items():
+            if p:
+                self.next[number[p[:-1]], int(p[-1])] = i
+        words: dict[str, int] = {}
+        languages = sorted({s.language for s in sources if s.language is not None})
+        self.languages, self.spelling = languages, []
+        self.word = np.full((len(sources), len(number)), NO, np.int64)
+        self.gain = np.zeros((len(sources), len(number)))
+        self.language = np.array([NO if s.language is None else languages.index(s.language) for s in sources])
+        for k, (s, rows) in enumerate(zip(sources, spelt)):
+            others: dict[int, list] = {}
+            for seq, word, score in rows:
+                at = number[seq]
+                found = others.setdefault(at, [])
+                if not found:
+                    self.word[k, at] = words.setdefault(word, len(words))
+                    self.gain[k, at] = (score - 255) * 15 / 254
+                if len(found) < ALTERNATIVES:
+                    found.append(word)
+            self.spelling.append(others)
+        self.names = list(words)
+        self.context = []
+        for s in sources:
+            known = sorted((words[a] * len(words) + words[b], x) for (a, b), x in s.pairs.items() if a in words and b in words)
+            self.context.append((np.array([x[0] for x in known], np.int64), np.array([x[1] for x in known], float)))
+
+    def pair(self, k: int, prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Score of each pair in the model of source k; 0 where it is not known."""
+        keys, values = self.context[k]
+        asked = prev * len(self.names) + word
+        if not len(keys):
+            return np.zeros(len(asked))
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return np.where((prev >= 0) & (keys[at] == asked), values[at], 0.0)
+
+
+STATE = ["query", "prefix", "language", "prev", "score", "mistakes", "begin", "past"]
 
 
 class Beam:
-    """A state is (score, mistakes, words); its key is (prefix, language of the last word)."""
-
     def __init__(self, sources: list[Source], width: int = 32, errors: Errors = Errors(), weights: Weights = Weights()):  # noqa: B008
-        self.sources, self.width, self.w, self.cost = sources, width, weights, errors.costs()
-        self.alive: dict[str, bool] = {}
-        self.slips = {k: [(x, 0.0 if x == k else self.cost["adjacent"]) for x in LETTER_KEYS if x == k or near(x, k)] for k in GRID if k != "0"}
-
-    def live(self, prefix: str) -> bool:
-        if prefix not in self.alive:
-            if len(self.alive) > 40_000:
-                self.alive.clear()
-            self.alive[prefix] = len(prefix) <= LONGEST and any(s.live(prefix) for s in self.sources)
-        return self.alive[prefix]
-
-    def closings(self, key, state, spaced: bool):
-        prefix, language = key
-        score, mistakes, words = state
-        for s in self.sources:
-            if found := s.words.get(prefix):
-                word, freq = found[0]
-                change = self.w.switch if language and s.language and language != s.language else 0.0
-                gain = self.w.frequency * freq + self.w.prior * s.prior + change + (0.0 if spaced else self.w.space * self.cost["no_space"])
-                yield ("", s.language), (score + gain, mistakes, (*words, word))
-
-    def step(self, level: dict, key: str) -> dict:
-        out: dict = {}
-
-        def offer(k, state):
-            if k not in out or state[0] > out[k][0]:
-                out[k] = state
-
-        def grow(k, state, letters, cost):
-            if self.live(k[0] + letters):
-                c = self.w.presses * cost
-                offer((k[0] + letters, k[1]), (state[0] + c, state[1] + c, state[2]))
-
-        for k, state in sorted(level.items(), key=lambda x: (-x[1][0], x[0][0], x[0][1] or ""))[: self.width]:
-            lost = self.w.presses * self.cost["extra"]
-            offer(k, (state[0] + lost, state[1] + lost, state[2]))
-            if key == "0":
-                for c, s in self.closings(k, state, True) if k[0] else [(k, state)]:
-                    offer(c, s)
-                continue
-            ended = list(self.closings(k, state, False)) if k[0] else []
-            for letter, slip in self.slips[key]:
-                grow(k, state, letter, slip)
-                for gone in LETTER_KEYS:
-                    grow(k, state, gone + letter, slip + self.cost["repeat" if gone == letter else "missed"])
-                for c, s in ended:
-                    grow(c, s, letter, slip)
+        self.width, self.w, self.cost = width, weights, errors.costs()
+        self.table, self.sources = Table(sources), sources
+        # The previous word is part of a state only where a model can use it.
+        self.remember = weights.context != 0 and any(s.pairs for s in sources)
+        self.log_prior = np.array([weights.prior * log(s.prior) for s in sources])
+        # For each key: what was meant (a slip's letter), perhaps after a letter whose press is missing.
+        self.meant = {}
+        for key in GRID:
+            if key != "0":
+                slips = [(x, 0.0 if x == key else self.cost["adjacent"]) for x in LETTER_KEYS if x == key or near(x, key)]
+                lost = [(g, x, c + self.cost["repeat" if g == x else "missed"]) for x, c in slips for g in LETTER_KEYS]
+                self.meant[key] = slips, lost
+
+    def _closed(self, s: dict, at: int, spaced: bool) -> dict:
+        """Every way to end the word in hand at press `at`, one for each source that has it."""
+        parts = []
+        for k in range(len(self.sources)):
+            word = self.table.word[k, s["prefix"]]
+            i = np.flatnonzero(word >= 0)
+            own = self.table.language[k]
+            switched = (s["language"][i] >= 0) & (own >= 0) & (s["language"][i] != own)
+            gain = self.w.frequency * self.table.gain[k, s["prefix"][i]] + self.log_prior[k] + np.where(switched, self.w.switch, 0.0)
+            if self.w.context:
+                gain = gain + self.w.context * self.table.pair(k, s["prev"][i], word[i])
+            if not spaced:
+                gain = gain + self.w.space * self.cost["no_space"]
+            first = len(self.past)
+            self.past += zip(s["past"][i].tolist(), [k] * len(i), s["prefix"][i].tolist(), s["begin"][i].tolist(), [at] * len(i))
+            part = {c: v[i] for c, v in s.items()}
+            part.update(prefix=np.zeros(len(i), np.int64), language=np.full(len(i), own), score=part["score"] + gain, past=first + np.arange(len(i)))
+            part.update(prev=word[i] if self.remember else part["prev"], begin=np.full(len(i), at + spaced))
+            parts.append(part)
+        return _joined(parts) if parts else {c: v[:0] for c, v in s.items()}
+
+    def _grown(self, s: dict, path: list, cost: float) -> dict:
+        at = s["prefix"]
+        for key in path:
+            at = np.where(at >= 0, self.table.next[at, int(key)], NO)
+        i = np.flatnonzero(at >= 0)
+        out = {c: v[i] for c, v in s.items()}
+        c = self.w.presses * cost
+        out.update(prefix=at[i].astype(np.int64), score=out["score"] + c, mistakes=out["mistakes"] + c)
         return out
 
-    def decode(self, keys: str, limit: int = 4) -> list[tuple[str, float]]:
-        if not keys or limit <= 0 or not self.sources:
-            return []
-        level = {("", None): (0.0, 0.0, ())}
-        for key in keys:
-            level = self.step(level, key)
-        bound = -(7.0 + 1.2 * len(keys))
-        ends = sorted(((k, s) for k, s in level.items() if s[1] >= bound), key=lambda x: (-x[1][0], x[0][0], x[0][1] or ""))[: self.width]
-        read = []
-        for k, s in ends:
-            closed = max(self.closings(k, s, True), key=lambda x: x[1][0], default=None) if k[0] else (k, s)
-            if closed and closed[1][2]:
-                read.append((" ".join(closed[1][2]), closed[1][0]))
-        return sorted(read, key=lambda x: (-x[1], x[0]))[:limit]
-
-
-def decode(asked: DataFrame, lexicons: dict[str, tuple[float, DataFrame]], limit: int = 4, width: int = 32) -> DataFrame:
-    """asked(keys); lexicons: language to (prior, lexicon). Readings by rank from 1."""
-    rows = {}
-    for language, (prior, lex) in lexicons.items():
+    def _step(self, s: dict, key: str, at: int) -> dict:
+        """The states after one more press, from the best of each beam."""
+        s = _best(s, self.width)
+        extra = self.w.presses * self.cost["extra"]
+        parts = [{**s, "score": s["score"] + extra, "mistakes": s["mistakes"] + extra}]
+        held = s["prefix"] > 0
+        open_, empty = ({c: v[x] for c, v in s.items()} for x in (held, ~held))
+        if key == "0":
+            parts += [{**empty, "begin": np.full(len(empty["begin"]), at + 1)}, self._closed(open_, at, True)]
+        else:
+            slips, lost = self.meant[key]
+            ended = self._closed(open_, at, False)
+            parts += [self._grown(part, [x], c) for x, c in slips for part in (s, ended)]
+            parts += [self._grown(s, [g, x], c) for g, x, c in lost]
+        return _merged(_joined(parts))
+
+    def readings(self, asked: list[str], limit: int = 4) -> list[list[Reading]]:
+        """The best readings of each of the asked key sequences."""
+        out: list[list[Reading]] = [[] for _ in asked]
+        if limit <= 0 or not self.sources:
+            return out
+        self.past: list = []
+        start = [i for i, keys in enumerate(asked) if keys]
+        n = len(start)
+        s = dict(zip(STATE, (np.array(start, np.int64), np.zeros(n, np.int64), np.full(n, NO), np.full(n, NO), np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.full(n, NO))))
+        size = np.array([len(k) for k in asked], np.int64)
+        for at in range(int(size.max(initial=0))):
+            keys = np.array([k[at] if at < len(k) else "" for k in asked])
+            parts = []
+            for key in np.unique(keys[s["query"]]).tolist():
+                mine = keys[s["query"]] == key
+                parts.append(self._step({c: v[mine] for c, v in s.items()}, key, at))
+            s = _joined(parts)
+            done = size[s["query"]] == at + 1
+            if done.any():
+                self._finish({c: v[done] for c, v in s.items()}, size, limit, out)
+                s = {c: v[~done] for c, v in s.items()}
+            if not len(s["query"]):
+                break
+        return out
+
+    def _finish(self, s: dict, size: np.ndarray, limit: int, out: list):
+        s = {c: v[s["mistakes"] >= -(7.0 + 1.2 * size[s["query"]])] for c, v in s.items()}
+        s = _best(s, self.width)
+        s["place"] = np.arange(len(s["query"]))
+        open_, ended = ({c: v[x] for c, v in s.items()} for x in (s["prefix"] > 0, s["prefix"] == 0))
+        parts = [ended]
+        for length in np.unique(size[open_["query"]]).tolist():
+            parts.append(self._closed({c: v[size[open_["query"]] == length] for c, v in open_.items()}, length, True))
+        s = _joined(parts)
+        s = {c: v[s["past"] >= 0] for c, v in s.items()}
+        order = np.lexsort((-s["score"], s["place"]))  # of the sources that close a state, the best
+        order = order[np.concatenate([[True], s["place"][order][1:] != s["place"][order][:-1]])] if len(order) else order
+        found: dict[int, list] = {}
+        for i in order.tolist():
+            words, past = [], int(s["past"][i])
+            while past >= 0:
+                past, k, prefix, begin, end = self.past[past]
+                others = self.table.spelling[k][prefix]
+                words.append((others[0], self.sources[k].language, begin, end, others[1:]))
+            words.reverse()
+            found.setdefault(int(s["query"][i]), []).append(Reading(" ".join(w[0] for w in words), float(s["score"][i]), words))
+        for q, got in found.items():
+            out[q] = sorted(got, key=lambda r: (-r.score, r.text))[:limit]
+
+
+def _joined(parts: list[dict]) -> dict:
+    return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+
+def _best(s: dict, width: int) -> dict:
+    """The best states of each query; of equal scores the least prefix, language and last word."""
+    order = np.lexsort((s["prev"], s["language"], s["prefix"], -s["score"], s["query"]))
+    q = s["query"][order]
+    order = order[np.arange(len(q)) - np.searchsorted(q, q) < width]
+    return {c: v[order] for c, v in s.items()}
+
+
+def _merged(s: dict) -> dict:
+    """Of states with one future the best; of equal scores the first offered."""
+    key = np.lexsort((np.arange(len(s["query"])), -s["score"], s["prev"], s["language"], s["prefix"], s["query"]))
+    new = np.ones(len(key), bool)
+    if len(key) > 1:
+        new[1:] = np.any([s[c][key][1:] != s[c][key][:-1] for c in ("query", "prefix", "language", "prev")], axis=0)
+    return {c: v[key[new]] for c, v in s.items()}
+
+
+def assembled(lexicons: dict, learnt: dict | None = None) -> list[Source]:
+    """lexicons: language to (prior, lexicon[, pairs(prev, word, pmi)]); learnt: word to (seq, uses)."""
+    out = []
+    for language, (prior, lex, *pairs) in lexicons.items():
         got = [tuple(r) for r in lex.orderBy("pos").select("seq", "word", "score").limit(MOST_WORDS + 1).collect()]
         if len(got) > MOST_WORDS:
             raise ValueError("a vocabulary is too large to send to the workers: lower its limit")
-        rows[language] = (prior, got)
-    sent = asked.sparkSession.sparkContext.broadcast(rows)
+        known = {}
+        if pairs:
+            rows = pairs[0].select("prev", "word", "pmi").limit(MOST_WORDS + 1).collect()
+            if len(rows) > MOST_WORDS:
+                raise ValueError("a table of pairs is too large to send to the workers: lower its limit")
+            known = {(r[0], r[1]): r[2] for r in rows}
+        out.append(Source(language, prior, got, known))
+    if learnt:
+        rows = sorted(((seq, word, min(255, 200 + 20 * uses)) for word, (seq, uses) in learnt.items()), key=lambda r: (r[0], -r[2], r[1]))
+        out.append(Source(None, 1.0, rows))
+    return out
+
+
+SCHEMA = "keys string, rank int, reading string, score double, mixed boolean, words array<struct<word:string,language:string,begin:int,end:int,alternatives:array<string>>>"
+
+
+def decode(asked: DataFrame, lexicons: dict, limit: int = 4, width: int = 32, weights: Weights = Weights(), together: int = 128) -> DataFrame:  # noqa: B008
+    """asked(keys); lexicons: language to (prior, lexicon[, pairs]). Readings by rank from 1; a query that
+    reads as nothing has no row. `together` queries are decoded at a time."""
+    sent = asked.sparkSession.sparkContext.broadcast(assembled(lexicons))
 
     def run(frames):
-        beam = Beam([Source(k, p, r) for k, (p, r) in sent.value.items()], width)
+        beam = Beam(sent.value, width, weights=weights)
         for f in frames:
-            out = [(k, n, text, round(score, 9)) for k in f["keys"] for n, (text, score) in enumerate(beam.decode(k, limit), 1)]
-            yield pd.DataFrame(out, columns=["keys", "rank", "reading", "score"])
+            for i in range(0, len(f), together):
+                keys = f["keys"].iloc[i : i + together].tolist()
+                out = [(k, n, r.text, round(r.score, 9), r.mixed, r.words) for k, got in zip(keys, beam.readings(keys, limit)) for n, r in enumerate(got, 1)]
+                yield pd.DataFrame(out, columns=["keys", "rank", "reading", "score", "mixed", "words"])
 
-    return asked.select("keys").mapInPandas(run, "keys string, rank int, reading string, score double")
+    return asked.select("keys").mapInPandas(run, SCHEMA)

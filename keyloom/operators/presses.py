@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.functions.keypad import KEYS, MARKS
+from keyloom.functions.keypad import KEYS, MARKS, SYMBOLS
 
 
 def presses(events: DataFrame) -> DataFrame:
@@ -33,3 +33,9 @@ def debounced(p: DataFrame, pause_ms: int) -> DataFrame:
     new = F.when(F.col("ms") - F.lag("ms").over(w) < pause_ms, 0).otherwise(1)
     g = p.withColumn("new", new).withColumn("g", F.sum("new").over(w))
     return g.groupBy("user_id", "g").agg(F.count("*").alias("n"), F.max("ms").alias("last_ms"))
+
+
+def symbols(digit, n):
+    """The symbol that n presses of a key show in the symbol layer."""
+    four = F.element_at(F.create_map(*[F.lit(x) for kv in SYMBOLS.items() for x in kv]), digit)
+    return F.substring(four, (F.pmod(n - 1, F.length(four)) + 1).cast("int"), F.lit(1))

@@ -10,8 +10,7 @@ from keyloom.sources.tables import lines, table
 from keyloom.streaming import words
 
 DAY = 86_400_000
-# The reference's vocabulary and store; the queries with SQL keep the limits that stand in their SQL.
-WORDS, CAPACITY = 120_000, 4_000
+CAPACITY, BUDGET = 4_000, 40 * 1024 * 1024  # fixed values
 
 # --- SQL building blocks -------------------------------------------------------------------------
 A, B = "abcdefghijklmnopqrstuvwxyząćęłńóśźż", "22233344455566677778889999" + "223566799"
@@ -26,7 +25,7 @@ BASE = f"with {LINES}, {NORMED}, {TOKENS}"
 COUNTS = f"""{BASE}, tlines as (select unnest(string_split(text, chr(10))) line from benchmark),
 ttok as (select unnest(list_filter(string_split({NORM.format('line')}, ' '), lambda w: w <> '')) word from tlines),
 counts as (select lang, word, cast(sum(weight) as bigint) n from (select lang, word, 1 weight from tokens where seq is not null union all select 'en', word, 20 from ttok where {SEQ.format('word')} is not null) group by all)"""
-LEX = f"""{COUNTS}, en as (select word, n from counts where lang = 'en'), top as (select word, n, {SEQ.format('word')} seq from en order by n desc, word limit 20000),
+LEX = f"""{COUNTS}, en as (select word, n from counts where lang = 'en'), top as (select word, n, {SEQ.format('word')} seq from en order by n desc, word limit {corpus.VOCABULARY}),
 lex as (select word, n, seq, cast(least(255, greatest(1, 1 + trunc(254 * ln(1 + n) / ln(1 + max(n) over ())))) as int) score, cast(row_number() over (order by seq, n desc, word) - 1 as int) pos from top)"""
 ASKED = f"""asked_words as (select distinct word from (select unnest(list_filter(string_split({NORM.format("replace(text, chr(10), ' ')")}, ' '), lambda w: w <> '')) word from conversations where role = 'user')),
 asked as (select distinct seq query from (select {SEQ.format('word')} seq from asked_words) where seq is not null and seq <> '')"""
@@ -38,6 +37,10 @@ PAIRS = """known as (select t.doc_id, t.pos, t.i, t.word, l.word is not null kno
 lagged as (select word, known, lag(word) over w prev, lag(known) over w before from known window w as (partition by doc_id, pos order by i)),
 pairs as (select prev, word, count(*) n from lagged where known and before group by all)"""
 PRESSES = "presses as (select user_id, event_id, epoch_us(ts) // 1000 ms, cast(2 + event_id % 8 as varchar) digit from events)"
+FNV = "list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(list_filter(string_split(prev || ' ' || word, ''), lambda c: c <> ''), lambda c: unicode(c)::uhugeint)), lambda h, c: (xor(h, c) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
+FRAGMENTS = "k as (select *, row_number() over (partition by doc_id, pos order by i) - 1 k from tokens where seq is not null), fr as (select doc_id, pos, k // 4 part, string_agg(seq, '0' order by k) keys from k group by all), ask as (select distinct keys from fr)"
+READABLE = "not coalesce(list_contains(list_transform(range(3, length(word) + 1), lambda i: word[i:i] = word[i-1:i-1] and word[i:i] = word[i-2:i-2]), true), false) and len(list_filter(range(2, length(word) + 1), lambda i: word[i:i] = word[i-1:i-1])) < 3 and regexp_matches(word, '[aąeęioóuy]')"
+SPELL = "map {" + ", ".join(f"'{c}': {n}" for k in keypad.KEYS.values() for n, c in enumerate(k, 1)) + "}"
 KEYMAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in keypad.KEYS.items()) + "}"
 
 
@@ -50,10 +53,6 @@ def _lex(s, d):
     return corpus.lexicon(_en(s, d))
 
 
-def _whole_lex(s, d):
-    return corpus.lexicon(_en(s, d), WORDS)
-
-
 def _asked_words(s, d):
     c = table(s, d, "conversations").where("role = 'user'")
     words = F.split(keypad.normalise(F.regexp_replace("text", "\n", " ")), " ")
@@ -73,15 +72,18 @@ def _words(s, d):
 
 
 def _typed(s, d):
-    """Typing records, one of every O-14 fragment: one key in eleven is missed, by a hash of its place."""
-    g = _grouped(s, d)
+    """Typing records, one of every O-14 fragment. By a hash of its place, one key in eleven is missed, one in
+    thirteen is pressed as the next digit, and one in seventeen is pressed twice."""
+    g = _grouped(s, d).repartition(s.sparkContext.defaultParallelism * 4, "doc_id", "pos", "part")
     wanted = F.array_join(F.transform("w", lambda x: x["seq"]), "0")
     rows = g.select(((F.col("doc_id") * 100_000 + F.col("pos")) * 100_000 + F.col("part")).alias("id"), wanted.alias("wanted"))
-    keep = F.filter(F.sequence(F.lit(1), F.greatest(F.length("wanted"), F.lit(1))), lambda i: F.pmod(i + F.col("id"), F.lit(11)) != 0)
-    return rows.select("id", "wanted", F.array_join(F.transform(keep, lambda i: F.expr("wanted").substr(i, F.lit(1))), "").alias("typed"))
+    key = lambda i: F.expr("wanted").substr(i, F.lit(1))
+    hit = lambda i, n: F.pmod(i + F.col("id"), F.lit(n)) == 0
+    pressed = lambda i: F.when(hit(i, 11), F.lit("")).when(hit(i, 13), F.translate(key(i), "0123456789", "1234567890")).when(hit(i, 17), F.concat(key(i), key(i))).otherwise(key(i))
+    return rows.select("id", "wanted", F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length("wanted"), F.lit(1))), pressed), "").alias("typed"))
 
 
-def _budget(s, d, budget=200_000, block=1000):
+def _budget(s, d, budget=BUDGET, block=1000):
     """Lines of each language, in order, while the characters before them stay below the budget."""
     from pyspark.sql import Window
 
@@ -122,8 +124,13 @@ def _asked_phrases(s, d, n=4):
 
 
 def _decoded(s, d):
-    """All words of every user's turn, decoded; the beam is slow, so the phrases are dealt out."""
-    return decode.decode(_asked_phrases(s, d).repartition(64, "keys"), {"en": (1.0, _whole_lex(s, d))})
+    """All words of every user's turn, decoded; the phrases are dealt out evenly to the tasks."""
+    asked = _asked_phrases(s, d)
+    return decode.decode(asked.repartition(s.sparkContext.defaultParallelism * 4, "keys"), {"en": (1.0, _lex(s, d))})
+
+
+def _pmi(s, d):
+    return corpus.pmi(corpus.pair_count(_docs(s, d), _lex(s, d)), _en(s, d))
 
 
 def _balance(s, d):
@@ -134,13 +141,13 @@ def _balance(s, d):
 QUERIES = {
     "o01_lines": (lambda s, d: lines(_docs(s, d)), f"with {LINES} select doc_id, lang, pos, line from lines"),
     "o02_budget": (_budget, f"""with {LINES}, {NORMED}, sized as (select *, cast(coalesce(sum(length(line) + 1) over (partition by lang order by doc_id, pos rows between unbounded preceding and 1 preceding), 0) as bigint) used from normed where length(line) >= 2)
-        select doc_id, pos, lang, line, used from sized where used < 200000"""),
+        select doc_id, pos, lang, line, used from sized where used < {BUDGET}"""),
     "o07_normalise": (lambda s, d: corpus.normalised(_docs(s, d)), f"with {LINES}, {NORMED} select doc_id, lang, pos, line from normed"),
     "o09_sequences": (_words, f"{BASE} select distinct word, seq from tokens"),
     "o10_phrase_sequence": (lambda s, d: corpus.normalised(_docs(s, d)).select("doc_id", "pos", keypad.phrase_sequence(F.col("line")).alias("keys")).where("keys is not null"),
         f"with {LINES}, {NORMED} select doc_id, pos, translate(lower(line), '{A} ', '{B}0') keys from normed where regexp_full_match(lower(line), '[{A} ]*')"),
-    "o20_pair_selection": (lambda s, d: corpus.pair_count(_docs(s, d), _lex(s, d)).where("n >= 3").orderBy(F.desc("n"), "prev", "word").limit(1000),
-        f"{LEX}, {PAIRS} select prev, word, n from pairs where n >= 3 order by n desc, prev, word limit 1000"),
+    "o20_pair_selection": (lambda s, d: corpus.pair_count(_docs(s, d), _lex(s, d)).where("n >= 3").orderBy(F.desc("n"), "prev", "word").limit(corpus.PAIR_KEEP),
+        f"{LEX}, {PAIRS} select prev, word, n from pairs where n >= 3 order by n desc, prev, word limit {corpus.PAIR_KEEP}"),
     "o63_word_delete": (lambda s, d: corpus.normalised(_docs(s, d)).select("doc_id", "pos", F.regexp_replace("line", r"\S+\s*$", "").alias("left")),
         rf"with {LINES}, {NORMED} select doc_id, pos, regexp_replace(line, '\S+\s*$', '') as left from normed".replace("as left", 'as "left"')),
     "o12_pack": (lambda s, d: _words(s, d).where("seq is not null").select("word", keypad.packed(F.col("seq")).alias("packed")),
@@ -148,14 +155,14 @@ QUERIES = {
     "o13_case": (lambda s, d: _words(s, d).select("word", keypad.once(F.col("word")).alias("once"), F.upper("word").alias("locked")),
         f"{BASE} select distinct word, upper(word[1:1]) || word[2:] once, upper(word) locked from tokens"),
     "o14_fragments": (_fragments, f"{BASE}, k as (select *, row_number() over (partition by doc_id, pos order by i) - 1 k from tokens where seq is not null) select doc_id, pos, cast(k // 4 as int) part, string_agg(word, ' ' order by k) fragment from k group by all"),
-    "o15_readable": (lambda s, d: _words(s, d).where(keypad.readable(F.col("word"))).select("word"), None),
+    "o15_readable": (lambda s, d: _words(s, d).where(keypad.readable(F.col("word"))).select("word"), f"{BASE} select distinct word from tokens where {READABLE}"),
     "o15b_repeats": (lambda s, d: _words(s, d).where("seq is not null").select("word", keypad.repeats_in(F.col("seq")).alias("repeats")),
         f"{BASE} select distinct word, cast(len(list_filter(range(2, length(seq) + 1), lambda i: seq[i:i] = seq[i - 1:i - 1])) as int) repeats from tokens where seq is not null"),
     "o16_word_count": (lambda s, d: corpus.word_count(_docs(s, d), table(s, d, "benchmark")), f"{COUNTS} select lang, word, n from counts"),
     "o17_pairs": (lambda s, d: corpus.pair_count(_docs(s, d), _lex(s, d)), f"{LEX}, {PAIRS} select prev, word, n from pairs"),
     "o18_ambiguity": (lambda s, d: corpus.ambiguity(_en(s, d)), f"""{COUNTS}, by_seq as (select {SEQ.format('word')} seq, count(*) words, sum(n) n, max(n) first from counts where lang = 'en' group by 1)
         select count(*) sequences, cast(sum(case when words > 1 then words else 0 end) as bigint) sharing, round(100.0 * sum(first)::double / sum(n)::double, 9) first_choice from by_seq"""),
-    "o19_pmi": (lambda s, d: corpus.pmi(corpus.pair_count(_docs(s, d), _lex(s, d)), _en(s, d)), f"""{LEX}, {PAIRS}, total as (select sum(n)::double t from en), chosen as (select * from pairs where n >= 3 order by n desc, prev, word limit 400000)
+    "o19_pmi": (lambda s, d: corpus.pmi(corpus.pair_count(_docs(s, d), _lex(s, d)), _en(s, d)), f"""{LEX}, {PAIRS}, total as (select sum(n)::double t from en), chosen as (select * from pairs where n >= 3 order by n desc, prev, word limit {corpus.PAIR_KEEP})
         select c.prev, c.word, c.n, round(least(8.0, greatest(-2.0, ln((c.n / t) / ((a.n / t) * (b.n / t))))), 9)::double pmi from chosen c join en a on a.word = c.prev join en b on b.word = c.word, total"""),
     "o30b_key_balance": (_balance, f"{BASE}, keys as (select unnest(string_split(seq, '')) key from tokens where seq is not null) select key, count(*) n from keys where key <> '' group by key"),
     "o31_candidates": (lambda s, d: lexicon.candidates(_asked(s, d), _lex(s, d)), f"{LEX}, {ASKED}, {FOUND} select query, rank, word, score, exact from found"),
@@ -165,28 +172,35 @@ QUERIES = {
     "o40_lexicon": (_lex, f"{LEX} select word, n, seq, score, pos from lex"),
     "o40c_front_coding": (lambda s, d: corpus.front_coded(_lex(s, d)), f"""{LEX}, p as (select pos, word, coalesce(lag(word) over (partition by pos // 32 order by pos), '') p from lex)
         select pos, word, cast(coalesce(list_max(list_filter(range(1, 33), lambda k: k <= length(word) and k <= length(p) and word[1:k] = p[1:k])), 0) as int) shared from p"""),
-    "o40d_pair_hash": (lambda s, d: corpus.pair_count(_docs(s, d), _whole_lex(s, d)).where("n >= 3").select("prev", "word", corpus.fnv(F.concat_ws(" ", "prev", "word")).alias("hash")), None),
+    "o40d_pair_hash": (lambda s, d: corpus.pair_count(_docs(s, d), _lex(s, d)).where("n >= 3").select("prev", "word", corpus.fnv(F.concat_ws(" ", "prev", "word")).alias("hash")), f"{LEX}, {PAIRS}, h as (select prev, word, {FNV} u from pairs where n >= 3) select prev, word, cast(case when u >= 9223372036854775808 then u::hugeint - 18446744073709551616 else u::hugeint end as bigint) hash from h"),
     "o41_alignment": (lambda s, d: align.aligned(_typed(s, d)), None),
     "o21_error_counts": (lambda s, d: align.error_counts(align.aligned(_typed(s, d))), None),
     "o23_confusion": (lambda s, d: align.confusion(align.aligned(_typed(s, d))), None),
     "o30_user_words": (lambda s, d: lexicon.user_words(_spoken(s, d)), f"""with w as (select conv_id user_id, unnest(list_filter(string_split({NORM.format("replace(text, chr(10), ' ')")}, ' '), lambda w: w <> '')) word from conversations)
         select user_id, word, least(count(*), 1000) uses from w where {SEQ.format('word')} is not null group by all"""),
     "o58_learn": (lambda s, d: words.folded(_spoken(s, d), CAPACITY), None),
-    "o42_decode": (_decoded, None),
-    "o46_exact_reading": (lambda s, d: lexicon.exact_reading(_typed(s, d).select(F.col("wanted").alias("keys")).distinct(), _whole_lex(s, d)), None),
+    "o42_decode": (lambda s, d: _decoded(s, d).select("keys", "rank", "reading", "score", "mixed"), None),
+    "o42_words": (lambda s, d: _decoded(s, d).where("rank = 1").select("keys", F.posexplode("words").alias("i", "w")).select("keys", "i", "w.word", "w.language", "w.begin", "w.end", F.array_join("w.alternatives", " ").alias("alternatives")), None),
+    "o46_exact_reading": (lambda s, d: lexicon.exact_reading(_typed(s, d).select(F.col("wanted").alias("keys")).distinct(), _lex(s, d)), f"""{LEX}, {FRAGMENTS}, best as (select seq, arg_min(word, pos) word from lex group by seq), g as (select keys, unnest(list_filter(string_split(keys, '0'), lambda x: x <> '')) seq, generate_subscripts(list_filter(string_split(keys, '0'), lambda x: x <> ''), 1) i from ask)
+        select keys, case when count(best.word) = count(*) then string_agg(best.word, ' ' order by i) end reading from g left join best on g.seq = best.seq group by keys"""),
     "o50_multitap": (lambda s, d: presses.multitap(presses.presses(table(s, d, "events")), 30 * DAY), f"""with {PRESSES}, f as (select *, case when digit = lag(digit) over w and ms - lag(ms) over w <= {30 * DAY} then 0 else 1 end new from presses window w as (partition by user_id order by ms, event_id)),
         r as (select *, cast(sum(new) over (partition by user_id order by ms, event_id) as bigint) run from f), g as (select user_id, run, min(digit) digit, count(*) n from r group by user_id, run)
         select user_id, run, digit, n, substr({KEYMAP}[digit], cast((n - 1) % length({KEYMAP}[digit]) + 1 as int), 1) letter from g"""),
     "o57_debounce": (lambda s, d: presses.debounced(presses.presses(table(s, d, "events")), DAY // 4), f"""with {PRESSES}, f as (select *, case when ms - lag(ms) over (partition by user_id order by ms, event_id) < {DAY // 4} then 0 else 1 end new from presses),
         r as (select *, cast(sum(new) over (partition by user_id order by ms, event_id) as bigint) g from f) select user_id, g, count(*) n, max(ms) last_ms from r group by all"""),
     "o62_turn_over": (lambda s, d: presses.presses(table(s, d, "events")).select("event_id", keypad.turned_over(F.col("digit")).alias("digit")), f"with {PRESSES} select event_id, translate(digit, '123789', '789123') digit from presses"),
-    "o80_word_cost": (lambda s, d: evaluate.word_cost(_asked_words(s, d), _whole_lex(s, d)), None),
+    "o80_word_cost": (lambda s, d: evaluate.word_cost(_asked_words(s, d), _lex(s, d)), f"""{LEX}, {ASKED}, exact_ as (select * from (select word, row_number() over (partition by seq order by pos) rank from lex) where rank <= 8)
+        select w.word, cast(case when r.rank is not null then length({SEQ.format('w.word')}) + r.rank - 1 else 1 + coalesce(list_sum(list_transform(string_split(w.word, ''), lambda c: coalesce(({SPELL})[c], 1))), 0) end as bigint) presses, r.rank is null spelt from asked_words w left join exact_ r on w.word = r.word"""),
 }
 
 
 def queries() -> dict:
-    return {k: f for k, (f, _) in QUERIES.items()}
+    from . import more
+
+    return {k: f for k, (f, _) in QUERIES.items()} | more.queries()
 
 
 def oracle_sql() -> dict:
-    return {k: q for k, (_, q) in QUERIES.items() if q}
+    from . import more
+
+    return {k: q for k, (_, q) in QUERIES.items() if q} | more.oracle_sql()
