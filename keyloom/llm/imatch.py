@@ -2,14 +2,17 @@
 
 Terms are runs of letters and digits, lower-cased, as 32-bit hashes. The lexicon keeps terms whose
 share of documents lies in [low, high] and that occur in two documents at least; it has at most
-(mean distinct terms of a document) / low terms, which bounds what is broadcast. A fingerprint is
-`subsets` hashes: of the sorted distinct lexicon terms, and of those that randomised subsets of the
-lexicon keep: all, a half, a quarter and so on, so that some subset holds only a few terms of any
-text. A subset without terms of a text is hashed over all its terms instead. Likeness is the share of
-equal hashes. Null and empty texts share one fingerprint; repeated rows each give a row.
+(mean distinct terms of a document) / low terms, which bounds what is broadcast. A fingerprint has
+`families` hashes. Each family is a ladder of nested random subsets of the lexicon, every one half as
+dense as the one before; a text is hashed, as its sorted distinct terms, by the sparsest subset of the
+family that still holds a term of it. So a hash covers few terms of a text of any length and survives
+edits elsewhere. A text without lexicon terms is hashed by all its terms in place of them. Likeness is
+the share of equal hashes. Null and empty texts share one fingerprint, that of no terms, and are like
+each other only; repeated rows each give a row.
 
 The next document comes from a window over ranges of doc_id, to each of which the first row of the
-following range is added, so there is no global sort in one task of more than one row per range.
+following range is added, so there is no global sort in one task of more than one row per range. Ranges
+are of equal width between quantiles of doc_id, so outlying ids widen only the ranges of their quantile.
 """
 
 from __future__ import annotations
@@ -25,12 +28,28 @@ def terms(c):
     return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.hash(w)))
 
 
+def ranges(t: DataFrame, range_rows: int, quantiles: int = 256):
+    """b for each row of t: grows with d, and holds about range_rows rows."""
+    at = [i / quantiles for i in range(1, quantiles)]
+    cuts = sorted(set(t.agg(F.percentile_approx("d", at, 100 * quantiles)).first()[0] or []))
+    above = F.array_size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("d"))) if cuts else F.lit(0)
+    found = {r.c: r for r in t.groupBy(above.alias("c")).agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n")).collect()}
+    lows, widths, starts, start = [], [], [], 0
+    for c in range(len(cuts) + 1):
+        low, high, n = (found[c].low, found[c].high, found[c].n) if c in found else (0, 0, 1)
+        width = max(1, -(-(high - low + 1) * range_rows // n))
+        lows, widths, starts = [*lows, low], [*widths, width], [*starts, start]
+        start += (high - low) // width + 1
+    listed = lambda v: F.array(*[F.lit(x).cast("decimal(20,0)") for x in v])
+    cut = t.withColumn("c", above)
+    place = [F.element_at(listed(v), F.col("c") + 1) for v in (lows, widths, starts)]
+    return cut.withColumn("b", (F.floor((F.col("d").cast("decimal(20,0)") - place[0]) / place[1]) + place[2]).cast("long")).drop("c")
+
+
 def with_next(docs: DataFrame, range_rows: int = 2000) -> DataFrame:
     """b, r: place of the row; nb, nr: place of the next; next: its text."""
     t = texts(docs).withColumn("d", F.coalesce("doc_id", F.lit(-1)).cast("long")).withColumn("h", F.xxhash64("text"))
-    low, high, n = t.agg(F.min("d"), F.max("d"), F.count("*")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * range_rows // max(n, 1))
-    t = t.withColumn("b", F.expr(f"(d - ({low or 0})) div {width}"))
+    t = ranges(t, range_rows)
     first = t.groupBy("b").agg(F.min_by("text", F.struct("d", "h")).alias("text"))
     first = written(first, "imatch-first")
     w = Window.orderBy("b")
@@ -50,41 +69,40 @@ def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
     return df.where((F.col("count") >= max(2, low * n)) & (F.col("count") <= max(2, high * n))).select("term")
 
 
-def fingerprints(docs: DataFrame, subsets: int = 24, low: float = 0.0005, high: float = 0.1) -> DataFrame:
+def fingerprints(docs: DataFrame, families: int = 32, low: float = 0.0005, high: float = 0.1) -> DataFrame:
     lex = written(lexicon(docs, low, high), "imatch-lexicon")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next", F.lit(1), half)))
-    own, changed = F.col("own"), F.col("changed")
-    place = ["b", "r", "nb", "nr", "doc_id", "n_chars", "edited_sha256"]
-    rows = rows.select(*place[:6], F.sha2("edited", 256).alias("edited_sha256"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("changed"))
-    rows = rows.select(
-        *place, F.xxhash64(F.sort_array(own)).alias("all_own"), F.xxhash64(F.sort_array(changed)).alias("all_changed"),
-        F.concat(
-            F.transform(own, lambda x: F.struct(x.alias("term"), F.lit(True).alias("o"))),
-            F.transform(changed, lambda x: F.struct(x.alias("term"), F.lit(False).alias("o"))),
-        ).alias("x"),
-    )
-    spread = rows.select(*place, "all_own", "all_changed", F.explode_outer("x").alias("x")).select(*place, "all_own", "all_changed", "x.term", "x.o")
-    kept = spread.join(F.broadcast(lex.withColumn("kept", F.lit(True))), "term", "left")
-    listed = kept.groupBy("b", "r").agg(
-        *[F.first(c).alias(c) for c in ("nb", "nr", "doc_id", "n_chars", "edited_sha256", "all_own", "all_changed")],
-        F.collect_list(F.when(F.col("kept") & F.col("o"), F.col("term"))).alias("own"),
-        F.collect_list(F.when(F.col("kept") & ~F.col("o"), F.col("term"))).alias("changed"),
-    )
+    rows = rows.select("b", "r", "nb", "nr", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("changed"))
 
-    def prints(c, whole):
+    def prints(c):
         def one(k):
-            keep = 1 << (k % 8 + (k >= 8))
-            part = c if keep == 1 else F.filter(c, lambda x: F.pmod(F.xxhash64(x, F.lit(k)), F.lit(keep)) == 0)
-            return F.lower(F.lpad(F.hex(F.when(F.size(part) == 0, F.xxhash64(whole, F.lit(k))).otherwise(F.xxhash64(F.sort_array(part), F.lit(k)))), 16, "0"))
+            places = F.transform(c, lambda x: F.shiftrightunsigned(F.xxhash64(x, F.lit(k)), 1))
+            sparsest = lambda a: F.length(F.bin(F.array_min(a)))
+            part = lambda a: F.transform(F.array(sparsest(a)), lambda bits: F.filter(a, lambda y: F.length(F.bin(y)) <= bits))[0]
+            return F.transform(F.array(places), lambda a: F.xxhash64(F.sort_array(part(a)), F.lit(k)))[0]
 
-        return F.array(*[one(k) for k in range(subsets)])
+        return F.transform(F.array(*[one(k) for k in range(families)]), lambda v: F.lower(F.lpad(F.hex(v), 16, "0")))
 
     def likeness(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1.0).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x) / subsets
-
-    done = written(listed.select("b", "r", "nb", "nr", "doc_id", "n_chars", "edited_sha256", prints(F.col("own"), F.col("all_own")).alias("p"), prints(F.col("changed"), F.col("all_changed")).alias("e")), "imatch-prints")
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1.0).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x) / families
+
+    payload = ("nb", "nr", "doc_id", "n_chars", "edited_sha256", "all_own", "all_changed")
+    rows = rows.withColumnsRenamed({"own": "all_own", "changed": "all_changed"})
+    bare = F.lit(None).cast(rows.select(F.struct(*payload)).schema[0].dataType)
+    one = lambda x, o: F.struct(x.alias("term"), F.lit(o).alias("o"), bare.alias("row"))
+    head = F.struct(F.lit(None).cast("int").alias("term"), F.lit(None).cast("boolean").alias("o"), F.struct(*payload).alias("row"))
+    spread = rows.select("b", "r", F.explode(F.concat(F.array(head), F.transform("all_own", lambda x: one(x, True)), F.transform("all_changed", lambda x: one(x, False)))).alias("x")).select("b", "r", "x.*")
+    # One slim row per lexicon term, and one for the rest of the document, go into the grouping.
+    kept = spread.join(F.broadcast(lex.withColumn("kept", F.lit(True))), "term", "left").where("kept or row is not null")
+    listed = kept.groupBy("b", "r").agg(
+        F.first("row", ignorenulls=True).alias("row"),
+        F.collect_list(F.when(F.col("o"), F.col("term"))).alias("own"), F.collect_list(F.when(~F.col("o"), F.col("term"))).alias("changed"),
+    )
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.col(f"row.all_{c}"))
+    listed = listed.select("b", "r", *[f"row.{c}" for c in payload[:5]], prints(some("own")).alias("p"), prints(some("changed")).alias("e"))
+    done = written(listed, "imatch-prints")
     other = done.select(F.col("b").alias("nb"), F.col("r").alias("nr"), F.col("p").alias("q"))
     return done.join(other, ["nb", "nr"], "left").select(
         "doc_id", "n_chars", "edited_sha256", F.array_join("p", "-").alias("fingerprint"), F.array_join("e", "-").alias("edited_fingerprint"),

@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from keyloom.llm import decontam, html_extract, imatch, jaccard, license, packing, quality, repeats, secrets, sharding
 
@@ -197,6 +199,41 @@ def test_imatch(spark, corpus):
     assert rows[40].near_next == 1
 
 
+def test_imatch_by_brute_force(spark, corpus):
+    df, texts = corpus
+    df = df.withColumn("doc_id", F.expr("case when doc_id = 57 then 9223372036854775807 when doc_id = 0 then -9223372036854775808 else doc_id end"))
+    words = [{w for w in re.split(r"[^\w]+|_", t.lower()) if w} for t in texts]
+    edited = [t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2] for i, t in enumerate(texts)]
+    changed = [{w for w in re.split(r"[^\w]+|_", t.lower()) if w} for t in edited]
+    vocabulary = sorted(set().union(*words, *changed))
+    code = {r.w: r.c for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").selectExpr("w", "hash(w) c").collect()}
+    df_of = {w: sum(w in d for d in words) for w in vocabulary}
+    lex = {code[w] for w in vocabulary if 2 <= df_of[w] <= max(2, 0.1 * len(texts))}
+    xx = lambda v, n, seed: xxhash.xxh64(v.to_bytes(n, "little"), seed).intdigest()
+
+    def prints(terms):
+        terms = {code[w] for w in terms}
+        out = []
+        for k in range(32):
+            places = [xx(k, 4, xx(c % 2**32, 4, 42)) >> 1 for c in terms & lex or terms]
+            h = 42
+            for y in sorted(y for y in places if y.bit_length() <= min(places).bit_length()):
+                h = xx(y, 8, h)
+            out.append(f"{xx(k, 4, h):016x}" if places else None)
+        return out
+
+    got = {r.edited_sha256 + str(r.n_chars): r for r in imatch.fingerprints(df).collect()}
+    for i, t in enumerate(edited):
+        r = got[hashlib.sha256(t.encode()).hexdigest() + str(len(texts[i]))]
+        mine, after, following = prints(words[i]), prints(changed[i]), prints(words[(i + 1) % len(texts)])
+        if words[i]:
+            assert r.fingerprint == "-".join(mine), i
+        if words[i] and changed[i]:
+            assert r.near_edited == sum(a == b for a, b in zip(mine, after)) / 32
+        if words[i] and words[(i + 1) % len(texts)]:
+            assert r.near_next == sum(a == b for a, b in zip(mine, following)) / 32
+
+
 def test_quality_learns(spark):
     r = random.Random(1)
     texts = [" ".join(r.choice(["alpha", "beta", "gamma"]) + ("!!" if i % 4 == 0 else "") for _ in range(30)) for i in range(400)]
