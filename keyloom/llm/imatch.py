@@ -4,9 +4,10 @@ Terms are runs of letters and digits, lower-cased, as 32-bit hashes. The lexicon
 share of documents lies in [low, high] and that occur in two documents at least; it has at most
 (mean distinct terms of a document) / low terms, which bounds what is broadcast. A fingerprint has
 `families` hashes. Each family is a ladder of nested random subsets of the lexicon, every one half as
-dense as the one before; a text is hashed, as its sorted distinct terms, by the sparsest subset of the
-family that still holds a term of it. So a hash covers few terms of a text of any length and survives
-edits elsewhere. A text without lexicon terms is hashed by all its terms in place of them. Likeness is
+dense as the one before; a text is hashed, as its sorted distinct terms, by the subset whose density is
+one in twice the number of its lexicon terms, rounded to a power of two. So a hash covers few terms of a
+text of any length and survives edits elsewhere. Where a subset has no term of a text, all its terms are
+hashed, so that only equal texts agree there. Likeness is
 the share of equal hashes. Null and empty texts share one fingerprint, that of no terms, and are like
 each other only; repeated rows each give a row.
 
@@ -69,39 +70,39 @@ def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
     return df.where((F.col("count") >= max(2, low * n)) & (F.col("count") <= max(2, high * n))).select("term")
 
 
-def fingerprints(docs: DataFrame, families: int = 32, low: float = 0.0005, high: float = 0.1) -> DataFrame:
+def fingerprints(docs: DataFrame, families: int = 24, low: float = 0.0005, high: float = 0.1) -> DataFrame:
     lex = written(lexicon(docs, low, high), "imatch-lexicon")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next", F.lit(1), half)))
     rows = rows.select("b", "r", "nb", "nr", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("changed"))
 
-    def prints(c):
+    def prints(c, keep, whole):
         def one(k):
-            places = F.transform(c, lambda x: F.shiftrightunsigned(F.xxhash64(x, F.lit(k)), 1))
-            sparsest = lambda a: F.length(F.bin(F.array_min(a)))
-            part = lambda a: F.transform(F.array(sparsest(a)), lambda bits: F.filter(a, lambda y: F.length(F.bin(y)) <= bits))[0]
-            return F.transform(F.array(places), lambda a: F.xxhash64(F.sort_array(part(a)), F.lit(k)))[0]
+            part = F.filter(c, lambda x: F.pmod(F.xxhash64(x, F.lit(k)), keep) == 0)
+            return F.lower(F.lpad(F.hex(F.when(F.size(part) == 0, F.xxhash64(whole, F.lit(k))).otherwise(F.xxhash64(F.sort_array(part), F.lit(k)))), 16, "0"))
 
-        return F.transform(F.array(*[one(k) for k in range(families)]), lambda v: F.lower(F.lpad(F.hex(v), 16, "0")))
+        return F.array(*[one(k) for k in range(families)])
 
     def likeness(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1.0).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x) / families
 
     payload = ("nb", "nr", "doc_id", "n_chars", "edited_sha256", "all_own", "all_changed")
-    rows = rows.withColumnsRenamed({"own": "all_own", "changed": "all_changed"})
+    rows = rows.withColumns({f"all_{c}": F.xxhash64(F.sort_array(c)) for c in ("own", "changed")})
     bare = F.lit(None).cast(rows.select(F.struct(*payload)).schema[0].dataType)
     one = lambda x, o: F.struct(x.alias("term"), F.lit(o).alias("o"), bare.alias("row"))
     head = F.struct(F.lit(None).cast("int").alias("term"), F.lit(None).cast("boolean").alias("o"), F.struct(*payload).alias("row"))
-    spread = rows.select("b", "r", F.explode(F.concat(F.array(head), F.transform("all_own", lambda x: one(x, True)), F.transform("all_changed", lambda x: one(x, False)))).alias("x")).select("b", "r", "x.*")
+    spread = rows.select("b", "r", F.explode(F.concat(F.array(head), F.transform("own", lambda x: one(x, True)), F.transform("changed", lambda x: one(x, False)))).alias("x")).select("b", "r", "x.*")
     # One slim row per lexicon term, and one for the rest of the document, go into the grouping.
     kept = spread.join(F.broadcast(lex.withColumn("kept", F.lit(True))), "term", "left").where("kept or row is not null")
     listed = kept.groupBy("b", "r").agg(
         F.first("row", ignorenulls=True).alias("row"),
         F.collect_list(F.when(F.col("o"), F.col("term"))).alias("own"), F.collect_list(F.when(~F.col("o"), F.col("term"))).alias("changed"),
     )
-    some = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.col(f"row.all_{c}"))
-    listed = listed.select("b", "r", *[f"row.{c}" for c in payload[:5]], prints(some("own")).alias("p"), prints(some("changed")).alias("e"))
+    density = {f"keep_{c}": F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(c)))) for c in ("own", "changed")}
+    listed = listed.select("b", "r", "row.*", "own", "changed").withColumns(density)
+    p, e = (prints(F.col(c), F.col(f"keep_{c}"), F.col(f"all_{c}")) for c in ("own", "changed"))
+    listed = listed.select("b", "r", *payload[:5], p.alias("p"), e.alias("e"))
     done = written(listed, "imatch-prints")
     other = done.select(F.col("b").alias("nb"), F.col("r").alias("nr"), F.col("p").alias("q"))
     return done.join(other, ["nb", "nr"], "left").select(
