@@ -199,7 +199,8 @@ def test_imatch(spark, corpus):
     assert rows[40].near_next == 1
 
 
-def test_imatch_by_brute_force(spark, corpus):
+@pytest.mark.parametrize("most", [1 << 21, 3])
+def test_imatch_by_brute_force(spark, corpus, most):
     df, texts = corpus
     df = df.withColumn("doc_id", F.expr("case when doc_id = 57 then 9223372036854775807 when doc_id = 0 then -9223372036854775808 else doc_id end"))
     words = [{w for w in re.split(r"[^\w]+|_", t.lower()) if w} for t in texts]
@@ -217,15 +218,16 @@ def test_imatch_by_brute_force(spark, corpus):
         for c in sorted(terms):
             whole = xx(c % 2**32, 4, whole)
         out, known = [], sorted(terms & lex)
-        keep = 2 ** max(1, len(known).bit_length())
         for k in range(24):
-            part, h = [c for c in known if xx(k, 4, xx(c % 2**32, 4, 42)) % keep == 0], 42
+            hashes = sorted(xx(k, 4, xx(c % 2**32, 4, 42)) >> 1 for c in known)
+            subsets = [[h for h in hashes if h < 2**bits] for bits in range(1, 64)]
+            part, h = next((p for p in subsets if p), [whole]), 42
             for c in part:
-                h = xx(c % 2**32, 4, h)
-            out.append(f"{xx(k, 4, h if part else xx(whole, 8, 42)):016x}")
+                h = xx(c, 8, h)
+            out.append(f"{xx(k, 4, h):016x}")
         return out
 
-    got = {r.edited_sha256 + str(r.n_chars): r for r in imatch.fingerprints(df).collect()}
+    got = {r.edited_sha256 + str(r.n_chars): r for r in imatch.fingerprints(df, most=most).collect()}
     for i, t in enumerate(edited):
         r = got[hashlib.sha256(t.encode()).hexdigest() + str(len(texts[i]))]
         mine, after, following = prints(words[i]), prints(changed[i]), prints(words[(i + 1) % len(texts)])
