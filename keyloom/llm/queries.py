@@ -1,8 +1,9 @@
-"""The queries of this subpackage, one per operator, and their SQL (none: SQL cannot express them)."""
+"""The queries of this subpackage, one per operator, and their SQL. Queries base_opN_ are the columns of opN_
+that the contract fixes and SQL can express."""
 
 from __future__ import annotations
 
-from . import decontam, html_extract, imatch, jaccard, license, packing, quality, repeats, secrets, sharding
+from . import decontam, html_extract, imatch, jaccard, license, oracle, packing, quality, repeats, secrets, sharding
 from .common import table
 
 
@@ -18,6 +19,8 @@ def queries() -> dict:
         "op8_decontamination": lambda s, d: decontam.decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
         "op9_imatch": lambda s, d: imatch.fingerprints(table(s, d, "documents")),
         "op10_quality": lambda s, d: quality.quality_scores(table(s, d, "documents"), table(s, d, "labels")),
+        "base_op1_license_scan": lambda s, d: license.license_scan(table(s, d, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
+        "base_op7_secrets": lambda s, d: secrets.secret_scan(table(s, d, "documents")).drop("spans"),
         "pipeline": pipeline,
     }
 
@@ -29,4 +32,4 @@ def pipeline(spark, sf_dir):
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_repeats": oracle.REPEATS, "op6_jaccard": oracle.COMPONENTS, "base_op1_license_scan": oracle.LICENSES, "base_op7_secrets": oracle.SECRETS}

@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontam, html_extract, imatch, jaccard, license, packing, quality, repeats, secrets, sharding
+from keyloom.llm import decontam, html_extract, imatch, jaccard, license, packing, quality, queries, repeats, secrets, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -378,3 +380,17 @@ def test_odd_rows_and_empty_tables(spark):
     pages = spark.createDataFrame([(None, None, None), ((1 << 60) + 1, "u", "<p>one two")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text) for r in html_extract.main_text(pages.coalesce(1)).collect()) == [(0, ""), ((1 << 60) + 1, "one two")]
     assert html_extract.main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_gives_the_same_rows(spark, tmp_path, name):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [None, "", "a b", "A  b", passage, "x " + passage, passage[:-4], "é" * 99, "é" * 120, f"under the MIT license; {passage} CC-BY-NC apache license version 2", "password = 'abcdefghijkl1' AKIA" + "Q" * 20 + " deadbeefdeadbeef0 token: short"]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    names = sorted(got.columns)
+    assert names == sorted(want.columns)
+    assert sorted(map(str, got.select(*names).toLocalIterator())) == sorted(str(Row(**dict(zip(names, r)))) for r in want.select(*names).fetchall())
