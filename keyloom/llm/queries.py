@@ -3,7 +3,7 @@ that the contract fixes and SQL can express."""
 
 from __future__ import annotations
 
-from . import decontam, html_extract, imatch, jaccard, license, oracle, packing, quality, repeats, secrets, sharding
+from . import audit, bands, decontam, html_extract, imatch, jaccard, license, oracle, packing, quality, repeats, repetition, secrets, sharding
 from .common import table
 
 
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_decontamination": lambda s, d: decontam.decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
         "op9_imatch": lambda s, d: imatch.fingerprints(table(s, d, "documents")),
         "op10_quality": lambda s, d: quality.quality_scores(table(s, d, "documents"), table(s, d, "labels")),
+        "op11_repetition": lambda s, d: repetition.quality_rules(table(s, d, "documents")),
+        "op12_band_join": lambda s, d: bands.near_lines(table(s, d, "sale_lines"), table(s, d, "items")),
+        "op13_filter_audit": lambda s, d: audit.audit(table(s, d, "documents"), table(s, d, "labels")),
         "base_op1_license_scan": lambda s, d: license.license_scan(table(s, d, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
         "base_op7_secrets": lambda s, d: secrets.secret_scan(table(s, d, "documents")).drop("spans"),
         "pipeline": pipeline,
@@ -32,4 +35,4 @@ def pipeline(spark, sf_dir):
 
 
 def oracle_sql() -> dict:
-    return {"op5_repeats": oracle.REPEATS, "op6_jaccard": oracle.COMPONENTS, "base_op1_license_scan": oracle.LICENSES, "base_op7_secrets": oracle.SECRETS}
+    return {"op5_repeats": oracle.REPEATS, "op6_jaccard": oracle.COMPONENTS, "base_op1_license_scan": oracle.LICENSES, "base_op7_secrets": oracle.SECRETS, "op11_repetition": oracle.RULES, "op12_band_join": oracle.BANDS, "op13_filter_audit": oracle.AUDIT}
