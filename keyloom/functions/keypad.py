@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ DIGITS = "".join(k * len(v) for k, v in KEYS.items())
 GRID = {str(d): ((d - 1) // 3, (d - 1) % 3) for d in range(1, 10)} | {"0": (3, 1)}
 EN = "a-z0-9.,'&:/ -"
 PL = "a-ząćęłńóśźż0-9.,'&:/ -"
+# Letters that a language has beside a to z. Those that no key shows are pressed on the key of their base letter.
+EXTRA = {"en": "", "pl": "ąćęłńóśźż", "fr": "àâæçèéêëîïôùûüÿœ", "de": "äöüß", "es": "áéíñóúü"}
+BASES = {"æ": "a", "œ": "o", "ß": "s"}
+
+
+ALL_LETTERS = LETTERS + "".join(sorted({c for x in EXTRA.values() for c in x} - set(LETTERS)))
+ALL_DIGITS = DIGITS + "".join(DIGITS[LETTERS.index(BASES.get(c) or unicodedata.normalize("NFD", c)[0])] for c in ALL_LETTERS[len(LETTERS) :])
+
+
+def alphabet_of(language: str) -> str:
+    return EN.replace("a-z", f"a-z{EXTRA.get(language, '')}")
 
 
 def normalise(c: Column, alphabet: str = EN) -> Column:
@@ -23,6 +36,22 @@ def normalise(c: Column, alphabet: str = EN) -> Column:
     return F.regexp_replace(c, "^(?:- *)+", "")
 
 
+def normalise_in(c: Column, language: Column) -> Column:
+    """Each row by the alphabet of its language; that of English where the language is not known."""
+    out = None
+    for name in EXTRA:
+        if EXTRA[name]:
+            this = language == name
+            out = F.when(this, normalise(c, alphabet_of(name))) if out is None else out.when(this, normalise(c, alphabet_of(name)))
+    return out.otherwise(normalise(c))
+
+
+def sequence_in_any(c: Column) -> Column:
+    """Keys of a word of any of the languages; null where a letter belongs to none."""
+    low = F.lower(c)
+    return F.when(low.rlike(f"^[{ALL_LETTERS}]*$"), F.translate(low, ALL_LETTERS, ALL_DIGITS))
+
+
 def sequence_of(c: Column) -> Column:
     """Keys of a word; null where a letter is on no key."""
     low = F.lower(c)

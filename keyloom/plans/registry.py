@@ -195,12 +195,12 @@ QUERIES = {
 
 
 def queries() -> dict:
-    from . import more
+    from . import more, reports
 
-    return {k: f for k, (f, _) in QUERIES.items()} | more.queries()
+    return {k: f for k, (f, _) in QUERIES.items()} | more.queries() | reports.queries()
 
 
 def oracle_sql() -> dict:
-    from . import more
+    from . import more, reports
 
-    return {k: q for k, (_, q) in QUERIES.items() if q} | more.oracle_sql()
+    return {k: q for k, (_, q) in QUERIES.items() if q} | more.oracle_sql() | reports.oracle_sql()
