@@ -71,23 +71,25 @@ def together(wanted: list[str], typed: list[str]):
         yield held
 
 
-STEPS = "id long, step int, op string, i int, j int, wanted_key string, typed_key string"
+STEPS = "step int, op string, i int, j int, wanted_key string, typed_key string"
 
 
-def aligned(rows: DataFrame) -> DataFrame:
-    """rows(id, wanted, typed): one row per step."""
+def aligned(rows: DataFrame, *with_: str) -> DataFrame:
+    """rows(id, wanted, typed): one row per step. with_: string columns that come along."""
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, {''.join(f'{c} string, ' for c in with_)}{STEPS}"
+    names = ["id", *with_, *[c.split()[0] for c in STEPS.split(", ")]]
 
     def run(frames):
         for f in frames:
-            ids, wanted, typed = f["id"].tolist(), f["wanted"].tolist(), f["typed"].tolist()
+            ids, wanted, typed = list(zip(*[f[c].tolist() for c in ("id", *with_)])), f["wanted"].tolist(), f["typed"].tolist()
             for some in together(wanted, typed):
                 out = []
                 for k, path in zip(some, paths([wanted[k] for k in some], [typed[k] for k in some])):
                     w, t = wanted[k], typed[k]
-                    out += [(ids[k], n, op, i, j, w[i] if op != "insertion" else None, t[j] if op != "deletion" else None) for n, (op, i, j) in enumerate(path)]
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in STEPS.split(", ")])
+                    out += [(*ids[k], n, op, i, j, w[i] if op != "insertion" else None, t[j] if op != "deletion" else None) for n, (op, i, j) in enumerate(path)]
+                yield pd.DataFrame(out, columns=names)
 
-    return rows.select("id", "wanted", "typed").mapInPandas(run, STEPS)
+    return rows.select("id", *with_, "wanted", "typed").mapInPandas(run, schema)
 
 
 def share(part, whole):
@@ -95,10 +97,11 @@ def share(part, whole):
 
 
 def counted(steps: DataFrame, *by: str) -> DataFrame:
-    """Error counts of each group: totals, their percentages of the wanted keys, and phrases without errors."""
-    n = {op: F.count_if(F.col("op") == op) for op in NAMES}
-    per = steps.groupBy(*by, "id").agg(*[x.alias(op) for op, x in n.items()])
-    out = per.groupBy(*by).agg(*[F.sum(op).alias(op) for op in NAMES], F.count("*").alias("phrases"), F.count_if(F.col("substitution") + F.col("deletion") + F.col("insertion") == 0).alias("perfect"))
+    """Error counts by each column of by, and of all together in one aggregate over grouping sets: totals, their
+    percentages of the wanted keys, and phrases without errors. pooled is 0 where a row belongs to one group of by."""
+    per = steps.groupBy(*by, "id").agg(*[F.count_if(F.col("op") == op).alias(op) for op in NAMES])
+    parts = [F.sum(op).alias(op) for op in NAMES] + [F.count("*").alias("phrases"), F.count_if(F.col("substitution") + F.col("deletion") + F.col("insertion") == 0).alias("perfect")]
+    out = per.groupingSets([[F.col(c) for c in by], []], *[F.col(c) for c in by]).agg(F.grouping_id().alias("pooled"), *parts) if by else per.agg(*parts)
     out = out.withColumn("wanted", F.col("ok") + F.col("substitution") + F.col("deletion"))
     return out.select("*", *[share(F.col(op), F.col("wanted")).alias(f"{op}_share") for op in NAMES[1:]])
 
@@ -109,10 +112,7 @@ def error_counts(steps: DataFrame) -> DataFrame:
 
 def by_source(steps: DataFrame) -> DataFrame:
     """steps(source, id, op): one row per source and one, ALL, that pools them."""
-    one = counted(steps, "source")
-    pooled = one.agg(F.lit("ALL").alias("source"), *[F.sum(c).alias(c) for c in (*NAMES, "phrases", "perfect", "wanted")])
-    pooled = pooled.select("*", *[share(F.col(op), F.col("wanted")).alias(f"{op}_share") for op in NAMES[1:]])
-    return one.unionByName(pooled)
+    return counted(steps, "source").withColumn("source", F.when(F.col("pooled") == 0, F.col("source")).otherwise(F.lit("ALL"))).drop("pooled")
 
 
 def missed(steps: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ QUERIES = {
     "o22_repeat_misses": (lambda s, d: align.missed(align.aligned(_typed(s, d))), None),
     "o23_confused": (lambda s, d: align.confused(align.aligned(_typed(s, d))), None),
     "o24_slips": (lambda s, d: align.worst_slips(align.aligned(_typed(s, d))), None),
-    "o26_by_source": (lambda s, d: align.by_source(align.aligned(_typed(s, d)).withColumn("source", F.when(F.expr("id % 2 = 0"), "even").otherwise("odd"))), None),
+    "o26_by_source": (lambda s, d: align.by_source(align.aligned(_typed(s, d), "source")), None),
     "o30b_key_shares": (_shares, f"{BASE}, ws as (select seq from tokens where seq is not null), ks as (select unnest(string_split(seq, '')) key from ws), n as (select key, count(*) n from ks where key <> '' group by key) select key, n, round(100.0 * n / sum(n) over (), 9)::double share from n"),
     "o35_user_candidates": (_mine, f"with {EVENTS}, {ASKED}, {MINE} select user_id, query, rank, word, score, exact from mine"),
     "o36_merged": (_merged, f"{LEX}, {EVENTS}, {ASKED}, {MINE}, {FOUND}, {MERGED} select user_id, query, rank, word, score, exact from merged"),

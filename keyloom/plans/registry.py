@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.functions import keypad
-from keyloom.operators import align, corpus, decode, evaluate, lexicon, presses
+from keyloom.operators import accuracy, align, corpus, decode, evaluate, lexicon, presses
 from keyloom.sources.tables import lines, table
 from keyloom.streaming import words
 
@@ -72,15 +72,10 @@ def _words(s, d):
 
 
 def _typed(s, d):
-    """Typing records, one of every O-14 fragment. By a hash of its place, one key in eleven is missed, one in
-    thirteen is pressed as the next digit, and one in seventeen is pressed twice."""
-    g = _grouped(s, d).repartition(s.sparkContext.defaultParallelism * 4, "doc_id", "pos", "part")
-    wanted = F.array_join(F.transform("w", lambda x: x["seq"]), "0")
-    rows = g.select(((F.col("doc_id") * 100_000 + F.col("pos")) * 100_000 + F.col("part")).alias("id"), wanted.alias("wanted"))
-    key = lambda i: F.expr("wanted").substr(i, F.lit(1))
-    hit = lambda i, n: F.pmod(i + F.col("id"), F.lit(n)) == 0
-    pressed = lambda i: F.when(hit(i, 11), F.lit("")).when(hit(i, 13), F.translate(key(i), "0123456789", "1234567890")).when(hit(i, 17), F.concat(key(i), key(i))).otherwise(key(i))
-    return rows.select("id", "wanted", F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length("wanted"), F.lit(1))), pressed), "").alias("typed"))
+    """Typing records, one of every O-14 fragment, pressed as accuracy.slipped has it. The id names its place."""
+    g = _grouped(s, d).join(_docs(s, d).select("doc_id", F.coalesce("lang", F.lit("")).alias("source")), "doc_id").repartition(s.sparkContext.defaultParallelism * 4, "doc_id", "pos", "part")
+    rows = g.select("doc_id", "pos", "part", "source", F.array_join(F.transform("w", lambda x: x["seq"]), "0").alias("wanted")).withColumn("keys", F.col("wanted"))
+    return accuracy.slipped(rows).select(F.concat_ws("/", "doc_id", "pos", "part").alias("id"), "source", "wanted", F.col("keys").alias("typed"))
 
 
 def _budget(s, d, budget=BUDGET, block=1000):

@@ -43,7 +43,7 @@ tt as (select lang, sum(n)::double t from cnt group by lang),
 pm as (select p.lang, p.prev, p.word, p.n, round(least({languages.MOST}, greatest({languages.LEAST}, ln((p.n / t) / ((a.n / t) * (b.n / t))))), 9)::double pmi from pk p join cnt a on a.lang = p.lang and a.word = p.prev join cnt b on b.lang = p.lang and b.word = p.word join tt on tt.lang = p.lang),
 sp as (select *, min(pmi) over (partition by lang) lo, case when max(pmi) over (partition by lang) > min(pmi) over (partition by lang) then max(pmi) over (partition by lang) - min(pmi) over (partition by lang) else 1.0::double end width from pm),
 st as (select *, cast(least(255, greatest(1, 1 + trunc(254 * (pmi - lo) / width))) as int) step, {FNV} u from sp),
-pt as (select lang, prev, word, n, pmi, step, cast(case when u >= 9223372036854775808 then u::hugeint - 18446744073709551616 else u::hugeint end as bigint) hash, round(lo + (step - 1) * width / 254.0::double, 9)::double score from st)"""
+pt as materialized (select lang, prev, word, n, pmi, step, cast(case when u >= 9223372036854775808 then u::hugeint - 18446744073709551616 else u::hugeint end as bigint) hash, round(lo + (step - 1) * width / 254.0::double, 9)::double score from st)"""
 ATTEMPTS = f"""fk as (select *, row_number() over (partition by doc_id, pos order by i) - 1 k from tok where seq is not null),
 at_ as (select doc_id, pos, cast(k // {accuracy.FRAGMENT} as int) part, lang, list(word order by k) wanted, string_agg(seq, '0' order by k) keys from fk group by all)"""
 SLIPPED = """sl as (select doc_id, pos, part, lang, wanted, array_to_string(list_transform(range(0, length(keys)), lambda i: case when (i + doc_id + pos + part) % 11 = 0 then '' when (i + doc_id + pos + part) % 13 = 0 then translate(keys[i + 1:i + 1], '0123456789', '1234567890')
@@ -87,12 +87,19 @@ def _sweep() -> str:
     select count(*) attempts, share, round(100.0 * count(*) filter (where r = n) / count(*), 9)::double phrases, round(100.0 * sum(r)::double / sum(n)::double, 9) right_words from a6 group by share"""
 
 
-PATHS = f"""ch as (select lang, seq, word, row_number() over (partition by lang, seq order by pos) j, {languages.FREQUENCY} * ((score - 255) * 15.0::double / 254.0::double) worth from lex), c4 as (select * from ch where j <= {languages.ALTERNATIVES}),
-fr as (select distinct lang, keys from at_), gs as (select lang, keys, unnest(string_split(keys, '0')) seq, generate_subscripts(string_split(keys, '0'), 1) at_no, len(string_split(keys, '0')) m from fr),
-paths as (select gs.lang, keys, at_no, m, c4.word last_, [j] js, worth score, c4.word reading from gs join c4 on c4.lang = gs.lang and c4.seq = gs.seq where at_no = 1
-    union all select p.lang, p.keys, gs.at_no, p.m, c4.word, list_prepend(c4.j, p.js), p.score + (c4.worth + coalesce({languages.CONTEXT}::double * pt.score, 0.0::double)), p.reading || ' ' || c4.word
-    from paths p join gs on gs.lang = p.lang and gs.keys = p.keys and gs.at_no = p.at_no + 1 join c4 on c4.lang = gs.lang and c4.seq = gs.seq left join pt on pt.lang = p.lang and pt.prev = p.last_ and pt.word = c4.word)
-select lang, keys, reading, round(score, 9)::double score from (select *, row_number() over (partition by lang, keys order by score desc, js) k from paths where at_no = m) where k = 1"""
+def _paths() -> str:
+    """All paths through the choices of each fragment, word by word; the best of them."""
+
+    def longer(k: int) -> str:
+        last = f"p{k - 1}"
+        return f"""p{k} as (select {last}.id, {last}.lang, {last}.keys, g, coalesce(c.word, last_) last_, case when len(g) >= {k} then list_prepend(c.j, js) else js end js,
+        case when len(g) >= {k} then {last}.score + (c.worth + coalesce({languages.CONTEXT}::double * pt.score, 0.0::double)) else {last}.score end score, case when len(g) >= {k} then reading || ' ' || c.word else reading end reading
+        from {last} left join c4 c on c.lang = {last}.lang and c.seq = g[{k}] left join pt on pt.lang = {last}.lang and pt.prev = last_ and pt.word = c.word where len(g) < {k} or c.word is not null)"""
+
+    return f"""ch as (select lang, seq, word, row_number() over (partition by lang, seq order by pos) j, {languages.FREQUENCY} * ((score - 255) * 15.0::double / 254.0::double) worth from lex), c4 as materialized (select * from ch where j <= {languages.ALTERNATIVES}),
+fr as (select row_number() over () id, lang, keys, string_split(keys, '0') g from (select distinct lang, keys from at_)),
+p1 as (select id, fr.lang, keys, g, c.word last_, [c.j] js, c.worth score, c.word reading from fr join c4 c on c.lang = fr.lang and c.seq = g[1]), {', '.join(longer(k) for k in range(2, accuracy.FRAGMENT + 1))}
+select lang, keys, reading, round(score, 9)::double score from (select *, row_number() over (partition by id order by score desc, js) k from p{accuracy.FRAGMENT}) where k = 1"""
 
 
 # --- queries --------------------------------------------------------------------------------------
@@ -147,7 +154,7 @@ QUERIES = {
     "o38_sources": (_sources, f"""with {LEX}, {SOURCES} select q.lang, q.seq, s.source, s.word, s.alternatives, round((score - 255) * 15.0::double / 254.0::double, 9) frequency, round(ln(case when source = q.lang then {languages.ACTIVE} else {languages.OTHER} end::double), 9) prior
         from (select distinct lang, seq from tok where seq is not null) q join src s on s.seq = q.seq"""),
     "o40d_pairs": (_pair_table, f"with {LEX}, {PAIRS} select lang, prev, word, n, pmi, step, hash, row_number() over (partition by lang order by hash, prev, word) - 1 place from pt"),
-    "o37_context": (_context, f"with recursive {LEX}, {PAIRS}, {ATTEMPTS}, {PATHS}"),
+    "o37_context": (_context, f"with {LEX}, {PAIRS}, {ATTEMPTS}, {_paths()}"),
     "o27_accuracy": (_accuracy, f"with {LEX}, {SOURCES}, {ATTEMPTS}, {_read('at_')}, {SUMMARY}"),
     "o27_typed_accuracy": (_typed_accuracy, f"with {LEX}, {SOURCES}, {ATTEMPTS}, {SLIPPED}, {_read('sl')}, {SUMMARY}"),
     "o28_failures": (_failures, f"with {LEX}, {SOURCES}, {ATTEMPTS}, {SLIPPED}, {_read('sl')}, {FAILURES}"),
