@@ -149,7 +149,8 @@ def test_accuracy_of_known_attempts(spark):
     assert {k: r.n for k, r in kinds.items()} == {"not in the dictionary": 1, "split differently": 3, "same keys": 2, "different keys": 0}
     assert kinds["same keys"].examples == "act > cat, on > no" and kinds["split differently"].examples.startswith("cat > (nothing)")
     sweep = {r.share: r for r in accuracy.prior_sweep(t, lexs).collect()}
-    assert len(sweep) == 6 and sweep[0.1].right_words == pytest.approx(30.0) and sweep[0.8].phrases == pytest.approx(100 * 3 / 6)
+    # With little trust in English, key group 66 reads as the French "no" (so cat and mat are right), else as "on".
+    assert len(sweep) == 6 and sweep[0.1].right_words == pytest.approx(20.0) and sweep[0.8].phrases == pytest.approx(100 * 3 / 6) and sweep[0.8].right_words == pytest.approx(50.0)
 
 
 def test_examples_are_limited_before_and_after_the_exchange(spark):
