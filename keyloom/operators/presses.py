@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from keyloom.functions.keypad import KEYS, MARKS, SYMBOLS
 
 
-def presses(events: DataFrame) -> DataFrame:
-    """(user_id, event_id, ms, digit)."""
-    return events.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (2 + F.pmod("event_id", F.lit(8))).cast("int").cast("string").alias("digit"))
+def presses(events: DataFrame, *also: str) -> DataFrame:
+    """(user_id, event_id, ms, digit), and columns that come along."""
+    return events.select("user_id", "event_id", *also, F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (2 + F.pmod("event_id", F.lit(8))).cast("int").cast("string").alias("digit"))
 
 
 def multitap(p: DataFrame, timeout_ms: int) -> DataFrame:

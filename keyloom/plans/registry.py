@@ -190,12 +190,12 @@ QUERIES = {
 
 
 def queries() -> dict:
-    from . import more, reports
+    from . import more, reports, streams
 
-    return {k: f for k, (f, _) in QUERIES.items()} | more.queries() | reports.queries()
+    return {k: f for k, (f, _) in QUERIES.items()} | more.queries() | reports.queries() | streams.queries()
 
 
 def oracle_sql() -> dict:
-    from . import more, reports
+    from . import more, reports, streams
 
-    return {k: q for k, (_, q) in QUERIES.items() if q} | more.oracle_sql() | reports.oracle_sql()
+    return {k: q for k, (_, q) in QUERIES.items() if q} | more.oracle_sql() | reports.oracle_sql() | streams.oracle_sql()
