@@ -16,8 +16,7 @@ from .registry import BASE, KEYMAP, LEX, NORM, PRESSES, READABLE, SEQ, SPELL, _d
 FIELDS = "case turn % 5 when 4 then 'password' else 'text' end"
 
 
-def _events(s, d):
-    c = table(s, d, "conversations")
+def events_of(c):
     words = F.filter(F.split(keypad.normalise(F.regexp_replace("text", "\n", " ")), " "), lambda w: w != "")
     t = c.select(F.col("conv_id").alias("user_id"), "turn", "role", words.alias("ws"))
     t = t.select("*", F.posexplode("ws").alias("i", "word"))
@@ -26,7 +25,7 @@ def _events(s, d):
 
 
 def _store(s, d):
-    return users.store(users.learnable(_events(s, d)))
+    return users.store(users.learnable(events_of(table(s, d, "conversations"))))
 
 
 def _asked(s, d):

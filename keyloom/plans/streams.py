@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from keyloom.operators import presses as batch
-from keyloom.streaming import presses, runs
+from keyloom.operators import users
+from keyloom.streaming import presses, runs, words
 
-from .registry import KEYMAP, PRESSES
+from .more import EVENTS, events_of
+from .registry import CAPACITY, KEYMAP, PRESSES
 
 HOUR = 3_600_000
 SETTLES, PAUSE, LATE = 6 * HOUR, 6 * HOUR, HOUR  # the clock of the table: presses of a user are hours apart
@@ -25,6 +29,12 @@ def _debounced(s, d):
     return runs.drained(presses.debounced(_presses(s, d), PAUSE, f"{LATE} milliseconds"), runs.place(s, "debounced"))
 
 
+def _learnt(s, d):
+    said = users.learnable(events_of(runs.read(s, f"{d}/conversations.parquet")))
+    changes = runs.drained(words.streamed(said, CAPACITY), runs.place(s, "learnt"))
+    return words.latest(changes).withColumn("uses", F.col("uses").cast("long"))
+
+
 MARK = f"mark as (select max(ms) - {LATE} mark from presses)"
 QUERIES = {
     "o50_multitap_stream": (_multitap, f"""with {PRESSES}, {MARK}, p as (select presses.* from presses, mark where ms <= mark),
@@ -34,6 +44,7 @@ QUERIES = {
     "o57_debounce_stream": (_debounced, f"""with p as (select user_id, epoch_us(ts) us from events), mark as (select (max(us) // 1000 - {LATE}) * 1000 mark from p),
         f as (select *, case when us - lag(us) over (partition by user_id order by us) < {PAUSE * 1000} then 0 else 1 end new from p), r as (select *, sum(new) over (partition by user_id order by us) g from f),
         s as (select user_id, min(us) // 1000 first_ms, max(us) // 1000 last_ms, count(*) n, max(us) last from r group by user_id, g) select user_id, first_ms, last_ms, n from s, mark where last + {PAUSE * 1000} <= mark"""),
+    "o58_learn_stream": (_learnt, f"with {EVENTS} select user_id, word, uses from store"),
 }
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from keyloom.functions import keypad
 from keyloom.operators import align, corpus, decode, lexicon, presses, users
 from keyloom.plans import registry
-from keyloom.streaming import words
 
 
 def one(spark, c):
@@ -98,20 +97,6 @@ def test_align():
     assert align.align("", "2") == [("insertion", 0, 0)]
 
 
-def test_eviction(spark):
-    seen = ["czesto"] * 4 + ["rzadziej"] * 2 + ["raz", "nowe"]
-    assert set(words.learn({}, seen, 3)) == {"czesto", "rzadziej", "nowe"}
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.createDataFrame([(1, i, w) for i, w in enumerate("a b a c a b".split())], "user_id long, at long, word string")
-    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = words.streamed(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), 2)
-    q = stream.writeStream.format("memory").queryName("learnt").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(map(tuple, spark.table("learnt").collect())) == sorted(map(tuple, words.folded(rows, 2).collect()))
-
-
 def test_every_fragment_is_typed(spark, tmp_path):
     line = "one two three four five six seven eight nine"
     rows = [(0, "en", f"{line}\nit's ten"), (1, "en", "42 a"), (2, "en", None)]
