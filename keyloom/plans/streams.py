@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyloom.operators import casing, users
 from keyloom.operators import presses as batch
-from keyloom.operators import users
+from keyloom.sources.tables import table
 from keyloom.streaming import presses, runs, words
 
 from .more import EVENTS, events_of
@@ -35,6 +36,15 @@ def _learnt(s, d):
     return words.latest(changes).withColumn("uses", F.col("uses").cast("long"))
 
 
+# Gestures of a user: a signup is the key that changes the case, an error a mark, all else a word.
+KIND = "case event_type when 'signup' then 'shift' when 'error' then 'other' else 'word' end"
+
+
+def _cased(s, d):
+    e = table(s, d, "events").select("user_id", "event_id", "ts", F.expr(KIND).alias("kind"), F.col("event_type").alias("word"))
+    return casing.cased(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "case", "written")
+
+
 MARK = f"mark as (select max(ms) - {LATE} mark from presses)"
 QUERIES = {
     "o50_multitap_stream": (_multitap, f"""with {PRESSES}, {MARK}, p as (select presses.* from presses, mark where ms <= mark),
@@ -44,6 +54,9 @@ QUERIES = {
     "o57_debounce_stream": (_debounced, f"""with p as (select user_id, epoch_us(ts) us from events), mark as (select (max(us) // 1000 - {LATE}) * 1000 mark from p),
         f as (select *, case when us - lag(us) over (partition by user_id order by us) < {PAUSE * 1000} then 0 else 1 end new from p), r as (select *, sum(new) over (partition by user_id order by us) g from f),
         s as (select user_id, min(us) // 1000 first_ms, max(us) // 1000 last_ms, count(*) n, max(us) last from r group by user_id, g) select user_id, first_ms, last_ms, n from s, mark where last + {PAUSE * 1000} <= mark"""),
+    "o13_case_stream": (_cased, f"""with recursive e as (select user_id, event_id, event_type word, {KIND} kind, row_number() over (partition by user_id order by ts, event_id) k from events),
+        s as (select *, 0 state from e where k = 1 union all select e.*, case s.kind when 'shift' then (s.state + 1) % 3 when 'word' then case when s.state = 1 then 0 else s.state end else s.state end from s join e on e.user_id = s.user_id and e.k = s.k + 1)
+        select user_id, event_id, ['lower', 'once', 'locked'][state + 1] "case", case when kind = 'word' then case state when 0 then word when 1 then upper(word[1:1]) || word[2:] else upper(word) end end written from s"""),
     "o58_learn_stream": (_learnt, f"with {EVENTS} select user_id, word, uses from store"),
 }
 
