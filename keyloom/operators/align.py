@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.keypad import GRID
 
+from . import scan
+
 OK, SUBSTITUTION, DELETION, INSERTION = range(4)
 NAMES = ["ok", "substitution", "deletion", "insertion"]
 WORST = 6  # most common slips that are reported
@@ -140,17 +142,23 @@ def confused(steps: DataFrame) -> DataFrame:
     return per.join(worst, "wanted_key", "left").select("wanted_key", "wanted", share(F.col("missed"), F.col("wanted")).alias("miss_share"), share(F.col("swapped"), F.col("wanted")).alias("swap_share"), "worst")
 
 
-def slips(steps: DataFrame) -> DataFrame:
+def places(pad: str) -> dict[str, tuple[int, int]]:
+    """Row and column of the key that presses each digit: on a remote as printed, on a numpad turned over."""
+    turn = str.maketrans("123789", "789123")
+    return {k: GRID[k if pad == "remote" else k.translate(turn)] for k in GRID}
+
+
+def slips(steps: DataFrame, pad: str = "remote") -> DataFrame:
     """Substitutions by pair of keys, with whether the keys are neighbours on the pad."""
-    where = F.create_map(*[F.lit(x) for k, (r, c) in GRID.items() for x in (k, r * 10 + c)])
+    where = F.create_map(*[F.lit(x) for k, (r, c) in places(pad).items() for x in (k, r * 10 + c)])
     a, b = (F.element_at(where, F.col(c)) for c in ("wanted_key", "typed_key"))
     step = F.greatest(F.abs(F.floor(a / 10) - F.floor(b / 10)), F.abs(a % 10 - b % 10))
     return confusion(steps).withColumn("adjacent", step == 1)
 
 
-def worst_slips(steps: DataFrame, most: int = WORST) -> DataFrame:
+def worst_slips(steps: DataFrame, most: int = WORST, pad: str = "remote") -> DataFrame:
     """The most common slips: a report, so the limit is the feature."""
-    return slips(steps).orderBy(F.desc("n"), "wanted_key", "typed_key").limit(most)
+    return slips(steps, pad).orderBy(F.desc("n"), "wanted_key", "typed_key").limit(most)
 
 
 def pace(records: DataFrame) -> DataFrame:
@@ -161,13 +169,14 @@ def pace(records: DataFrame) -> DataFrame:
 
 
 def percentiles(gaps: DataFrame) -> DataFrame:
-    """gaps(gap, n): as many rows as there are different gaps in milliseconds."""
-    w = Window.orderBy("gap")
-    t = gaps.select("gap", "n", (F.sum("n").over(w) - F.col("n")).alias("lo"), F.sum("n").over(w).alias("hi"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
+    """gaps(gap, n), each gap once. Counts up to each gap come from an ordered scan, so no task holds all gaps."""
+    t = scan.running(scan.dealt(gaps, [], ["gap"]), [], "n", "hi").withColumn("lo", F.col("hi") - F.col("n"))
+    t = t.crossJoin(F.broadcast(gaps.agg(F.sum("n").alias("total"))))  # one row
 
     def at(i):
         return F.max(F.when((F.col("lo") <= i) & (F.col("hi") > i), F.col("gap")))
 
     total = F.col("total")
     low, high = F.expr("(total - 1) div 2"), F.expr("total div 2")
-    return t.agg(((at(low) + at(high)) / 2.0).alias("median"), at(F.expr("total div 10")).alias("p10"), at(F.expr("9 * total div 10")).alias("p90"), F.max("gap").alias("longest"), F.max(total).alias("gaps"))
+    out = t.agg(((at(low) + at(high)) / 2.0).alias("median"), at(F.expr("total div 10")).alias("p10"), at(F.expr("9 * total div 10")).alias("p90"), F.max("gap").alias("longest"), F.max(total).alias("gaps"))
+    return out.where("gaps > 0")

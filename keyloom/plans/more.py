@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import keypad
-from keyloom.operators import align, corpus, drill, lexicon, presses, users
+from keyloom.operators import corpus, drill, lexicon, presses, users
 from keyloom.sources.tables import table
 
-from .registry import BASE, KEYMAP, LEX, NORM, PRESSES, READABLE, SEQ, SPELL, _docs, _lex, _typed
+from .registry import BASE, KEYMAP, LEX, NORM, PRESSES, READABLE, SEQ, SPELL, _docs, _lex
 
 # --- learnt words: the turns of a conversation are one user's events --------------------------------
 # A word that stands last in an assistant's turn is forgotten then; every fifth turn is a private field.
@@ -184,10 +184,6 @@ QUERIES = {
     "o03_label_merge": (_labels, f"{BASE}, t as (select unnest(string_split(text, chr(10))) line from benchmark) select distinct line from (select {NORM.format('line')} line from t union all select line from normed where lang = 'en') where length(line) >= 2"),
     "o11_keys": (_keys, "select key, (" + KEYMAP + ")[key] letters, (" + SYMBOLS + ")[key] symbols from (values ('0'), ('1'), ('2'), ('3'), ('4'), ('5'), ('6'), ('7'), ('8'), ('9')) k(key)"),
     "o16_dropped": (_dropped, f"{BASE} select lang, count(*) tokens, count(*) filter (where seq is null) dropped from tokens group by lang"),
-    "o22_repeat_misses": (lambda s, d: align.missed(align.aligned(_typed(s, d))), None),
-    "o23_confused": (lambda s, d: align.confused(align.aligned(_typed(s, d))), None),
-    "o24_slips": (lambda s, d: align.worst_slips(align.aligned(_typed(s, d))), None),
-    "o26_by_source": (lambda s, d: align.by_source(align.aligned(_typed(s, d), "source")), None),
     "o30b_key_shares": (_shares, f"{BASE}, ws as (select seq from tokens where seq is not null), ks as (select unnest(string_split(seq, '')) key from ws), n as (select key, count(*) n from ks where key <> '' group by key) select key, n, round(100.0 * n / sum(n) over (), 9)::double share from n"),
     "o35_user_candidates": (_mine, f"with {EVENTS}, {ASKED}, {MINE} select user_id, query, rank, word, score, exact from mine"),
     "o36_merged": (_merged, f"{LEX}, {EVENTS}, {ASKED}, {MINE}, {FOUND}, {MERGED} select user_id, query, rank, word, score, exact from merged"),
@@ -196,10 +192,8 @@ QUERIES = {
     "o55_marks": (lambda s, d: _runs(s, d).select("user_id", "run", presses.marks(F.col("n")).alias("mark")), f"{MARKED} select user_id, run, substr('.,-''&:/', cast((n - 1) % 7 + 1 as int), 1) mark from g"),
     "o56_symbols": (lambda s, d: _runs(s, d).where("digit between '2' and '9'").select("user_id", "run", presses.symbols(F.col("digit"), F.col("n")).alias("symbol")), f"{MARKED} select user_id, run, substr(({SYMBOLS})[digit], cast((n - 1) % 4 + 1 as int), 1) symbol from g where digit between '2' and '9'"),
     "o59_store": (_store, f"with {EVENTS} select user_id, word, seq, uses from store"),
-    "o75_drill_lines": (_drill_lines, None),
     "o82_cold_cost": (_cold_costs, f"{LEX}, {QUERY}, {COLD} select {REPORT}"),
     "o82_pooled": (lambda s, d: users.pooled(_cold_costs(s, d)), f"{LEX}, {QUERY}, {COLD} select " + ", ".join(f"cast(coalesce(sum({c}), 0) as bigint) {c}" for c in users.COST) + ", coalesce(round(sum(presses) / nullif(sum(characters), 0), 9), 0.0) kspc from sums"),
-    "o81_warm_cost": (_warm_costs, None),
     "o87_collisions": (_collisions, f"{BASE}, q as (select distinct lang, seq from tokens where seq is not null and seq <> '') select lang, count(*) sequences, count(*) filter (where seq in (select seq from q where lang = 'en')) shared, round(100.0 * count(*) filter (where seq in (select seq from q where lang = 'en')) / count(*), 9)::double share from q where lang <> 'en' group by lang"),
     "o90_pool": (_pool, f"{LEX} select word, seq, score, cast(row_number() over (order by score desc, word) as int) rank from lex where length(word) between 3 and 9 and {READABLE} order by score desc, word limit 12000"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.functions import keypad
-from keyloom.operators import accuracy, align, corpus, decode, evaluate, lexicon, presses
+from keyloom.operators import accuracy, corpus, decode, evaluate, lexicon, presses
 from keyloom.sources.tables import lines, table
 from keyloom.streaming import words
 
@@ -168,9 +168,6 @@ QUERIES = {
     "o40c_front_coding": (lambda s, d: corpus.front_coded(_lex(s, d)), f"""{LEX}, p as (select pos, word, coalesce(lag(word) over (partition by pos // 32 order by pos), '') p from lex)
         select pos, word, cast(coalesce(list_max(list_filter(range(1, 33), lambda k: k <= length(word) and k <= length(p) and word[1:k] = p[1:k])), 0) as int) shared from p"""),
     "o40d_pair_hash": (lambda s, d: corpus.pair_count(_docs(s, d), _lex(s, d)).where("n >= 3").select("prev", "word", corpus.fnv(F.concat_ws(" ", "prev", "word")).alias("hash")), f"{LEX}, {PAIRS}, h as (select prev, word, {FNV} u from pairs where n >= 3) select prev, word, cast(case when u >= 9223372036854775808 then u::hugeint - 18446744073709551616 else u::hugeint end as bigint) hash from h"),
-    "o41_alignment": (lambda s, d: align.aligned(_typed(s, d)), None),
-    "o21_error_counts": (lambda s, d: align.error_counts(align.aligned(_typed(s, d))), None),
-    "o23_confusion": (lambda s, d: align.confusion(align.aligned(_typed(s, d))), None),
     "o30_user_words": (lambda s, d: lexicon.user_words(_spoken(s, d)), f"""with w as (select conv_id user_id, unnest(list_filter(string_split({NORM.format("replace(text, chr(10), ' ')")}, ' '), lambda w: w <> '')) word from conversations)
         select user_id, word, least(count(*), 1000) uses from w where {SEQ.format('word')} is not null group by all"""),
     # In SQL for stores that stay within their capacity.
@@ -192,12 +189,12 @@ QUERIES = {
 
 
 def queries() -> dict:
-    from . import more, reports, streams
+    from . import more, reports, streams, typing
 
-    return {k: f for k, (f, _) in QUERIES.items()} | more.queries() | reports.queries() | streams.queries()
+    return {k: f for k, (f, _) in QUERIES.items()} | more.queries() | reports.queries() | streams.queries() | typing.queries()
 
 
 def oracle_sql() -> dict:
-    from . import more, reports, streams
+    from . import more, reports, streams, typing
 
-    return {k: q for k, (_, q) in QUERIES.items() if q} | more.oracle_sql() | reports.oracle_sql() | streams.oracle_sql()
+    return {k: q for k, (_, q) in QUERIES.items() if q} | more.oracle_sql() | reports.oracle_sql() | streams.oracle_sql() | typing.oracle_sql()
