@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from keyloom.functions import keypad
 from keyloom.sources.tables import lines
 
+from .ranks import ranked
+
 TITLE_WEIGHT, VOCABULARY, PAIR_FLOOR, PAIR_KEEP = 20, 120_000, 3, 400_000  # fixed values
 
 
@@ -28,22 +30,31 @@ def titles(benchmark: DataFrame) -> DataFrame:
 
 
 def word_count(docs: DataFrame, benchmark: DataFrame, weight: int = TITLE_WEIGHT) -> DataFrame:
-    both = tokens(docs).select("lang", "word", "seq", F.lit(1).alias("weight")).unionByName(tokens(titles(benchmark)).select("lang", "word", "seq", F.lit(weight).alias("weight")))
+    return counted(tokens(docs), benchmark, weight)
+
+
+def counted(toks: DataFrame, benchmark: DataFrame, weight: int = TITLE_WEIGHT) -> DataFrame:
+    both = toks.select("lang", "word", "seq", F.lit(1).alias("weight")).unionByName(tokens(titles(benchmark)).select("lang", "word", "seq", F.lit(weight).alias("weight")))
     return both.where("seq is not null").groupBy("lang", "word").agg(F.sum("weight").alias("n"))
 
 
 def lexicon(counts: DataFrame, limit: int = VOCABULARY) -> DataFrame:
-    """(word, n, seq, score, pos) of one language; the windows run over the bounded vocabulary."""
-    top = counts.orderBy(F.desc("n"), "word").limit(limit).withColumn("seq", keypad.sequence_of(F.col("word")))
-    whole = Window.partitionBy(F.lit(1))
-    score = F.least(F.lit(255), F.greatest(F.lit(1), 1 + (254 * F.log(1 + F.col("n")) / F.log(1 + F.max("n").over(whole))).cast("int")))
-    return top.select("word", "n", "seq", score.alias("score"), (F.row_number().over(whole.orderBy("seq", F.desc("n"), "word")) - 1).alias("pos"))
+    """(word, n, seq, score, pos) of one language: the commonest words, placed by their keys, then by use."""
+    top = ranked(counts.select("word", "n"), [], [F.desc("n"), F.col("word")]).where(F.col("rank") < limit)
+    most = counts.agg(F.max("n").alias("most"))  # one row
+    score = F.least(F.lit(255), F.greatest(F.lit(1), 1 + (254 * F.log(1 + F.col("n")) / F.log(1 + F.col("most"))).cast("int")))
+    top = top.crossJoin(F.broadcast(most)).select("word", "n", keypad.sequence_of(F.col("word")).alias("seq"), score.alias("score"))
+    return ranked(top, [], [F.col("seq"), F.desc("n"), F.col("word")], "pos").withColumn("pos", F.col("pos").cast("int"))
 
 
 def pair_count(docs: DataFrame, lex: DataFrame) -> DataFrame:
+    return paired(tokens(docs), lex)
+
+
+def paired(toks: DataFrame, lex: DataFrame) -> DataFrame:
     """Adjacent pairs on a line; a token outside the vocabulary ends a pair."""
-    # The vocabulary has a limit, so it is sent to the tokens: a join by word would meet the commonest in one task.
-    seen = tokens(docs).join(F.broadcast(lex.select("word", F.lit(True).alias("known")).limit(VOCABULARY)), "word", "left")
+    # The vocabulary is bounded, so it is sent to the tokens: a join by word would meet the commonest in one task.
+    seen = toks.join(F.broadcast(lex.select("word", F.lit(True).alias("known"))), "word", "left")
     w = Window.partitionBy("doc_id", "pos").orderBy("i")
     pairs = seen.select("word", "known", F.lag("word").over(w).alias("prev"), F.lag("known").over(w).alias("before"))
     return pairs.where("known and before").groupBy("prev", "word").agg(F.count("*").alias("n"))

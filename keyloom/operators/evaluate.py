@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import keypad
 
-from .lexicon import candidates
-
-# Presses to spell a letter: its place on its key, and one to choose the key.
-SPELL = {c: n + 2 for k in keypad.KEYS.values() for n, c in enumerate(k)}
+from .lexicon import exact_ranks
+from .users import spelt
 
 
 def word_cost(words: DataFrame, lex: DataFrame, limit: int = 8) -> DataFrame:
     """words(word): presses when found among the candidates, else when spelt letter by letter."""
     asked = words.select("word", keypad.sequence_of(F.col("word")).alias("query")).distinct()
-    got = candidates(asked.where("query is not null").select("query").distinct(), lex, limit).where("exact").select("query", "word", "rank")
-    table = F.create_map(*[F.lit(x) for kv in SPELL.items() for x in kv])
-    spelt = 1 + F.aggregate(F.filter(F.split("word", ""), lambda c: c != ""), F.lit(0), lambda s, c: s + F.coalesce(F.try_element_at(table, c) - 1, F.lit(1)))
-    return asked.join(got, ["query", "word"], "left").select("word", F.coalesce(F.length("query") + F.col("rank") - 1, spelt).cast("long").alias("presses"), F.col("rank").isNull().alias("spelt"))
+    t = asked.join(exact_ranks(lex, limit).drop("exact"), ["query", "word"], "left")
+    return t.select("word", F.coalesce(F.length("query") + F.col("rank") - 1, spelt(F.col("word"))).cast("long").alias("presses"), F.col("rank").isNull().alias("spelt"))

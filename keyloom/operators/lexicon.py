@@ -16,12 +16,19 @@ def prefixes(lex: DataFrame) -> DataFrame:
 def candidates(asked: DataFrame, lex: DataFrame, limit: int = 8) -> DataFrame:
     """asked(query): exact words in stored order, then the best of the first completions by pos."""
     hit = asked.where("query <> ''").join(prefixes(lex), "query").withColumn("exact", F.col("query") == F.col("seq"))
-    first = F.row_number().over(Window.partitionBy("query", "exact").orderBy("pos"))
-    hit = hit.withColumn("nth", first).where(F.col("exact") | (F.col("nth") <= COMPLETIONS))
+    # Words are placed by their keys, so the completions of a query stand together: the first of them lie below a place.
+    start = hit.where("not exact").groupBy("query").agg(F.min("pos").alias("start"))
+    hit = hit.join(start, "query", "left").where(F.col("exact") | (F.col("pos") < F.col("start") + COMPLETIONS))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("exact"), F.when(F.col("exact"), F.col("pos")), F.desc("score"), "pos"))
     return hit.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "rank", "word", "score", "exact")
 
 
+def exact_ranks(lex: DataFrame, limit: int = 8) -> DataFrame:
+    """(query, word, rank, exact): the exact words of every sequence among its candidates; they come first there."""
+    rank = F.row_number().over(Window.partitionBy("seq").orderBy("pos"))
+    return lex.select(F.col("seq").alias("query"), "word", rank.alias("rank"), F.lit(True).alias("exact")).where(F.col("rank") <= limit)
+
+
 def contains(words: DataFrame, lex: DataFrame) -> DataFrame:
     return words.join(lex.select("word"), "word", "left_semi")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import keypad
@@ -87,15 +86,9 @@ def _query_words(s, d):
     return c.select("conv_id", "turn", F.explode(F.split(keypad.normalise(F.regexp_replace("text", "\n", " ")), " ")).alias("word")).where("word <> ''")
 
 
-def _exact(lex, limit=users.LIMIT):
-    """Exact words of every sequence within the candidates that are shown."""
-    rank = F.row_number().over(Window.partitionBy("seq").orderBy("pos"))
-    return lex.select(F.col("seq").alias("query"), "word", rank.alias("rank"), F.lit(True).alias("exact")).where(F.col("rank") <= limit)
-
-
 def _cold_costs(s, d):
     words = _query_words(s, d)
-    costs = users.word_costs(words.select("word").distinct(), _exact(_lex(s, d)))
+    costs = users.word_costs(words.select("word").distinct(), lexicon.exact_ranks(_lex(s, d)))
     t = words.join(costs, "word").groupBy("conv_id", "turn").agg(*[F.sum(c).alias(c) for c in users.COST])
     gaps = F.col("words") - 1
     return users.kspc(t.withColumn("presses", F.col("presses") + gaps).withColumn("characters", F.col("characters") + gaps))

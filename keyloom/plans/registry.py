@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import keypad
 from keyloom.operators import accuracy, corpus, decode, evaluate, lexicon, presses
+from keyloom.sources.kept import kept
 from keyloom.sources.tables import lines, table
 from keyloom.streaming import words
 
@@ -124,8 +125,15 @@ def _decoded(s, d):
     return decode.decode(asked.repartition(s.sparkContext.defaultParallelism * 4, "keys"), {"en": (1.0, _lex(s, d))})
 
 
+def _pairs(s, d):
+    """English pairs and counts; tokens and counts are written once, for all that reads them."""
+    toks = kept(corpus.tokens(_docs(s, d)).select("doc_id", "lang", "pos", "i", "word", "seq"), "tokens")
+    counts = kept(corpus.counted(toks, table(s, d, "benchmark")).where("lang = 'en'").select("word", "n"), "counts")
+    return corpus.paired(toks, corpus.lexicon(counts)), counts
+
+
 def _pmi(s, d):
-    return corpus.pmi(corpus.pair_count(_docs(s, d), _lex(s, d)), _en(s, d))
+    return corpus.pmi(*_pairs(s, d))
 
 
 def _balance(s, d):
@@ -141,7 +149,7 @@ QUERIES = {
     "o09_sequences": (_words, f"{BASE} select distinct word, seq from tokens"),
     "o10_phrase_sequence": (lambda s, d: corpus.normalised(_docs(s, d)).select("doc_id", "pos", keypad.phrase_sequence(F.col("line")).alias("keys")).where("keys is not null"),
         f"with {LINES}, {NORMED} select doc_id, pos, translate(lower(line), '{A} ', '{B}0') keys from normed where regexp_full_match(lower(line), '[{A} ]*')"),
-    "o20_pair_selection": (lambda s, d: corpus.pair_count(_docs(s, d), _lex(s, d)).where("n >= 3").orderBy(F.desc("n"), "prev", "word").limit(corpus.PAIR_KEEP),
+    "o20_pair_selection": (lambda s, d: _pairs(s, d)[0].where("n >= 3").orderBy(F.desc("n"), "prev", "word").limit(corpus.PAIR_KEEP),
         f"{LEX}, {PAIRS} select prev, word, n from pairs where n >= 3 order by n desc, prev, word limit {corpus.PAIR_KEEP}"),
     "o63_word_delete": (lambda s, d: corpus.normalised(_docs(s, d)).select("doc_id", "pos", F.regexp_replace("line", r"\S+\s*$", "").alias("left")),
         rf"with {LINES}, {NORMED} select doc_id, pos, regexp_replace(line, '\S+\s*$', '') as left from normed".replace("as left", 'as "left"')),
@@ -154,10 +162,10 @@ QUERIES = {
     "o15b_repeats": (lambda s, d: _words(s, d).where("seq is not null").select("word", keypad.repeats_in(F.col("seq")).alias("repeats")),
         f"{BASE} select distinct word, cast(len(list_filter(range(2, length(seq) + 1), lambda i: seq[i:i] = seq[i - 1:i - 1])) as int) repeats from tokens where seq is not null"),
     "o16_word_count": (lambda s, d: corpus.word_count(_docs(s, d), table(s, d, "benchmark")), f"{COUNTS} select lang, word, n from counts"),
-    "o17_pairs": (lambda s, d: corpus.pair_count(_docs(s, d), _lex(s, d)), f"{LEX}, {PAIRS} select prev, word, n from pairs"),
+    "o17_pairs": (lambda s, d: _pairs(s, d)[0], f"{LEX}, {PAIRS} select prev, word, n from pairs"),
     "o18_ambiguity": (lambda s, d: corpus.ambiguity(_en(s, d)), f"""{COUNTS}, by_seq as (select {SEQ.format('word')} seq, count(*) words, sum(n) n, max(n) first from counts where lang = 'en' group by 1)
         select count(*) sequences, cast(sum(case when words > 1 then words else 0 end) as bigint) sharing, round(100.0 * sum(first)::double / sum(n)::double, 9) first_choice from by_seq"""),
-    "o19_pmi": (lambda s, d: corpus.pmi(corpus.pair_count(_docs(s, d), _lex(s, d)), _en(s, d)), f"""{LEX}, {PAIRS}, total as (select sum(n)::double t from en), chosen as (select * from pairs where n >= 3 order by n desc, prev, word limit {corpus.PAIR_KEEP})
+    "o19_pmi": (_pmi, f"""{LEX}, {PAIRS}, total as (select sum(n)::double t from en), chosen as (select * from pairs where n >= 3 order by n desc, prev, word limit {corpus.PAIR_KEEP})
         select c.prev, c.word, c.n, round(least(8.0, greatest(-2.0, ln((c.n / t) / ((a.n / t) * (b.n / t))))), 9)::double pmi from chosen c join en a on a.word = c.prev join en b on b.word = c.word, total"""),
     "o30b_key_balance": (_balance, f"{BASE}, keys as (select unnest(string_split(seq, '')) key from tokens where seq is not null) select key, count(*) n from keys where key <> '' group by key"),
     "o31_candidates": (lambda s, d: lexicon.candidates(_asked(s, d), _lex(s, d)), f"{LEX}, {ASKED}, {FOUND} select query, rank, word, score, exact from found"),
@@ -167,7 +175,7 @@ QUERIES = {
     "o40_lexicon": (_lex, f"{LEX} select word, n, seq, score, pos from lex"),
     "o40c_front_coding": (lambda s, d: corpus.front_coded(_lex(s, d)), f"""{LEX}, p as (select pos, word, coalesce(lag(word) over (partition by pos // 32 order by pos), '') p from lex)
         select pos, word, cast(coalesce(list_max(list_filter(range(1, 33), lambda k: k <= length(word) and k <= length(p) and word[1:k] = p[1:k])), 0) as int) shared from p"""),
-    "o40d_pair_hash": (lambda s, d: corpus.pair_count(_docs(s, d), _lex(s, d)).where("n >= 3").select("prev", "word", corpus.fnv(F.concat_ws(" ", "prev", "word")).alias("hash")), f"{LEX}, {PAIRS}, h as (select prev, word, {FNV} u from pairs where n >= 3) select prev, word, cast(case when u >= 9223372036854775808 then u::hugeint - 18446744073709551616 else u::hugeint end as bigint) hash from h"),
+    "o40d_pair_hash": (lambda s, d: _pairs(s, d)[0].where("n >= 3").select("prev", "word", corpus.fnv(F.concat_ws(" ", "prev", "word")).alias("hash")), f"{LEX}, {PAIRS}, h as (select prev, word, {FNV} u from pairs where n >= 3) select prev, word, cast(case when u >= 9223372036854775808 then u::hugeint - 18446744073709551616 else u::hugeint end as bigint) hash from h"),
     "o30_user_words": (lambda s, d: lexicon.user_words(_spoken(s, d)), f"""with w as (select conv_id user_id, unnest(list_filter(string_split({NORM.format("replace(text, chr(10), ' ')")}, ' '), lambda w: w <> '')) word from conversations)
         select user_id, word, least(count(*), 1000) uses from w where {SEQ.format('word')} is not null group by all"""),
     # In SQL for stores that stay within their capacity.

@@ -10,9 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small file is one split, whatever is done with its rows.
+    A table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, pos, line), pos from 0."""
-    return docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return spread(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
 def typing_record(spark: SparkSession, path: str) -> DataFrame:
