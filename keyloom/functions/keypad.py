@@ -85,3 +85,13 @@ def turned_over(c: Column) -> Column:
 
 def readable(c: Column) -> Column:
     return ~c.rlike(r"(.)\1\1") & (F.regexp_count(c, F.lit(r"(.)\1")) < 3) & c.rlike("[aąeęioóuy]")
+
+
+def word_after(text: Column, caret: Column) -> Column:
+    """Where the caret stands after a jump to the end of the next word: past white space, then past the word."""
+    return caret + F.length(F.regexp_extract(F.substring(text, caret + 1, F.length(text)), r"^\s*\S*", 0))
+
+
+def word_before(text: Column, caret: Column) -> Column:
+    """Where it stands after a jump back: over white space, then to the start of the word."""
+    return caret - F.length(F.regexp_extract(F.substring(text, F.lit(1), caret), r"\S*\s*$", 0))

@@ -180,3 +180,30 @@ def percentiles(gaps: DataFrame) -> DataFrame:
     low, high = F.expr("(total - 1) div 2"), F.expr("total div 2")
     out = t.agg(((at(low) + at(high)) / 2.0).alias("median"), at(F.expr("total div 10")).alias("p10"), at(F.expr("9 * total div 10")).alias("p90"), F.max("gap").alias("longest"), F.max(total).alias("gaps"))
     return out.where("gaps > 0")
+
+
+def error_model(steps: DataFrame, pad: str = "remote") -> DataFrame:
+    """The rates that aligned records measure, and the log costs of a decoder that follow from them, in one row. A rate that
+    is not seen has no cost (null)."""
+    place = F.create_map(*[F.lit(x) for k, (r, c) in places(pad).items() for x in (k, r * 10 + c)])
+    a, b = (F.element_at(place, F.col(c)) for c in ("wanted_key", "typed_key"))
+    near = F.greatest(F.abs(F.floor(a / 10) - F.floor(b / 10)), F.abs(a % 10 - b % 10)) == 1
+    is_ = lambda op: F.col("op") == op
+    spaces = F.col("wanted_key") == "0"
+    n = steps.agg(
+        F.count_if(is_("ok")).alias("ok"), F.count_if(is_("substitution") & near).alias("near"), F.count_if(is_("substitution") & ~near).alias("far"),
+        F.count_if(is_("insertion")).alias("extra"), F.count_if(is_("deletion") & spaces).alias("no_space"), F.count_if(spaces).alias("spaces"),
+    )
+    t = n.crossJoin(F.broadcast(missed(steps)))  # one row each
+    rate = lambda part, whole: F.col(part) / F.nullif(F.col(whole), F.lit(0))
+    t = t.select(
+        rate("ok", "wanted").alias("correct"), rate("near", "wanted").alias("adjacent"), rate("far", "wanted").alias("distant"), rate("extra", "wanted").alias("extra"),
+        rate("in_repeat", "repeats").alias("swallowed"), rate("isolated", "lone").alias("missed"), rate("no_space", "spaces").alias("skipped_space"),
+    )
+    ln = lambda x: F.round(F.log(F.when(x > 0, x)), 9)
+    c = F.col
+    costs = [
+        ln(c("adjacent") / 4 / c("correct")).alias("adjacent_cost"), ln(c("distant") / 4 / c("correct")).alias("distant_cost"), ln(c("extra") / c("correct")).alias("extra_cost"),
+        ln(c("swallowed") / F.nullif(1 - c("swallowed"), F.lit(0))).alias("repeat_cost"), ln(c("missed") / c("correct")).alias("missed_cost"), ln(c("skipped_space") / F.nullif(1 - c("skipped_space"), F.lit(0))).alias("no_space_cost"),
+    ]
+    return t.select(*[F.round(x, 9).alias(x) for x in t.columns], *costs)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from keyloom.functions import keypad
 from keyloom.sources.tables import lines
 
+from . import scan
 from .ranks import ranked
 
 TITLE_WEIGHT, VOCABULARY, PAIR_FLOOR, PAIR_KEEP = 20, 120_000, 3, 400_000  # fixed values
+LONG = 15  # fixed value: from here on a length needs an escape
 
 
 def normalised(docs: DataFrame) -> DataFrame:
@@ -40,8 +42,9 @@ def counted(toks: DataFrame, benchmark: DataFrame, weight: int = TITLE_WEIGHT) -
 
 def lexicon(counts: DataFrame, limit: int = VOCABULARY) -> DataFrame:
     """(word, n, seq, score, pos) of one language: the commonest words, placed by their keys, then by use."""
+    # Ranks are written, so what is read again below is the ranked table, not the counts.
     top = ranked(counts.select("word", "n"), [], [F.desc("n"), F.col("word")]).where(F.col("rank") < limit)
-    most = counts.agg(F.max("n").alias("most"))  # one row
+    most = top.agg(F.max("n").alias("most"))  # one row
     score = F.least(F.lit(255), F.greatest(F.lit(1), 1 + (254 * F.log(1 + F.col("n")) / F.log(1 + F.col("most"))).cast("int")))
     top = top.crossJoin(F.broadcast(most)).select("word", "n", keypad.sequence_of(F.col("word")).alias("seq"), score.alias("score"))
     return ranked(top, [], [F.col("seq"), F.desc("n"), F.col("word")], "pos").withColumn("pos", F.col("pos").cast("int"))
@@ -95,3 +98,18 @@ def front_coded(lex: DataFrame, every: int = 32) -> DataFrame:
     n = F.least(F.length("word"), F.length("p"))
     tests = [F.when((n >= k) & (F.substring("word", 1, k) == F.substring("p", 1, k)), k).otherwise(0) for k in range(1, 33)]
     return t.select("pos", "word", reduce(lambda a, b: F.greatest(a, b), tests).alias("shared"))
+
+
+def layout(lex: DataFrame, every: int = 32) -> DataFrame:
+    """The front-coded entries of a lexicon: letters shared with the word before (none at a checkpoint), letters that follow,
+    whether either needs an escape, the bytes of the entry (a head of one byte, or three, the letters, the score) and
+    where it starts. Offsets come from an ordered scan."""
+    prev = F.lag("word", 1, "").over(Window.partitionBy(F.expr(f"pos div {every}")).orderBy("pos"))
+    t = lex.select("pos", "word", prev.alias("p"))
+    same = F.zip_with(F.split("word", ""), F.split("p", ""), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    apart = F.array_position(same, False)
+    shared = F.when(F.col("p") == "", F.lit(0)).otherwise(F.when(apart > 0, apart - 1).otherwise(F.length("word"))).cast("int")
+    t = t.select("pos", "word", shared.alias("shared")).withColumn("suffix", (F.length("word") - F.col("shared")).cast("int"))
+    t = t.withColumn("escaped", (F.col("shared") >= LONG) | (F.col("suffix") >= LONG)).withColumn("size", F.when(F.col("escaped"), 3).otherwise(1) + F.col("suffix") + 1)
+    t = scan.running(scan.dealt(t, [], ["pos"]), [], "size", "end")
+    return t.select("pos", "word", "shared", "suffix", "escaped", "size", (F.col("end") - F.col("size")).alias("offset"))

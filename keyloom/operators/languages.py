@@ -53,7 +53,7 @@ def score(n: Column, most: Column) -> Column:
 def lexicons(counts: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """The commonest words of each language, all languages at once, placed by their keys, then by use."""
     top = ranked(counts, ["lang"], [F.desc("n"), F.col("word")]).where(F.col("rank") < vocabulary).drop("rank")
-    most = counts.groupBy("lang").agg(F.max("n").alias("most"))  # a row a language
+    most = top.groupBy("lang").agg(F.max("n").alias("most"))  # a row a language
     top = top.join(most, "lang").select("lang", "word", "n", keypad.sequence_in_any(F.col("word")).alias("seq"), score(F.col("n"), F.col("most")).alias("score"))
     return ranked(top, ["lang"], [F.col("seq"), F.desc("n"), F.col("word")], "pos")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.functions import keypad
-from keyloom.operators import corpus, drill, lexicon, presses, users
+from keyloom.operators import corpus, drill, lexicon, presses, scan, users
 from keyloom.sources.tables import table
 
-from .registry import BASE, KEYMAP, LEX, NORM, PRESSES, READABLE, SEQ, SPELL, _docs, _lex
+from .registry import BASE, KEYMAP, LEX, LINES, NORM, NORMED, PRESSES, READABLE, SEQ, SPELL, _docs, _lex
 
 # --- learnt words: the turns of a conversation are one user's events --------------------------------
 # A word that stands last in an assistant's turn is forgotten then; every fifth turn is a private field.
@@ -158,29 +158,41 @@ SYMBOLS = "map {" + ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for
 ROWS = "(values " + ", ".join(f"('{k}', {r}, {c})" for k, (r, c) in keypad.GRID.items()) + ") g(key, r, c)"
 
 
-def _grid(s):
-    return s.createDataFrame([(k, r, c) for k, (r, c) in keypad.GRID.items()], "key string, r int, c int")
-
-
 def _adjacent(s, d):
-    a, b = _grid(s), _grid(s).select(F.col("key").alias("other"), F.col("r").alias("r2"), F.col("c").alias("c2"))
-    near = F.greatest(F.abs(F.col("r") - F.col("r2")), F.abs(F.col("c") - F.col("c2"))) == 1
-    return a.join(F.broadcast(b), near).select("key", "other")  # ten rows
+    """Presses that follow each other on neighbouring keys, by pair of keys."""
+    p = presses.presses(table(s, d, "events"))
+    t = scan.previous(scan.dealt(p, ["user_id"], ["ms", "event_id"]), ["user_id"], "digit").where("before_digit is not null")
+    n = t.groupBy(F.col("before_digit").alias("key"), F.col("digit").alias("other")).agg(F.count("*").alias("n"))
+    where = F.create_map(*[F.lit(x) for k, (r, c) in keypad.GRID.items() for x in (k, r * 10 + c)])
+    a, b = (F.element_at(where, F.col(c)) for c in ("key", "other"))
+    return n.where(F.greatest(F.abs(F.floor(a / 10) - F.floor(b / 10)), F.abs(a % 10 - b % 10)) == 1)
 
 
 def _keys(s, d):
-    rows = [(k, keypad.KEYS.get(k), keypad.SYMBOLS.get(k)) for k in "0123456789"]
-    return s.createDataFrame(rows, "key string, letters string, symbols string")
+    """What stands on the key of each press."""
+    on = lambda keys: F.try_element_at(F.create_map(*[F.lit(x) for kv in keys.items() for x in kv]), F.col("digit"))
+    return presses.presses(table(s, d, "events")).select("event_id", "digit", on(keypad.KEYS).alias("letters"), on(keypad.SYMBOLS).alias("symbols"))
+
+
+def _jumps(s, d):
+    """Word jumps from the middle of each line."""
+    t = corpus.normalised(_docs(s, d)).withColumn("caret", F.expr("length(line) div 2").cast("int"))
+    return t.select("doc_id", "pos", "caret", keypad.word_after(F.col("line"), F.col("caret")).alias("forward"), keypad.word_before(F.col("line"), F.col("caret")).alias("back"))
 
 
 QUERIES = {
     "o03_label_merge": (_labels, f"{BASE}, t as (select unnest(string_split(text, chr(10))) line from benchmark) select distinct line from (select {NORM.format('line')} line from t union all select line from normed where lang = 'en') where length(line) >= 2"),
-    "o11_keys": (_keys, "select key, (" + KEYMAP + ")[key] letters, (" + SYMBOLS + ")[key] symbols from (values ('0'), ('1'), ('2'), ('3'), ('4'), ('5'), ('6'), ('7'), ('8'), ('9')) k(key)"),
+    "o11_keys": (_keys, f"with {PRESSES} select event_id, digit, ({KEYMAP})[digit] letters, ({SYMBOLS})[digit] symbols from presses"),
     "o16_dropped": (_dropped, f"{BASE} select lang, count(*) tokens, count(*) filter (where seq is null) dropped from tokens group by lang"),
     "o30b_key_shares": (_shares, f"{BASE}, ws as (select seq from tokens where seq is not null), ks as (select unnest(string_split(seq, '')) key from ws), n as (select key, count(*) n from ks where key <> '' group by key) select key, n, round(100.0 * n / sum(n) over (), 9)::double share from n"),
     "o35_user_candidates": (_mine, f"with {EVENTS}, {ASKED}, {MINE} select user_id, query, rank, word, score, exact from mine"),
     "o36_merged": (_merged, f"{LEX}, {EVENTS}, {ASKED}, {MINE}, {FOUND}, {MERGED} select user_id, query, rank, word, score, exact from merged"),
-    "o39_adjacent": (_adjacent, f"select a.key, b.key other from (select * from {ROWS}) a, (select * from {ROWS}) b where greatest(abs(a.r - b.r), abs(a.c - b.c)) = 1"),
+    "o39_adjacent": (_adjacent, f"with {PRESSES}, l as (select lag(digit) over (partition by user_id order by ms, event_id) key, digit other from presses), n as (select key, other, count(*) n from l where key is not null group by all) select n.* from n join {ROWS} on g.key = n.key join {ROWS.replace(' g(', ' h(')} on h.key = n.other where greatest(abs(g.r - h.r), abs(g.c - h.c)) = 1"),
+    "o63_word_jump": (_jumps, f"with {LINES}, {NORMED}, c as (select doc_id, pos, line, cast(length(line) // 2 as int) caret from normed) select doc_id, pos, caret, caret + length(regexp_extract(line[caret + 1:], '^\\s*\\S*')) forward, caret - length(regexp_extract(line[:caret], '\\S*\\s*$')) back from c"),
+    "o40c_layout": (lambda s, d: corpus.layout(_lex(s, d)), f"""{LEX}, p as (select pos, word, coalesce(lag(word) over (partition by pos // 32 order by pos), '') p from lex),
+        q as (select pos, word, cast(coalesce(list_max(list_filter(range(1, least(length(word), length(p)) + 1), lambda k: word[1:k] = p[1:k])), 0) as int) shared from p),
+        z as (select *, length(word) - shared suffix, shared >= 15 or length(word) - shared >= 15 escaped from q), y as (select *, case when escaped then 3 else 1 end + suffix + 1 size from z)
+        select pos, word, shared, suffix, escaped, size, cast(sum(size) over (order by pos) - size as bigint) "offset" from y"""),
     "o40f_listing": (lambda s, d: users.listing(_store(s, d)), f"with {EVENTS} select user_id, cast(row_number() over (partition by user_id order by uses desc, word) as int) rank, word, uses from store"),
     "o55_marks": (lambda s, d: _runs(s, d).select("user_id", "run", presses.marks(F.col("n")).alias("mark")), f"{MARKED} select user_id, run, substr('.,-''&:/', cast((n - 1) % 7 + 1 as int), 1) mark from g"),
     "o56_symbols": (lambda s, d: _runs(s, d).where("digit between '2' and '9'").select("user_id", "run", presses.symbols(F.col("digit"), F.col("n")).alias("symbol")), f"{MARKED} select user_id, run, substr(({SYMBOLS})[digit], cast((n - 1) % 4 + 1 as int), 1) symbol from g where digit between '2' and '9'"),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import keypad
 from keyloom.operators import align, drill, presses, scan
-from keyloom.sources.tables import table
+from keyloom.sources.tables import query_corpus, table, typing_record
+from keyloom.streaming import runs
 
 from .more import ASKED, EVENTS, FOUND, MERGED, MINE, QUERY, REPORT, SUMS, _drill_lines, _parts, _pool, _warm_costs
 from .registry import BASE, LEX, PRESSES, READABLE, SEQ, _typed
@@ -57,6 +58,45 @@ def _steps(s, d, *with_):
     return align.aligned(_typed(s, d), *with_)
 
 
+PLACE = "map {" + ", ".join(f"'{k}': {r * 10 + c}" for k, (r, c) in align.places("remote").items()) + "}"
+NEAR = f"greatest(abs(({PLACE})[wanted_key] // 10 - ({PLACE})[typed_key] // 10), abs(({PLACE})[wanted_key] % 10 - ({PLACE})[typed_key] % 10)) = 1"
+MODEL = f"""{STEPS}, nb as (select op, coalesce(wanted_key = lag(wanted_key) over w, false) again, coalesce(wanted_key = lead(wanted_key) over w, false) ahead from steps where wanted_key is not null window w as (partition by id order by i)),
+mi as (select count(*) filter (where op = 'deletion' and (again or ahead)) in_repeat, count(*) filter (where op = 'deletion' and not (again or ahead)) isolated, count(*) filter (where again) repeats, count(*) wanted from nb),
+su as (select count(*) filter (where op = 'ok') ok, count(*) filter (where op = 'substitution' and {NEAR}) near, count(*) filter (where op = 'substitution' and not {NEAR}) far, count(*) filter (where op = 'insertion') extra, count(*) filter (where op = 'deletion' and wanted_key = '0') no_space, count(*) filter (where wanted_key = '0') spaces from steps),
+ra as (select ok::double / nullif(wanted, 0) correct, near::double / nullif(wanted, 0) adjacent, far::double / nullif(wanted, 0) distant, extra::double / nullif(wanted, 0) extra, in_repeat::double / nullif(repeats, 0) swallowed, isolated::double / nullif(wanted - repeats, 0) missed, no_space::double / nullif(spaces, 0) skipped_space from su, mi)
+select {', '.join(f'round({c}, 9) {c}' for c in ('correct', 'adjacent', 'distant', 'extra', 'swallowed', 'missed', 'skipped_space'))}, round(ln(nullif(adjacent / 4 / correct, 0)), 9) adjacent_cost, round(ln(nullif(distant / 4 / correct, 0)), 9) distant_cost, round(ln(nullif(extra / correct, 0)), 9) extra_cost,
+    round(ln(nullif(swallowed / nullif(1 - swallowed, 0), 0)), 9) repeat_cost, round(ln(nullif(missed / correct, 0)), 9) missed_cost, round(ln(nullif(skipped_space / nullif(1 - skipped_space, 0), 0)), 9) no_space_cost from ra"""
+
+
+# Records as text, as a recorder writes them; every seventh line lacks a field, every eleventh has one too many, so one
+# in 77 has as many as it should, all out of place.
+def _written_records(s, d):
+    rows = _typed(s, d)
+    n = F.crc32("id")
+    keys = F.filter(F.split("typed", ""), lambda c: c != "")
+    gaps = F.array_join(F.transform(keys, lambda c, i: F.when(i == 0, "0").otherwise("195")), ",")
+    line = F.concat_ws("\t", F.when(F.pmod(n, F.lit(7)) != 0, F.col("source")), F.lit("3"), F.lit("remote"), "id", "typed", gaps, F.when(F.pmod(n, F.lit(11)) == 0, F.lit("x")))
+    at = runs.place(s, "typing")
+    rows.select(line.alias("value")).write.text(at)
+    t = typing_record(s, at)
+    return t.select("source", "at", "pad", "target", "keys", F.size("millis").alias("presses"))
+
+
+def _written_queries(s, d):
+    """User turns as a file of queries: blank lines and comments between them are passed over."""
+    c = table(s, d, "conversations").where("role = 'user'")
+    text = F.regexp_replace("text", r"[\t\n\r]", " ")
+    line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("#"), text)).when(F.col("turn") % 3 == 1, F.concat_ws("\t", text, F.lit("en"))).otherwise(F.concat_ws("\t", text, F.lit("mixed"), F.lit("note")))
+    at = runs.place(s, "queries")
+    c.select(F.explode(F.array(line, F.lit("  "))).alias("value")).write.text(at)
+    return query_corpus(s, at)
+
+
+CRC = """cast(xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({0}, ''), lambda c: unicode(c)::ubigint)), lambda h, c:
+    list_reduce(list_prepend(xor(h, c), [1::ubigint, 2, 3, 4, 5, 6, 7, 8]), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)), 4294967295::ubigint) as bigint)"""
+TYPED = STEPS.split(", sz as")[0]
+
+
 WARM = f"""{LEX}, {QUERY}, uses_ as (select conv_id, turn, word, {SEQ.format('word')} seq, least(count(*), 1000) uses from qw where {SEQ.format('word')} is not null group by all),
 store as (select conv_id || '/' || turn user_id, conv_id, turn, word, seq, uses from uses_), asked as (select distinct user_id, seq query from store), {MINE}, {FOUND}, {MERGED},
 got as (select s.conv_id, s.turn, m.word, m.rank from merged m join (select distinct user_id, conv_id, turn from store) s on s.user_id = m.user_id where m.exact and {SEQ.format('m.word')} = m.query), {_parts(['conv_id', 'turn'], 'got')}, {SUMS.format(on='w.conv_id = c.conv_id and w.turn = c.turn and w.word = c.word')} select {REPORT}"""
@@ -73,6 +113,10 @@ QUERIES = {
     "o24_slips": (lambda s, d: align.worst_slips(_steps(s, d)), _slips("remote")),
     "o24_numpad_slips": (lambda s, d: align.worst_slips(_steps(s, d), pad="numpad"), _slips("numpad")),
     "o26_by_source": (lambda s, d: align.by_source(_steps(s, d, "source")), f"{STEPS}, {PER}, su as (select case when grouping(source) = 1 then 'ALL' else source end source, {SUMMED} from per group by grouping sets ((source), ())) select source, {COUNTED} from su"),
+    "o43_error_model": (lambda s, d: align.error_model(_steps(s, d)), MODEL),
+    "o04_typing_record": (_written_records, f"""{TYPED}, n as (select *, {CRC.format('id')} n from ty) select source, 3 "at", 'remote' pad, id target, typed keys, length(typed) presses from n where n % 7 <> 0 and n % 11 <> 0
+        union all select '3', null, id, typed, array_to_string(list_transform(range(0, length(typed)), lambda i: case when i = 0 then '0' else '195' end), ','), 1 from n where n % 77 = 0"""),
+    "o05_query_corpus": (_written_queries, "with q as (select regexp_replace(text, '[\\t\\n\\r]', ' ', 'g') query, turn from conversations where role = 'user' and turn % 3 <> 0) select query, case turn % 3 when 1 then 'en' else 'mixed' end \"language\", case turn % 3 when 1 then null else 'note' end note from q where not starts_with(query, '#') and trim(query) <> ''"),
     "o25_pace": (_pace, f"""with {PRESSES}, g as (select ms - lag(ms) over (partition by user_id order by ms, event_id) gap from presses), o as (select list(gap order by gap) l, count(*) n from g where gap is not null)
         select (l[(n - 1) // 2 + 1] + l[n // 2 + 1]) / 2.0::double median, l[n // 10 + 1] p10, l[9 * n // 10 + 1] p90, l[n] longest, n gaps from o where n > 0"""),
     "o30b_report": (lambda s, d: drill.report(_pool(s, d)), f"""{LEX}, pool as (select seq from lex where length(word) between 3 and 9 and {READABLE} order by score desc, word limit 12000), ks as (select unnest(string_split(seq, '')) key from pool), n as (select key, count(*) n from ks where key <> '' group by key),

@@ -23,10 +23,11 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def typing_record(spark: SparkSession, path: str) -> DataFrame:
-    """source, at, pad, target, keys, millis; rows with another number of fields are dropped."""
+    """source, at, pad, target, keys, millis; rows with another number of fields are dropped, and a number that
+    is none is null."""
     f = F.split("value", "\t", -1)
     rows = spark.read.text(path).where((F.size(f) == 6) & ~F.col("value").startswith("source\t"))
-    return rows.select(f[0].alias("source"), f[1].cast("int").alias("at"), f[2].alias("pad"), f[3].alias("target"), f[4].alias("keys"), F.transform(F.filter(F.split(f[5], ","), lambda x: x != ""), lambda x: x.cast("long")).alias("millis"))
+    return rows.select(f[0].alias("source"), f[1].try_cast("int").alias("at"), f[2].alias("pad"), f[3].alias("target"), f[4].alias("keys"), F.transform(F.filter(F.split(f[5], ","), lambda x: x != ""), lambda x: x.try_cast("long")).alias("millis"))
 
 
 def query_corpus(spark: SparkSession, path: str) -> DataFrame:
