@@ -4,7 +4,8 @@ Seeds of `least` words shared with a benchmark item are found by Karp-Rabin hash
 item the longest non-overlapping matches are marked, longest first, until none of `least` words is
 left. A document is contaminated when the marked words cover `share` of an item, in any order of
 passages. The benchmark is taken in blocks of a checked size, so it may be of any size. Null and
-empty texts, and items without `least` words, match nothing.
+empty texts, and items without `least` words, match nothing. item_id may be of any type that sorts; an item
+without one counts like others, and is named last among items of equal coverage.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ FOUND = "n_items long, best_item string, coverage double, contaminated boolean"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.6, block_bytes: int = 1 << 24) -> DataFrame:
-    """Per document: items reached, the best one (ties: least item_id), its coverage, the decision. Every row
+    """Per document: items reached, the best one (ties: least item_id, null last), its coverage, the decision. Every row
     gives a row, repeated ones and those without doc_id too, however many blocks the benchmark takes."""
     indexes = list(blocks(benchmark, least, block_bytes))
     rows = named(docs)
@@ -124,17 +125,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, share:
             for f in frames:
                 found = []
                 for t in f["text"]:
-                    got = sorted(((c, -i) for i, c in sent.value.covered(t)), reverse=True)
-                    found.append((sum(c >= share for c, _ in got), str(-got[0][1]) if got else None, got[0][0] if got else 0.0, bool(got) and got[0][0] >= share))
+                    got = sorted(((c, i) for i, c in sent.value.covered(t)), key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+                    best = None if not got or got[0][1] is None else str(got[0][1])
+                    found.append((sum(c >= share for c, _ in got), best, got[0][0] if got else 0.0, bool(got) and got[0][0] >= share))
                 yield pd.concat([f[keys], pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")], index=f.index)], axis=1)
 
         parts.append(rows.mapInPandas(run, schema))
     out = parts[0]
     if len(parts) > 1:
-        best = F.max_by("best_item", F.struct("coverage", -F.col("best_item").cast("long")))
+        typed = F.col("best_item").cast(benchmark.schema["item_id"].dataType)
+        best = F.min_by("best_item", F.struct(-F.col("coverage"), typed.isNull(), typed))
         every = reduce(DataFrame.unionByName, parts)
         out = every.groupBy(*keys).agg(F.sum("n_items").alias("n_items"), best.alias("best_item"), F.max("coverage").alias("coverage"), F.max("contaminated").alias("contaminated"))
-    out = renumbered(out.withColumn("best_item", F.col("best_item").cast("long")), docs)
+    out = renumbered(out.withColumn("best_item", F.col("best_item").cast(benchmark.schema["item_id"].dataType)), docs)
     return out.select("doc_id", "n_items", "best_item", "coverage", "contaminated")
 
 

@@ -158,18 +158,26 @@ def listed(spans) -> list[str]:
     return [f"{k}:{a}:{b}" for a, _, b, k in sorted((a, ORDER[k], b, k) for k, a, b in spans)]
 
 
+def mapped(way: tuple | None, a: int, b: int) -> tuple[int, int]:
+    """A span of a layer in the text; way: (map to the layer around it, the way from there), of any length."""
+    while way:
+        step, way = way
+        a, b = step(a, b)
+    return a, b
+
+
 def scan(text: str):
     base = list(found(text))
     spans, seen = set(base), set()
-    todo = [(new, back) for new, back in layers(text)]
+    todo = [(new, (back, None)) for new, back in layers(text)]
     while todo:
-        layer, back = todo.pop()
-        key = (layer, back(0, len(layer)))
+        layer, way = todo.pop()
+        key = (layer, mapped(way, 0, len(layer)))
         if key in seen:
             continue
         seen.add(key)
-        spans.update((k, *back(a, b)) for k, a, b in found(layer))
-        todo += [(new, lambda a, b, f=back, g=inner: f(*g(a, b))) for new, inner in layers(layer) if new != layer]
+        spans.update((k, *mapped(way, a, b)) for k, a, b in found(layer))
+        todo += [(new, (inner, way)) for new, inner in layers(layer) if new != layer]
     n = [sum(k == kind for k, _, _ in base) for kind in ORDER]
     return *n, hashlib.sha256(",".join(listed(base)).encode()).hexdigest(), ",".join(listed(spans))
 
