@@ -33,6 +33,7 @@ from .common import MIX, named, packed, renumbered, written
 STEP = 0x100000001B3 | 0x5DEECE66 << 33
 CHUNK = 1 << 20  # bytes of text hashed at a time, more only for one longer text
 FLUSH = 1 << 20  # shingles held before an exchange
+LONG = 64  # bytes; beyond, words are hashed one by one, as sums modulo 2^64 can be made to meet for long words
 
 _bytes = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.uint64)
 _bytes[65:91] = _bytes[97:123]  # A-Z as a-z
@@ -60,6 +61,8 @@ def _chunk_sets(encoded: list[bytes], k: int) -> list[np.ndarray]:
     start, end = edge[::2], edge[1::2]
     total = np.concatenate([[np.uint64(0)], np.cumsum(_bytes[data] * up[: len(data)])])
     a = _mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for w in np.flatnonzero(end - start > LONG):
+        a[w] = xxhash.xxh3_64_intdigest(data[start[w] : end[w]].tobytes().lower())
     limits = np.searchsorted(start, np.cumsum([0] + [len(e) + 1 for e in encoded]))
 
     def joined(words: np.ndarray, size: int) -> np.ndarray:
