@@ -82,7 +82,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, passes: in
     marked = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = marked.where(~held_out()).withColumn("o", F.xxhash64("doc_id"))
     chosen = known.orderBy("o", "doc_id").limit(max_rows)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions("o", "doc_id", "text")
+    # One text for each chosen doc_id, the least, so that the training task is bounded by max_rows whatever repeats.
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "o", "quality").agg(F.min("text").alias("text"))
+    rows = rows.repartition(1).sortWithinPartitions("o", "doc_id")
 
     def train(frames):
         features, model, some = Features(), Ftrl(), False
