@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from string import ascii_lowercase, digits
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ def alphabet_of(language: str) -> str:
 def normalise(c: Column, alphabet: str = EN) -> Column:
     c = F.translate(c, " ‘’“”–—", " ''\"\"--")
     c = F.lower(F.replace(c, F.lit("…"), F.lit("...")))
-    c = F.trim(F.regexp_replace(F.regexp_replace(c, f"[^{alphabet}]", " "), " +", " "))
+    # Letters one by one: a class of ranges is tested range by range, which is far slower, and all text runs through this one.
+    each = alphabet.replace("a-z", ascii_lowercase).replace("0-9", digits)
+    c = F.trim(F.regexp_replace(F.regexp_replace(c, f"[^{each}]+", " "), " {2,}", " "))
     return F.regexp_replace(c, "^(?:- *)+", "")
 
 
@@ -52,12 +55,22 @@ def sequence_in_any(c: Column) -> Column:
     return F.when(low.rlike(f"^[{ALL_LETTERS}]*$"), F.translate(low, ALL_LETTERS, ALL_DIGITS))
 
 
+def typeable(c: Column) -> Column:
+    """Whether sequence_of has keys for a word."""
+    return F.lower(c).rlike(f"^[{LETTERS}]*$")
+
+
 def sequence_of(c: Column) -> Column:
     """Keys of a word; null where a letter is on no key."""
     low = F.lower(c)
     return F.when(low.rlike(f"^[{LETTERS}]*$"), F.translate(low, LETTERS, DIGITS))
 
 
+def pressed(c: Column) -> Column:
+    """Keys of words that are typeable and in lower case, 0 between them."""
+    return F.translate(c, LETTERS + " ", DIGITS + "0")
+
+
 def phrase_sequence(c: Column) -> Column:
     low = F.lower(c)
     return F.when(low.rlike(f"^[{LETTERS} ]*$"), F.translate(low, LETTERS + " ", DIGITS + "0"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from keyloom.functions import keypad
 from keyloom.sources.kept import kept
@@ -26,14 +29,25 @@ def attempts(toks: DataFrame, n: int = FRAGMENT) -> DataFrame:
 def slipped(rows: DataFrame) -> DataFrame:
     """Attempts as they might be pressed. By its place one key in eleven is missed, one in thirteen is pressed as the next
     digit, and one in seventeen is pressed twice."""
-    salt = F.col("doc_id") + F.col("pos") + F.col("part")
-    hit = lambda i, n: F.pmod(i + salt, F.lit(n)) == 0
-
-    def pressed(key, i):
-        return F.when(hit(i, 11), F.lit("")).when(hit(i, 13), F.translate(key, "0123456789", "1234567890")).when(hit(i, 17), F.concat(key, key)).otherwise(key)
-
-    keys = F.filter(F.split("keys", ""), lambda c: c != "")
-    return rows.withColumn("keys", F.array_join(F.transform(keys, pressed), ""))
+    salt = F.coalesce(F.pmod(F.col("doc_id") + F.col("pos") + F.col("part"), F.lit(11 * 13 * 17)), F.lit(-1))
+    return rows.withColumn("keys", slips("keys", salt))
+
+
+@F.pandas_udf(StringType())
+def slips(keys: pd.Series, salt: pd.Series) -> pd.Series:
+    """The keys of a batch one after another as an array of code points; a salt below 0 leaves them as they are."""
+    size = keys.str.len().to_numpy(np.int64)
+    each = np.frombuffer("".join(keys).encode("utf-32-le"), "<u4").astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(len(each)) - np.repeat(starts[:-1], size)
+    salt = np.repeat(salt.to_numpy(np.int64), size)
+    missed, slid, twice = ((salt >= 0) & ((at + salt) % n == 0) for n in (11, 13, 17))
+    zero = ord("0")
+    each = np.where(slid & (each >= zero) & (each <= zero + 9), zero + (each - zero + 1) % 10, each)
+    times = np.where(missed, 0, np.where(twice & ~slid, 2, 1))
+    text = np.repeat(each, times).astype("<u4").tobytes().decode("utf-32-le")
+    ends = np.concatenate([[0], np.cumsum(times)])[starts].tolist()
+    return pd.Series([text[a:b] for a, b in zip(ends, ends[1:])])
 
 
 def looked_up(rows: DataFrame, lexs: DataFrame, **words: Column) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ WORST = 6  # most common slips that are reported
 
 
 CELLS = 1 << 23  # moves held at a time, more only for one longer pair
+END = 4  # of a path
+BINS = 1 << 20  # counted in an array up to so many, else by sorting
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -27,32 +32,74 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def paths(wanted: list[str], typed: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Unit-cost edit paths of many pairs at once. Every cell records the move that reaches it cheapest, the
-    diagonal before a deletion before an insertion; cells depend on none further on, so padding is harmless."""
+@dataclass
+class Paths:
+    """Unit-cost edit paths of many pairs, one step after the other: the pair of each step, its number, its move, and the
+    places that it starts from."""
+
+    a: np.ndarray
+    b: np.ndarray
+    size: np.ndarray  # of each wanted text
+    pair: np.ndarray
+    step: np.ndarray
+    op: np.ndarray
+    i: np.ndarray
+    j: np.ndarray
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of the wanted and the typed key of each step; -1 for none."""
+
+        def at(codes, place, none):
+            out = np.full(len(place), -1, np.int64)
+            out[~none] = codes[self.pair[~none], place[~none]]
+            return out
+
+        return at(self.a, self.i, self.op == INSERTION), at(self.b, self.j, self.op == DELETION)
+
+
+def traced(wanted: list[str], typed: list[str]) -> Paths:
+    """Every cell records the move that reaches it cheapest, the diagonal before a deletion before an insertion; cells
+    depend on none further on, so padding is harmless. Pairs lie side by side in memory, so each cell is one operation on
+    all of them, on the way back too."""
     (a, la), (b, lb) = codes(wanted), codes(typed)
-    pairs, n = np.arange(len(wanted)), b.shape[1]
-    places = np.arange(n + 1)
-    moves = np.full((len(pairs), a.shape[1] + 1, n + 1), INSERTION, np.uint8)
-    moves[:, 1:, 0] = DELETION
-    cost = np.broadcast_to(places, (len(pairs), n + 1))
-    for i in range(1, a.shape[1] + 1):
-        same = b == a[:, i - 1 : i]
-        diagonal, down = cost[:, :-1] + ~same, cost[:, 1:] + 1
-        # Insertions run to the right: the least of what is reached at k, and j - k more, over all k <= j.
-        reach = np.concatenate([np.full((len(pairs), 1), i), np.minimum(diagonal, down)], axis=1) - places
-        cost = np.minimum.accumulate(reach, axis=1) + places
-        moves[:, i, 1:] = np.where(cost[:, 1:] == diagonal, np.where(same, OK, SUBSTITUTION), np.where(cost[:, 1:] == down, DELETION, INSERTION))
+    n, m, k = len(wanted), a.shape[1], b.shape[1]
+    size = np.uint8 if m + k < 255 else np.int32
+    x, y = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    moves = np.full((m + 1, k + 1, n), INSERTION, np.uint8)
+    moves[1:, 0] = DELETION
+    moves[0, 0] = END
+    cost = np.repeat(np.arange(k + 1, dtype=size)[:, None], n, axis=1)
+    for i in range(1, m + 1):
+        differs = y != x[i - 1]
+        diagonal, down = cost[:-1] + differs.astype(size), cost[1:] + size(1)
+        cost = np.empty_like(cost)
+        cost[0] = i
+        np.minimum(diagonal, down, out=cost[1:])
+        for j in range(1, k + 1):
+            np.minimum(cost[j], cost[j - 1] + size(1), out=cost[j])
+        moves[i, 1:] = np.where(cost[1:] == diagonal, differs.view(np.uint8), np.where(cost[1:] == down, np.uint8(DELETION), np.uint8(INSERTION)))  # OK is 0, SUBSTITUTION 1
+    back, flat, own = [], moves.reshape(-1), np.arange(n)
+    at = (la * (k + 1) + lb) * n + own
+    left = np.array([(k + 2) * n, (k + 2) * n, (k + 1) * n, n, 0])  # how far back a move leads
+    while True:
+        move = flat[at]
+        if (move == END).all():
+            break
+        back.append(move)
+        at = at - left[move]
+    ops = np.array(back[::-1], np.uint8).reshape(-1, n).T
+    real = ops != END
+    down, right = real & (ops != INSERTION), real & (ops != DELETION)
+    before = lambda c: (np.cumsum(c, axis=1) - c)[real]
+    return Paths(a, b, la, np.repeat(own, real.sum(axis=1)), before(real), ops[real], before(down), before(right))
+
+
+def paths(wanted: list[str], typed: list[str]) -> list[list[tuple[str, int, int]]]:
     out: list[list] = [[] for _ in wanted]
-    i, j = la.copy(), lb.copy()
-    while len(pairs):
-        pairs = pairs[(i[pairs] > 0) | (j[pairs] > 0)]
-        move = moves[pairs, i[pairs], j[pairs]]
-        i[pairs] -= move != INSERTION
-        j[pairs] -= move != DELETION
-        for p, m, x, y in zip(pairs.tolist(), move.tolist(), i[pairs].tolist(), j[pairs].tolist()):
-            out[p].append((NAMES[m], x, y))
-    return [p[::-1] for p in out]
+    t = traced(wanted, typed)
+    for p, m, i, j in zip(t.pair.tolist(), t.op.tolist(), t.i.tolist(), t.j.tolist()):
+        out[p].append((NAMES[m], i, j))
+    return out
 
 
 def align(wanted: str, typed: str) -> list[tuple[str, int, int]]:
@@ -61,7 +108,7 @@ def align(wanted: str, typed: str) -> list[tuple[str, int, int]]:
 
 def together(wanted: list[str], typed: list[str]):
     """Places of pairs to align at once: pairs of like length, of bounded size."""
-    order = sorted(range(len(wanted)), key=lambda k: (len(wanted[k]), len(typed[k])))
+    order = np.lexsort(([len(t) for t in typed], [len(w) for w in wanted])).tolist()
     held, a, b = [], 0, 0
     for k in order:
         a, b = max(a, len(wanted[k]) + 1), max(b, len(typed[k]) + 1)
@@ -73,35 +120,103 @@ def together(wanted: list[str], typed: list[str]):
         yield held
 
 
+def groups(batches):
+    """(batch, places, paths) of Arrow batches with the columns wanted and typed."""
+    for f in batches:
+        wanted, typed = f.column("wanted").to_pylist(), f.column("typed").to_pylist()
+        for some in together(wanted, typed):
+            yield f, np.array(some), traced([wanted[k] for k in some], [typed[k] for k in some])
+
+
+def letters(codes: np.ndarray) -> pa.Array:
+    """Code points as strings; null for -1."""
+    known, at = np.unique(codes, return_inverse=True)
+    return pa.array([None if c < 0 else chr(c) for c in known.tolist()], pa.string()).take(pa.array(at))
+
+
 STEPS = "step int, op string, i int, j int, wanted_key string, typed_key string"
 
 
-def aligned(rows: DataFrame, *with_: str) -> DataFrame:
-    """rows(id, wanted, typed): one row per step. with_: string columns that come along."""
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, {''.join(f'{c} string, ' for c in with_)}{STEPS}"
-    names = ["id", *with_, *[c.split()[0] for c in STEPS.split(", ")]]
+def _types(rows: DataFrame, *columns: str) -> str:
+    return "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in columns)
 
-    def run(frames):
-        for f in frames:
-            ids, wanted, typed = list(zip(*[f[c].tolist() for c in ("id", *with_)])), f["wanted"].tolist(), f["typed"].tolist()
-            for some in together(wanted, typed):
-                out = []
-                for k, path in zip(some, paths([wanted[k] for k in some], [typed[k] for k in some])):
-                    w, t = wanted[k], typed[k]
-                    out += [(*ids[k], n, op, i, j, w[i] if op != "insertion" else None, t[j] if op != "deletion" else None) for n, (op, i, j) in enumerate(path)]
-                yield pd.DataFrame(out, columns=names)
 
-    return rows.select("id", *with_, "wanted", "typed").mapInPandas(run, schema)
+def aligned(rows: DataFrame, *with_: str) -> DataFrame:
+    """rows(id, wanted, typed): one row per step. with_: columns that come along."""
+    kept = ["id", *with_]
+    names = [*kept, *[c.split()[0] for c in STEPS.split(", ")]]
+
+    def run(batches):
+        for f, some, t in groups(batches):
+            row, (w, k) = pa.array(some[t.pair]), t.keys()
+            ints = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*[f.column(c).take(row) for c in kept], ints(t.step), pa.array(NAMES).take(pa.array(t.op)), ints(t.i), ints(t.j), letters(w), letters(k)], names)
+
+    return rows.select(*kept, "wanted", "typed").mapInArrow(run, _types(rows, *kept) + STEPS)
+
+
+def phrases(rows: DataFrame, *with_: str) -> DataFrame:
+    """rows(wanted, typed), each phrase once: its moves of each kind. No steps leave the task that aligns."""
+
+    def run(batches):
+        for f, some, t in groups(batches):
+            moves = np.bincount(t.pair * len(NAMES) + t.op, minlength=len(some) * len(NAMES)).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([*[f.column(c).take(pa.array(some)) for c in with_], *[pa.array(c) for c in moves.T.copy()]], [*with_, *NAMES])
+
+    return rows.select(*with_, "wanted", "typed").mapInArrow(run, _types(rows, *with_) + ", ".join(f"{c} long" for c in NAMES))
+
+
+def tally(rows: DataFrame) -> DataFrame:
+    """rows(wanted, typed): how often (n) each key was pressed as each, or as none, or pressed for none, and whether the wanted
+    key is that before (again) or after it (ahead) in the target; counted in the task that aligns. As many rows a task and
+    batch as there are pairs of keys."""
+
+    def run(batches):
+        for _, _, t in groups(batches):
+            w, k = t.keys()
+            same = np.zeros((t.a.shape[0], t.a.shape[1] + 2), bool)  # as the key before
+            same[:, 1:-2] = t.a[:, 1:] == t.a[:, :-1]
+            again = (w >= 0) & same[t.pair, t.i]
+            ahead = (w >= 0) & (t.i + 1 < t.size[t.pair]) & same[t.pair, t.i + 1]
+            known = np.unique(np.concatenate([w, k]))
+            at = ((np.searchsorted(known, w) * len(known) + np.searchsorted(known, k)) * 2 + again) * 2 + ahead
+            if 4 * len(known) ** 2 <= BINS:
+                n = np.bincount(at)
+                at = np.flatnonzero(n)
+                n = n[at]
+            else:
+                at, n = np.unique(at, return_counts=True)
+            pair = at >> 2
+            yield pa.RecordBatch.from_arrays([letters(known[pair // len(known)]), letters(known[pair % len(known)]), pa.array(at >> 1 & 1).cast(pa.bool_()), pa.array(at & 1).cast(pa.bool_()), pa.array(n.astype(np.int64))], ["wanted_key", "typed_key", "again", "ahead", "n"])
+
+    t = rows.select("wanted", "typed").mapInArrow(run, "wanted_key string, typed_key string, again boolean, ahead boolean, n long")
+    op = F.when(F.col("wanted_key").isNull(), NAMES[INSERTION]).when(F.col("typed_key").isNull(), NAMES[DELETION]).when(F.col("wanted_key") == F.col("typed_key"), NAMES[OK]).otherwise(NAMES[SUBSTITUTION])
+    return t.groupBy("wanted_key", "typed_key", "again", "ahead").agg(F.sum("n").alias("n")).withColumn("op", op)
+
+
+def tallied(steps: DataFrame) -> DataFrame:
+    """Steps as tally() counts them; a tally stays as it is."""
+    if "n" in steps.columns:
+        return steps
+    w = Window.partitionBy("id", F.col("wanted_key").isNull()).orderBy("i")
+    near = lambda c: F.coalesce(F.col("wanted_key") == c, F.lit(False))
+    t = steps.select("op", "wanted_key", "typed_key", near(F.lag("wanted_key").over(w)).alias("again"), near(F.lead("wanted_key").over(w)).alias("ahead"))
+    return t.groupBy(*t.columns).agg(F.count("*").alias("n"))
 
 
 def share(part, whole):
     return F.coalesce(F.round(100.0 * part / F.nullif(whole, F.lit(0)), 9), F.lit(0.0))
 
 
+def many(some):
+    """How many steps of a tally; 0 where there are none."""
+    return F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0))
+
+
 def counted(steps: DataFrame, *by: str) -> DataFrame:
-    """Error counts by each column of by, and of all together in one aggregate over grouping sets: totals, their
-    percentages of the wanted keys, and phrases without errors. pooled is 0 where a row belongs to one group of by."""
-    per = steps.groupBy(*by, "id").agg(*[F.count_if(F.col("op") == op).alias(op) for op in NAMES])
+    """Error counts of steps, or of phrases(), by each column of by, and of all together in one aggregate over grouping sets:
+    totals, their percentages of the wanted keys, and phrases without errors. pooled is 0 where a row belongs to one group of by."""
+    per = steps if "ok" in steps.columns else steps.groupBy(*by, "id").agg(*[F.count_if(F.col("op") == op).alias(op) for op in NAMES])
     parts = [F.sum(op).alias(op) for op in NAMES] + [F.count("*").alias("phrases"), F.count_if(F.col("substitution") + F.col("deletion") + F.col("insertion") == 0).alias("perfect")]
     out = per.groupingSets([[F.col(c) for c in by], []], *[F.col(c) for c in by]).agg(F.grouping_id().alias("pooled"), *parts) if by else per.agg(*parts)
     out = out.withColumn("wanted", F.col("ok") + F.col("substitution") + F.col("deletion"))
@@ -120,25 +235,23 @@ def by_source(steps: DataFrame) -> DataFrame:
 def missed(steps: DataFrame) -> DataFrame:
     """Deletions within a repeat (a neighbour in the target is the same key) and others, with the places
     where each could happen: adjacent equal keys, and all other wanted keys."""
-    w = Window.partitionBy("id").orderBy("i")
-    t = steps.where("wanted_key is not null").select("op", "wanted_key", F.lag("wanted_key").over(w).alias("before"), F.lead("wanted_key").over(w).alias("after"))
-    again = F.coalesce(F.col("wanted_key") == F.col("before"), F.lit(False))
-    twin = again | F.coalesce(F.col("wanted_key") == F.col("after"), F.lit(False))
-    gone = F.col("op") == "deletion"
-    out = t.agg(F.count_if(gone & twin).alias("in_repeat"), F.count_if(gone & ~twin).alias("isolated"), F.count_if(again).alias("repeats"), F.count("*").alias("wanted"))
+    t = tallied(steps).where("wanted_key is not null")
+    gone, twin = F.col("op") == "deletion", F.col("again") | F.col("ahead")
+    out = t.agg(many(gone & twin).alias("in_repeat"), many(gone & ~twin).alias("isolated"), many(F.col("again")).alias("repeats"), many(F.lit(True)).alias("wanted"))
     out = out.withColumn("lone", F.col("wanted") - F.col("repeats"))
     return out.select("in_repeat", "isolated", "repeats", "lone", "wanted", share(F.col("in_repeat"), F.col("repeats")).alias("repeat_share"), share(F.col("isolated"), F.col("lone")).alias("lone_share"))
 
 
 def confusion(steps: DataFrame) -> DataFrame:
     """How often each wanted key was pressed as another."""
-    return steps.where("op = 'substitution'").groupBy("wanted_key", "typed_key").agg(F.count("*").alias("n"))
+    return tallied(steps).where("op = 'substitution'").groupBy("wanted_key", "typed_key").agg(F.sum("n").alias("n"))
 
 
 def confused(steps: DataFrame) -> DataFrame:
     """Per wanted key: presses, misses and swaps in percent, and its commonest confusion (of equals the least)."""
-    per = steps.where("wanted_key is not null").groupBy("wanted_key").agg(F.count("*").alias("wanted"), F.count_if(F.col("op") == "deletion").alias("missed"), F.count_if(F.col("op") == "substitution").alias("swapped"))
-    worst = confusion(steps).groupBy("wanted_key").agg(F.max_by("typed_key", F.struct(F.col("n"), -F.ascii("typed_key"))).alias("worst"))
+    t = tallied(steps)
+    per = t.where("wanted_key is not null").groupBy("wanted_key").agg(many(F.lit(True)).alias("wanted"), many(F.col("op") == "deletion").alias("missed"), many(F.col("op") == "substitution").alias("swapped"))
+    worst = confusion(t).groupBy("wanted_key").agg(F.max_by("typed_key", F.struct(F.col("n"), -F.ascii("typed_key"))).alias("worst"))
     return per.join(worst, "wanted_key", "left").select("wanted_key", "wanted", share(F.col("missed"), F.col("wanted")).alias("miss_share"), share(F.col("swapped"), F.col("wanted")).alias("swap_share"), "worst")
 
 
@@ -190,9 +303,10 @@ def error_model(steps: DataFrame, pad: str = "remote") -> DataFrame:
     near = F.greatest(F.abs(F.floor(a / 10) - F.floor(b / 10)), F.abs(a % 10 - b % 10)) == 1
     is_ = lambda op: F.col("op") == op
     spaces = F.col("wanted_key") == "0"
+    steps = tallied(steps)
     n = steps.agg(
-        F.count_if(is_("ok")).alias("ok"), F.count_if(is_("substitution") & near).alias("near"), F.count_if(is_("substitution") & ~near).alias("far"),
-        F.count_if(is_("insertion")).alias("extra"), F.count_if(is_("deletion") & spaces).alias("no_space"), F.count_if(spaces).alias("spaces"),
+        many(is_("ok")).alias("ok"), many(is_("substitution") & near).alias("near"), many(is_("substitution") & ~near).alias("far"),
+        many(is_("insertion")).alias("extra"), many(is_("deletion") & spaces).alias("no_space"), many(spaces).alias("spaces"),
     )
     t = n.crossJoin(F.broadcast(missed(steps)))  # one row each
     rate = lambda part, whole: F.col(part) / F.nullif(F.col(whole), F.lit(0))

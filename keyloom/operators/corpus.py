@@ -27,6 +27,21 @@ def tokens(docs: DataFrame) -> DataFrame:
     return t.withColumn("seq", keypad.sequence_of(F.col("word")))
 
 
+def cut(words, n: int):
+    """An array in pieces of n, the last one shorter: a row each, with its number as part."""
+    pieces = F.transform(F.sequence(F.lit(0), ((F.size(words) - 1) / n).cast("int")), lambda k: F.slice(words, k * n + 1, F.lit(n)))
+    return F.posexplode(F.when(F.size(words) > 0, pieces)).alias("part", "words")
+
+
+def fragments(docs: DataFrame, n: int = 4) -> DataFrame:
+    """(doc_id, lang, pos, part, words): the typeable words of each line in groups of n. A line is one row, so nothing is
+    shuffled."""
+    t = normalised(docs)
+    typeable = F.filter(F.split("line", " "), lambda w: (w != "") & keypad.typeable(w))
+    t = t.select("doc_id", "lang", "pos", typeable.alias("ws"))
+    return t.select("doc_id", "lang", "pos", cut(F.col("ws"), n))
+
+
 def titles(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").alias("doc_id"), F.lit("en").alias("lang"), "text")
 

@@ -74,9 +74,9 @@ def _words(s, d):
 
 def _typed(s, d):
     """Typing records, one of every O-14 fragment, pressed as accuracy.slipped has it. The id names its place."""
-    g = _grouped(s, d).join(_docs(s, d).select("doc_id", F.coalesce("lang", F.lit("")).alias("source")), "doc_id").repartition(s.sparkContext.defaultParallelism * 4, "doc_id", "pos", "part")
-    rows = g.select("doc_id", "pos", "part", "source", F.array_join(F.transform("w", lambda x: x["seq"]), "0").alias("wanted")).withColumn("keys", F.col("wanted"))
-    return accuracy.slipped(rows).select(F.concat_ws("/", "doc_id", "pos", "part").alias("id"), "source", "wanted", F.col("keys").alias("typed"))
+    t = corpus.fragments(_docs(s, d)).withColumn("source", F.coalesce("lang", F.lit("")))
+    rows = t.select("doc_id", "pos", "part", "source", keypad.pressed(F.array_join("words", " ")).alias("keys")).withColumn("wanted", F.col("keys"))
+    return accuracy.slipped(rows).select(F.concat("doc_id", F.lit("/"), "pos", F.lit("/"), "part").alias("id"), "source", "wanted", F.col("keys").alias("typed"))
 
 
 def _budget(s, d, budget=BUDGET, block=1000):
@@ -92,17 +92,8 @@ def _budget(s, d, budget=BUDGET, block=1000):
     return t.where(F.col("used") < budget).select("doc_id", "pos", "lang", "line", "used")
 
 
-def _grouped(s, d, n=4):
-    """The typeable words of each line in groups of n: (doc_id, pos, part, w)."""
-    t = corpus.tokens(_docs(s, d)).where("seq is not null")
-    from pyspark.sql import Window
-
-    t = t.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "pos").orderBy("i")) - 1).withColumn("part", F.expr(f"cast(k div {n} as int)"))
-    return t.groupBy("doc_id", "pos", "part").agg(F.array_sort(F.collect_list(F.struct("k", "word", "seq"))).alias("w"))
-
-
 def _fragments(s, d, n=4):
-    return _grouped(s, d, n).select("doc_id", "pos", "part", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("fragment"))
+    return corpus.fragments(_docs(s, d), n).select("doc_id", "pos", "part", F.array_join("words", " ").alias("fragment"))
 
 
 def _spoken(s, d):

@@ -54,8 +54,12 @@ def _pace(s, d):
     return align.percentiles(gaps)
 
 
-def _steps(s, d, *with_):
-    return align.aligned(_typed(s, d), *with_)
+def _steps(s, d):
+    return align.aligned(_typed(s, d))
+
+
+def _tally(s, d):
+    return align.tally(_typed(s, d))
 
 
 PLACE = "map {" + ", ".join(f"'{k}': {r * 10 + c}" for k, (r, c) in align.places("remote").items()) + "}"
@@ -103,17 +107,17 @@ got as (select s.conv_id, s.turn, m.word, m.rank from merged m join (select dist
 
 QUERIES = {
     "o41_alignment": (_steps, f"{STEPS} select id, step, op, i, j, wanted_key, typed_key from steps"),
-    "o21_error_counts": (lambda s, d: align.error_counts(_steps(s, d)), f"{STEPS}, {PER}, su as (select {SUMMED} from per) select {COUNTED} from su"),
-    "o22_repeat_misses": (lambda s, d: align.missed(_steps(s, d)), f"""{STEPS}, nb as (select op, coalesce(wanted_key = lag(wanted_key) over w, false) again, coalesce(wanted_key = lead(wanted_key) over w, false) ahead from steps where wanted_key is not null window w as (partition by id order by i)),
+    "o21_error_counts": (lambda s, d: align.error_counts(align.phrases(_typed(s, d))), f"{STEPS}, {PER}, su as (select {SUMMED} from per) select {COUNTED} from su"),
+    "o22_repeat_misses": (lambda s, d: align.missed(_tally(s, d)), f"""{STEPS}, nb as (select op, coalesce(wanted_key = lag(wanted_key) over w, false) again, coalesce(wanted_key = lead(wanted_key) over w, false) ahead from steps where wanted_key is not null window w as (partition by id order by i)),
         su as (select count(*) filter (where op = 'deletion' and (again or ahead)) in_repeat, count(*) filter (where op = 'deletion' and not (again or ahead)) isolated, count(*) filter (where again) repeats, count(*) wanted from nb)
         select in_repeat, isolated, repeats, wanted - repeats lone, wanted, {_share('in_repeat', 'repeats')} repeat_share, {_share('isolated', '(wanted - repeats)')} lone_share from su"""),
-    "o23_confusion": (lambda s, d: align.confusion(_steps(s, d)), f"{STEPS}, {CONFUSION} select wanted_key, typed_key, n from cf"),
-    "o23_confused": (lambda s, d: align.confused(_steps(s, d)), f"""{STEPS}, {CONFUSION}, su as (select wanted_key, count(*) wanted, count(*) filter (where op = 'deletion') missed, count(*) filter (where op = 'substitution') swapped from steps where wanted_key is not null group by all),
+    "o23_confusion": (lambda s, d: align.confusion(_tally(s, d)), f"{STEPS}, {CONFUSION} select wanted_key, typed_key, n from cf"),
+    "o23_confused": (lambda s, d: align.confused(_tally(s, d)), f"""{STEPS}, {CONFUSION}, su as (select wanted_key, count(*) wanted, count(*) filter (where op = 'deletion') missed, count(*) filter (where op = 'substitution') swapped from steps where wanted_key is not null group by all),
         wo as (select wanted_key, first(typed_key order by n desc, typed_key) worst from cf group by wanted_key) select su.wanted_key, wanted, {_share('missed', 'wanted')} miss_share, {_share('swapped', 'wanted')} swap_share, worst from su left join wo on wo.wanted_key = su.wanted_key"""),
-    "o24_slips": (lambda s, d: align.worst_slips(_steps(s, d)), _slips("remote")),
-    "o24_numpad_slips": (lambda s, d: align.worst_slips(_steps(s, d), pad="numpad"), _slips("numpad")),
-    "o26_by_source": (lambda s, d: align.by_source(_steps(s, d, "source")), f"{STEPS}, {PER}, su as (select case when grouping(source) = 1 then 'ALL' else source end source, {SUMMED} from per group by grouping sets ((source), ())) select source, {COUNTED} from su"),
-    "o43_error_model": (lambda s, d: align.error_model(_steps(s, d)), MODEL),
+    "o24_slips": (lambda s, d: align.worst_slips(_tally(s, d)), _slips("remote")),
+    "o24_numpad_slips": (lambda s, d: align.worst_slips(_tally(s, d), pad="numpad"), _slips("numpad")),
+    "o26_by_source": (lambda s, d: align.by_source(align.phrases(_typed(s, d), "source")), f"{STEPS}, {PER}, su as (select case when grouping(source) = 1 then 'ALL' else source end source, {SUMMED} from per group by grouping sets ((source), ())) select source, {COUNTED} from su"),
+    "o43_error_model": (lambda s, d: align.error_model(_tally(s, d)), MODEL),
     "o04_typing_record": (_written_records, f"""{TYPED}, n as (select *, {CRC.format('id')} n from ty) select source, 3 "at", 'remote' pad, id target, typed keys, length(typed) presses from n where n % 7 <> 0 and n % 11 <> 0
         union all select '3', null, id, typed, array_to_string(list_transform(range(0, length(typed)), lambda i: case when i = 0 then '0' else '195' end), ','), 1 from n where n % 77 = 0"""),
     "o05_query_corpus": (_written_queries, "with q as (select regexp_replace(text, '[\\t\\n\\r]', ' ', 'g') query, turn from conversations where role = 'user' and turn % 3 <> 0) select query, case turn % 3 when 1 then 'en' else 'mixed' end \"language\", case turn % 3 when 1 then null else 'note' end note from q where not starts_with(query, '#') and trim(query) <> ''"),
