@@ -49,6 +49,11 @@ def normalise_in(c: Column, language: Column) -> Column:
     return out.otherwise(normalise(c))
 
 
+def typeable_in_any(c: Column) -> Column:
+    """Whether sequence_in_any has keys for a word."""
+    return F.lower(c).rlike(f"^[{ALL_LETTERS}]*$")
+
+
 def sequence_in_any(c: Column) -> Column:
     """Keys of a word of any of the languages; null where a letter belongs to none."""
     low = F.lower(c)
@@ -68,7 +73,7 @@ def sequence_of(c: Column) -> Column:
 
 def pressed(c: Column) -> Column:
     """Keys of words that are typeable and in lower case, 0 between them."""
-    return F.translate(c, LETTERS + " ", DIGITS + "0")
+    return F.translate(c, ALL_LETTERS + " ", ALL_DIGITS + "0")
 
 
 def phrase_sequence(c: Column) -> Column:

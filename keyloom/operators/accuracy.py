@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -11,19 +15,22 @@ from pyspark.sql.types import StringType
 from keyloom.functions import keypad
 from keyloom.sources.kept import kept
 
-from .languages import best, entries, sources, trusted
+from .corpus import cut
+from .languages import ACTIVE, FREQUENCY, OTHER, log_probability
 
 FRAGMENT, EXAMPLES = 4, 4
 SHARES = (0.1, 0.2, 0.35, 0.5, 0.65, 0.8)  # fixed values: how far English is trusted in the sweep
 KINDS = ("not in the dictionary", "split differently", "same keys", "different keys")
 ID = ["doc_id", "pos", "part"]
+MOST = 1 << 20  # sequences of a language that a task remembers
 
 
-def attempts(toks: DataFrame, n: int = FRAGMENT) -> DataFrame:
-    """(ID, lang, wanted, keys): the typeable words of each line in fragments of n, and their keys with 0 between words."""
-    t = toks.where("seq is not null").withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "pos").orderBy("i")) - 1)
-    t = t.withColumn("part", F.expr(f"cast(k div {n} as int)")).groupBy(*ID, "lang").agg(F.array_sort(F.collect_list(F.struct("k", "word", "seq"))).alias("w"))
-    return t.select(*ID, "lang", F.transform("w", lambda x: x["word"]).alias("wanted"), F.array_join(F.transform("w", lambda x: x["seq"]), "0").alias("keys"))
+def attempts(rows: DataFrame, n: int = FRAGMENT) -> DataFrame:
+    """worded lines to (ID, lang, wanted, keys): the typeable words of each line in fragments of n, and their keys with 0 between
+    words. A line is one row, so nothing is shuffled."""
+    t = rows.select("doc_id", "pos", "lang", F.filter("words", keypad.typeable_in_any).alias("ws"))
+    t = t.select("doc_id", "pos", "lang", cut(F.col("ws"), n)).withColumnRenamed("words", "wanted")
+    return t.select(*ID, "lang", "wanted", keypad.pressed(F.array_join("wanted", " ")).alias("keys"))
 
 
 def slipped(rows: DataFrame) -> DataFrame:
@@ -50,28 +57,54 @@ def slips(keys: pd.Series, salt: pd.Series) -> pd.Series:
     return pd.Series([text[a:b] for a, b in zip(ends, ends[1:])])
 
 
-def looked_up(rows: DataFrame, lexs: DataFrame, **words: Column) -> DataFrame:
-    """rows(ID, lang, wanted, keys) with, for each group of keys between zeros, what the columns words read from `found`
-    (the sources that spell it), as an array `groups`; and `known`: which wanted words some source holds."""
-    seqs = F.filter(F.split("keys", "0"), lambda g: g != "")
-    ask = F.concat(
-        F.transform(seqs, lambda s, i: F.struct(F.lit(True).alias("typed"), i.alias("at"), s.alias("seq"), F.lit(None).cast("string").alias("want"))),
-        F.transform("wanted", lambda w, i: F.struct(F.lit(False).alias("typed"), i.alias("at"), keypad.sequence_in_any(w).alias("seq"), w.alias("want"))),
-    )
-    t = rows.select(*ID, "lang", F.explode(ask).alias("a")).select(*ID, "lang", "a.*")
-    # The vocabularies are bounded, so they are sent to the words: a join by keys would meet the commonest in one task.
-    table = entries(lexs).select("seq", F.transform("entries", lambda e: e["word"]).alias("held"), sources(F.col("entries")).alias("found"))
-    t = t.join(F.broadcast(table), "seq", "left")
-    group = F.when(F.col("typed"), F.struct("at", *[c.alias(k) for k, c in words.items()]))
-    known = F.when(~F.col("typed"), F.struct("at", F.coalesce(F.array_contains("held", F.col("want")), F.lit(False)).alias("held"), "want"))
-    t = t.groupBy(*ID, "lang").agg(F.array_sort(F.collect_list(group)).alias("groups"), F.array_sort(F.collect_list(known)).alias("known"))
-    return t.select(*ID, "lang", "groups", F.transform("known", lambda x: x["held"]).alias("known"), F.transform("known", lambda x: x["want"]).alias("wanted"))
-
-
-def reading(groups: Column, word) -> Column:
-    """The words of a reading; null where some group has none, or where there is no group."""
-    words = F.transform(groups, word)
-    return F.when((F.size(words) > 0) & F.forall(words, lambda w: w.isNotNull()), words)
+def own(lang: str, found: dict) -> str | None:
+    """What the language in use reads."""
+    return found[lang][1] if lang in found else None
+
+
+def pooled(prior):
+    """What all languages together read: the word that is worth most; of equals, that of the first language."""
+    return lambda lang, found: min(((-(FREQUENCY * log_probability(points) + log(prior(lang, source))), source, word) for source, (points, word) in found.items()), default=(0, "", None))[2]
+
+
+def looked_up(rows: DataFrame, lexs: DataFrame, **views) -> DataFrame:
+    """rows(ID, lang, wanted, keys) with `known`: which wanted words some source holds, and for each of views what it reads
+    from the groups of keys between zeros; null where a group has no word, or where there is no group. A view picks a word
+    of those that the sources have first: view(lang, {source: (score, word)}).
+
+    The vocabularies are bounded, so they are sent to the attempts: words that are taken apart, joined and brought together
+    again would be shuffled many times over."""
+    sent = rows.sparkSession.sparkContext.broadcast(lexs.select("seq", "lang", "score", "word", "pos").toArrow())
+    kept_, picks = [*ID, "lang", "wanted"], list(views.values())
+    words = "array<string>"
+    schema = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in kept_) + "known array<boolean>, " + ", ".join(f"{c} {words}" for c in views)
+
+    def run(batches):
+        found: dict[str, dict] = {}
+        for seq, source, points, word in zip(*[sent.value.sort_by("pos").column(c).to_pylist() for c in ("seq", "lang", "score", "word")]):
+            found.setdefault(seq, {}).setdefault(source, (points, word))
+        held = set(sent.value.column("word").to_pylist())
+        read: dict[str, dict] = {}  # of each language, what was read before
+        for b in batches:
+            known, got = [], [[] for _ in picks]
+            for lang, wanted, keys in zip(*[b.column(c).to_pylist() for c in ("lang", "wanted", "keys")]):
+                known.append([w in held for w in wanted])
+                mine = read.setdefault(lang, {})
+                each = []
+                for seq in keys.split("0"):
+                    if seq:
+                        if seq not in mine:
+                            mine[seq] = tuple(pick(lang, found[seq]) for pick in picks) if seq in found else None
+                        each.append(mine[seq])
+                spelt = bool(each) and None not in each
+                for k, out in enumerate(got):
+                    one = [e[k] for e in each] if spelt else None
+                    out.append(one if one and None not in one else None)
+                if len(mine) > MOST:
+                    mine.clear()
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept_], pa.array(known, pa.list_(pa.bool_())), *[pa.array(x, pa.list_(pa.string())) for x in got]], [*kept_, "known", *views])
+
+    return rows.select(*kept_, "keys").mapInArrow(run, schema)
 
 
 def right(wanted: Column, got: Column) -> Column:
@@ -83,9 +116,8 @@ def right(wanted: Column, got: Column) -> Column:
 def readings(rows: DataFrame, lexs: DataFrame) -> DataFrame:
     """(ID, lang, wanted, known, typed, read): what the lexicon of the language in use reads from the keys as they are, and
     what all languages together read."""
-    own = F.get(F.filter("found", lambda s: s["source"] == F.col("lang")), F.lit(0))["word"]
-    t = looked_up(rows, lexs, own=own, pooled=best(F.col("found"), trusted(F.col("lang"))))
-    return t.select(*ID, "lang", "wanted", "known", reading(F.col("groups"), lambda g: g["own"]).alias("typed"), reading(F.col("groups"), lambda g: g["pooled"]).alias("read"))
+    prior = lambda lang, source: ACTIVE if source == lang else OTHER
+    return looked_up(rows, lexs, typed=own, read=pooled(prior))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -109,6 +141,23 @@ def summary(rows: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("pooled") == 1, F.lit("ALL")).otherwise(F.col("lang")).alias("lang"), *out.columns[2:])
 
 
+def counted(rows: DataFrame, most: int) -> DataFrame:
+    """rows(kind, ID, at, example), most of which only count: of each batch of a task the first rows of each kind, with, as
+    n, how many the batch has (in the first of them, 0 in the others)."""
+    order = [*ID, "at"]
+
+    def run(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            for kind in t.column("kind").unique().to_pylist():
+                some = t.filter(pc.equal(t.column("kind"), kind))
+                first = some.take(pc.sort_indices(some, [(c, "ascending") for c in order], null_placement="at_start")[:most])
+                n = pa.array([some.num_rows] + [0] * (first.num_rows - 1), pa.int64())
+                yield from first.append_column("n", n).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", n long")
+
+
 def failures(rows: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """readings() to one row a kind: the wrong words of the pooled reading by the first kind that fits, their share, and
     the first examples by document, line, part and place. Each task keeps so many examples before they meet."""
@@ -117,10 +166,11 @@ def failures(rows: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     t = rows.select(*ID, (F.size(read) == F.size("wanted")).alias("even"), F.explode(each).alias("w")).select(*ID, "even", "w.*").where(~F.col("want").eqNullSafe(F.col("got")))
     same = keypad.sequence_in_any(F.col("got")) == keypad.sequence_in_any(F.col("want"))
     kind = F.when(~F.col("held"), KINDS[0]).when(~F.col("even"), KINDS[1]).when(same, KINDS[2]).otherwise(KINDS[3])
-    t = kept(t.select(*ID, "at", kind.alias("kind"), F.concat("want", F.lit(" > "), F.coalesce("got", F.lit("(nothing)"))).alias("example")), "failures")
+    t = counted(t.select(kind.alias("kind"), *ID, "at", F.concat("want", F.lit(" > "), F.coalesce("got", F.lit("(nothing)"))).alias("example")), examples)
+    t = kept(t, "failures")
     first = F.row_number().over(Window.partitionBy("kind").orderBy(*ID, "at"))
     shown = t.withColumn("nth", first).where(F.col("nth") <= examples).groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "example"))), lambda x: x["example"]), ", ").alias("examples"))
-    n = t.groupBy("kind").agg(F.count("*").alias("n"))
+    n = t.groupBy("kind").agg(F.sum("n").alias("n"))
     kinds = rows.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string")
     out = kinds.join(n, "kind", "left").join(shown, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("examples", F.lit("")).alias("examples"))
     return out.select("kind", "n", percent(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share"), "examples")  # four rows
@@ -129,12 +179,11 @@ def failures(rows: DataFrame, examples: int = EXAMPLES) -> DataFrame:
 def prior_sweep(rows: DataFrame, lexs: DataFrame, shares: tuple[float, ...] = SHARES, language: str = "en") -> DataFrame:
     """For each share of trust in a language, the rest going to the others: phrases and words read right, in percent.
     All shares in one pass: the best word under each stands in an array."""
-    prior = lambda p: lambda source: F.when(source == language, F.lit(p)).otherwise(F.lit(1.0 - p))
-    t = looked_up(rows, lexs, read=F.array(*[best(F.col("found"), prior(p)) for p in shares]))
-    under = lambda k: lambda g: F.get(g["read"], F.lit(k))
-    hits = [right(F.col("wanted"), reading(F.col("groups"), under(k))) for k in range(len(shares))]
-    # A reading with as many words as were meant, all in place, is the phrase; the keys' groups are the same under each share.
-    whole = [(h == F.size("wanted")) & (F.size("groups") == F.size("wanted")) for h in hits]
+    prior = lambda p: lambda lang, source: p if source == language else 1.0 - p
+    t = looked_up(rows, lexs, **{f"read{k}": pooled(prior(p)) for k, p in enumerate(shares)})
+    hits = [right(F.col("wanted"), F.col(f"read{k}")) for k in range(len(shares))]
+    # A reading with as many words as were meant, all in place, is the phrase.
+    whole = [(h == F.size("wanted")) & (F.size(f"read{k}") == F.size("wanted")) for k, h in enumerate(hits)]
     t = t.agg(F.count("*").alias("attempts"), F.sum(F.size("wanted")).alias("words"), *[F.sum(h).alias(f"w{k}") for k, h in enumerate(hits)], *[F.count_if(p).alias(f"p{k}") for k, p in enumerate(whole)])
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("share"), percent(F.col(f"p{k}"), F.col("attempts")).alias("phrases"), percent(F.col(f"w{k}"), F.col("words")).alias("right_words")) for k, p in enumerate(shares)]))
     return t.select("attempts", each.alias("x")).select("attempts", "x.*")

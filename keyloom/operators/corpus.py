@@ -21,10 +21,18 @@ def normalised(docs: DataFrame) -> DataFrame:
     return lines(docs).withColumn("line", keypad.normalise(F.col("line")))
 
 
+def worded(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, pos, words): the words of each line."""
+    return normalised(docs).select("doc_id", "lang", "pos", F.filter(F.split("line", " "), lambda w: w != "").alias("words"))
+
+
+def tokens_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, lang, pos, i, word, seq) of worded lines; seq is null where a token can't be typed."""
+    return rows.select("doc_id", "lang", "pos", F.posexplode("words").alias("i", "word")).withColumn("seq", keypad.sequence_of(F.col("word")))
+
+
 def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, pos, i, word, seq): whole tokens; seq is null where a token can't be typed."""
-    t = normalised(docs).select("doc_id", "lang", "pos", F.posexplode(F.filter(F.split("line", " "), lambda w: w != "")).alias("i", "word"))
-    return t.withColumn("seq", keypad.sequence_of(F.col("word")))
+    return tokens_of(worded(docs))
 
 
 def cut(words, n: int):

@@ -21,29 +21,39 @@ NATS = 15.0  # what the steps of a score span, as a log-probability
 LEAST, MOST = -2.0, 8.0  # bounds of the information in a pair
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, pos, i, word, seq), each line read by the alphabet of its language; seq is null where a token
-    can't be typed. A null lang is the empty one."""
+def worded(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, pos, words): the words of each line, read by the alphabet of its language. A null lang is the empty one."""
     t = lines(docs.withColumn("lang", F.coalesce("lang", F.lit(""))))
     words = F.filter(F.split(keypad.normalise_in(F.col("line"), F.col("lang")), " "), lambda w: w != "")
-    return t.select("doc_id", "lang", "pos", F.posexplode(words).alias("i", "word")).withColumn("seq", keypad.sequence_in_any(F.col("word")))
+    return t.select("doc_id", "lang", "pos", words.alias("words"))
+
+
+def tokens_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, lang, pos, i, word, seq) of worded lines; seq is null where a token can't be typed."""
+    return rows.select("doc_id", "lang", "pos", F.posexplode("words").alias("i", "word")).withColumn("seq", keypad.sequence_in_any(F.col("word")))
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    return tokens_of(worded(docs))
 
 
 @dataclass
 class Corpus:
-    """Tokens and counts of a corpus, each written once, and what is built from them."""
+    """Lines as words, and counts, each written once, and what is built from them."""
 
+    lines: DataFrame  # doc_id, lang, pos, words: a row a line, so that what stands in a line needs no shuffle
     tokens: DataFrame
     counts: DataFrame  # lang, word, n: of words that can be typed
     lexicons: DataFrame  # lang, word, n, seq, score, pos
 
 
 def build(docs: DataFrame, benchmark: DataFrame, vocabulary: int = VOCABULARY) -> Corpus:
-    toks = kept(tokens(docs), "tokens")
+    rows = kept(worded(docs), "lines")
+    toks = tokens_of(rows)
     some = [(toks, 1), (tokens(titles(benchmark)), TITLE_WEIGHT)]
     both = [t.where("seq is not null").groupBy("lang", "word").agg(F.sum(F.lit(w)).alias("n")) for t, w in some]
     counts = kept(both[0].unionByName(both[1]).groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
-    return Corpus(toks, counts, kept(lexicons(counts, vocabulary), "lexicons"))
+    return Corpus(rows, toks, counts, kept(lexicons(counts, vocabulary), "lexicons"))
 
 
 def score(n: Column, most: Column) -> Column:
@@ -103,7 +113,10 @@ def exact_readings(asked: DataFrame, lexs: DataFrame) -> DataFrame:
 
 
 def pairs(toks: DataFrame, lexs: DataFrame) -> DataFrame:
-    """(lang, prev, word, n): adjacent words of a line; a token outside the vocabulary ends a pair."""
+    """(lang, prev, word, n): adjacent words of a line, from tokens or, without a window over them, from worded lines; a token
+    outside the vocabulary ends a pair."""
+    if "words" in toks.columns:
+        return adjacent(toks, lexs.select("lang", "word"))
     # The vocabularies are bounded, so they are sent to the tokens: a join by word would meet the commonest in one task.
     seen = toks.join(F.broadcast(lexs.select("lang", "word", F.lit(True).alias("known"))), ["lang", "word"], "left")
     w = Window.partitionBy("doc_id", "pos").orderBy("i")
@@ -111,6 +124,17 @@ def pairs(toks: DataFrame, lexs: DataFrame) -> DataFrame:
     return near.where("known and before").groupBy("lang", "prev", "word").agg(F.count("*").alias("n"))
 
 
+def adjacent(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(by, prev, word, n) of rows(words): vocabulary(by, word) is bounded and sent to the pairs, so only those of known words
+    are shuffled, and each task counts its own first."""
+    by = [c for c in vocabulary.columns if c != "word"]
+    two = F.transform(F.slice("words", F.lit(2), F.size("words")), lambda w, i: F.struct(F.get("words", i).alias("prev"), w.alias("word")))
+    t = rows.select(*by, F.explode(two).alias("p")).select(*by, "p.prev", "p.word")
+    known = lambda c: F.broadcast(vocabulary.select(*by, F.col("word").alias(c)))
+    t = t.join(known("prev"), [*by, "prev"], "left_semi").join(known("word"), [*by, "word"], "left_semi")
+    return t.groupBy(*by, "prev", "word").agg(F.count("*").alias("n"))
+
+
 def pair_table(found: DataFrame, counts: DataFrame, floor: int = PAIR_FLOOR, keep: int = PAIR_KEEP) -> DataFrame:
     """(lang, prev, word, n, pmi, step, hash, place): the commonest pairs of each language, with their information in
     254 steps between the least and the greatest of the language, placed by signed hash. Fails where there is none."""

@@ -119,33 +119,33 @@ def _sources(s, d):
 
 def _pair_table(s, d):
     c = _build(s, d)
-    return languages.pair_table(languages.pairs(c.tokens, c.lexicons), c.counts).drop("score")
+    return languages.pair_table(languages.pairs(c.lines, c.lexicons), c.counts).drop("score")
 
 
 def _context(s, d):
     c = _build(s, d)
-    asked = accuracy.attempts(c.tokens).select("lang", "keys").distinct()
-    return context.read_in_context(asked, c.lexicons, languages.pair_table(languages.pairs(c.tokens, c.lexicons), c.counts))
+    asked = accuracy.attempts(c.lines).select("lang", "keys").distinct()
+    return context.read_in_context(asked, c.lexicons, languages.pair_table(languages.pairs(c.lines, c.lexicons), c.counts))
 
 
 def _accuracy(s, d):
     c = _build(s, d)
-    return accuracy.summary(accuracy.readings(accuracy.attempts(c.tokens), c.lexicons))
+    return accuracy.summary(accuracy.readings(accuracy.attempts(c.lines), c.lexicons))
 
 
 def _typed_accuracy(s, d):
     c = _build(s, d)
-    return accuracy.summary(accuracy.readings(accuracy.slipped(accuracy.attempts(c.tokens)), c.lexicons))
+    return accuracy.summary(accuracy.readings(accuracy.slipped(accuracy.attempts(c.lines)), c.lexicons))
 
 
 def _failures(s, d):
     c = _build(s, d)
-    return accuracy.failures(accuracy.readings(accuracy.slipped(accuracy.attempts(c.tokens)), c.lexicons))
+    return accuracy.failures(accuracy.readings(accuracy.slipped(accuracy.attempts(c.lines)), c.lexicons))
 
 
 def _prior_sweep(s, d):
     c = _build(s, d)
-    return accuracy.prior_sweep(accuracy.attempts(c.tokens), c.lexicons)
+    return accuracy.prior_sweep(accuracy.attempts(c.lines), c.lexicons)
 
 
 QUERIES = {
