@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.functions import keypad
-from keyloom.operators import accuracy, corpus, decode, evaluate, lexicon, presses
+from keyloom.operators import accuracy, corpus, decode, evaluate, languages, lexicon, presses
 from keyloom.sources.kept import kept
 from keyloom.sources.tables import lines, table
 from keyloom.streaming import words
@@ -117,10 +117,10 @@ def _decoded(s, d):
 
 
 def _pairs(s, d):
-    """English pairs and counts; tokens and counts are written once, for all that reads them."""
-    toks = kept(corpus.tokens(_docs(s, d)).select("doc_id", "lang", "pos", "i", "word", "seq"), "tokens")
-    counts = kept(corpus.counted(toks, table(s, d, "benchmark")).where("lang = 'en'").select("word", "n"), "counts")
-    return corpus.paired(toks, corpus.lexicon(counts)), counts
+    """English pairs and counts; the words of each line and the counts are written once, for all that reads them."""
+    rows = kept(corpus.worded(_docs(s, d)), "lines")
+    counts = kept(corpus.counted(corpus.tokens_of(rows), table(s, d, "benchmark")).where("lang = 'en'").select("word", "n"), "counts")
+    return languages.adjacent(rows, corpus.lexicon(counts).select("word")), counts
 
 
 def _pmi(s, d):
