@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .languages import ALTERNATIVES, CONTEXT, FREQUENCY, log_probability
@@ -15,46 +16,41 @@ def choices(lexs: DataFrame, most: int = ALTERNATIVES) -> DataFrame:
     return t.select("lang", "seq", "word", "j", (FREQUENCY * log_probability(F.col("score"))).alias("worth"))
 
 
-def edges(pairs: DataFrame, some: DataFrame, weight: float = CONTEXT) -> DataFrame:
-    """(lang, before, seq, edges): what the pair table knows of words of two sequences that follow each other; at most as
-    many entries as there are choices of both. Words that it doesn't hold together are worth nothing more."""
-    one = lambda word, seq, k: some.select("lang", F.col("word").alias(word), F.col("seq").alias(seq), F.col("j").alias(k))
-    t = pairs.select("lang", "prev", "word", (weight * F.col("score")).alias("score")).join(one("prev", "before", "i"), ["lang", "prev"]).join(one("word", "seq", "j"), ["lang", "word"])
-    return t.groupBy("lang", "before", "seq").agg(F.collect_list(F.struct("i", "j", "score")).alias("edges"))
+def path(groups: list[list], known: dict, lang: str) -> tuple[list[str], float]:
+    """groups of (word, worth) and scores of (lang, before, word): the words of the best path and its score; of equals the one
+    whose last word stands first, then the one before it. A pair that is not known is worth nothing more."""
+    state = [(worth, [word]) for word, worth in groups[0]]
+    for words in groups[1:]:
+        ends = []
+        for word, worth in words:
+            over = [score + (worth + known.get((lang, got[-1], word), 0.0)) for score, got in state]
+            best = max(over)
+            ends.append((best, [*state[over.index(best)][1], word]))
+        state = ends
+    best = max(score for score, _ in state)
+    return next((got, score) for score, got in state if score == best)
 
 
-def viterbi(groups: Column) -> Column:
-    """groups: array of (at, words: array of (word, worth), edges: array of (i, j, score)). The best path as (cost, path);
-    of equals the one whose last word stands first, then the one before it."""
-
-    def joined(known: Column, i: Column, j: Column) -> Column:
-        hit = F.get(F.filter(known, lambda e: (e["i"] == i) & (e["j"] == j)), F.lit(0))
-        return F.coalesce(hit["score"], F.lit(0.0))
-
-    def step(state: Column, g: Column) -> Column:
-        def ending(w: Column, j: Column) -> Column:
-            over = F.transform(state, lambda s, i: F.struct((-(s["score"] + (w["worth"] + joined(g["edges"], i, j)))).alias("cost"), i.alias("i"), s["path"].alias("path")))
-            least = F.array_min(over)
-            return F.struct((-least["cost"]).alias("score"), F.concat(least["path"], F.array(w["word"])).alias("path"))
-
-        return F.transform(g["words"], ending)
-
-    start = F.transform(groups[0]["words"], lambda w: F.struct(w["worth"].alias("score"), F.array(w["word"]).alias("path")))
-    ends = F.aggregate(F.slice(groups, F.lit(2), F.size(groups)), start, step)
-    return F.array_min(F.transform(ends, lambda s, j: F.struct((-s["score"]).alias("cost"), j.alias("j"), s["path"].alias("path"))))
-
-
-def read_in_context(asked: DataFrame, lexs: DataFrame, pairs: DataFrame) -> DataFrame:
+def read_in_context(asked: DataFrame, lexs: DataFrame, pairs: DataFrame, weight: float = CONTEXT) -> DataFrame:
     """asked(lang, keys), each once: the best reading of its groups of keys in its language, with its score; none where a
-    group spells nothing."""
-    some = choices(lexs)
-    words = some.groupBy("lang", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "word", "worth"))), lambda x: F.struct(x["word"].alias("word"), x["worth"].alias("worth"))).alias("words"))
-    seqs = F.filter(F.split("keys", "0"), lambda g: g != "")
-    t = asked.select("lang", "keys", seqs.alias("seqs")).select("lang", "keys", "seqs", F.posexplode("seqs").alias("at", "seq"))
-    t = t.withColumn("before", F.when(F.col("at") > 0, F.get("seqs", F.col("at") - 1))).drop("seqs")
-    # The vocabularies are bounded: sent to the groups, as the commonest would else meet in one task.
-    t = t.join(F.broadcast(words), ["lang", "seq"], "left").join(edges(pairs, some), ["lang", "before", "seq"], "left")
-    none = F.array().cast("array<struct<i:int,j:int,score:double>>")
-    t = t.groupBy("lang", "keys").agg(F.array_sort(F.collect_list(F.struct("at", "words", F.coalesce("edges", none).alias("edges")))).alias("groups"))
-    t = t.where(F.forall("groups", lambda g: g["words"].isNotNull())).select("lang", "keys", viterbi(F.col("groups")).alias("got"))
-    return t.select("lang", "keys", F.array_join("got.path", " ").alias("reading"), F.round(-F.col("got.cost"), 9).alias("score"))
+    group spells nothing. Vocabularies and pair tables are bounded and sent to the tasks: joined to the groups, each group
+    would carry the pairs of all its words through a shuffle."""
+    context = asked.sparkSession.sparkContext
+    sent = context.broadcast((choices(lexs).select("lang", "seq", "j", "word", "worth").toArrow(), pairs.select("lang", "prev", "word", (weight * F.col("score")).alias("score")).toArrow()))
+
+    def run(batches):
+        some, table = sent.value
+        words: dict[tuple, list] = {}
+        for lang, seq, word, worth in zip(*[some.sort_by("j").column(c).to_pylist() for c in ("lang", "seq", "word", "worth")]):
+            words.setdefault((lang, seq), []).append((word, worth))
+        known = {(lang, prev, word): score for lang, prev, word, score in zip(*[table.column(c).to_pylist() for c in ("lang", "prev", "word", "score")])}
+        for b in batches:
+            out = []
+            for lang, keys in zip(b.column("lang").to_pylist(), b.column("keys").to_pylist()):
+                groups = [words.get((lang, g)) for g in keys.split("0") if g]
+                if groups and None not in groups:
+                    got, score = path(groups, known, lang)
+                    out.append((lang, keys, " ".join(got), score))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.float64()))], ["lang", "keys", "reading", "score"])
+
+    return asked.select("lang", "keys").mapInArrow(run, "lang string, keys string, reading string, score double").withColumn("score", F.round("score", 9))

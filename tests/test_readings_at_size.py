@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import accuracy, languages
+from keyloom.operators import accuracy, context, languages
 
 ROWS = [(1, "en", "the cat sat on the mat\nthe cat 12 sat"), (2, "fr", "le chat et le chat"), (3, None, "the 7up cat"), (4, "en", "")]
 
@@ -47,3 +47,12 @@ def test_pairs_of_lines_need_no_window(spark):
     want = Counter([("en", "the", "cat")] * 2 + [("en", "cat", "sat"), ("en", "sat", "on"), ("en", "on", "the"), ("en", "the", "mat")] + [("fr", "le", "chat")] * 2)
     assert {(r.lang, r.prev, r.word): r.n for r in got.collect()} == want
     assert {(r.lang, r.prev, r.word): r.n for r in languages.pairs(languages.tokens_of(rows), lexs).collect()} == want
+
+
+def test_context_is_read_without_joining_pairs_to_groups(spark):
+    lexs = lexicon(spark, [("en", "act", 200), ("en", "cat", 200), ("en", "the", 240)]).localCheckpoint()
+    pairs = spark.createDataFrame([("en", "the", "cat", 2.0)], "lang string, prev string, word string, score double").localCheckpoint()
+    asked = spark.createDataFrame([("en", "8430228"), ("en", "228"), ("en", "9999"), ("fr", "228")], "lang string, keys string")
+    got = context.read_in_context(asked, lexs, pairs)
+    assert "Join" not in plan(got) and "Exchange" not in plan(got)
+    assert {r["keys"]: r.reading for r in got.collect()} == {"8430228": "the cat", "228": "act"}
