@@ -6,7 +6,7 @@ prefixes are numbered in sorted order, so a number stands for its keys in ties a
 
 A state has the prefix in hand, the language and (with a language model) the last word closed, its
 score, the part of it that mistakes cost, where the prefix began and the words closed so far. States
-that agree in query, prefix, language and last word have one future, so only the best is kept.
+that agree in keys, prefix, language and last word have one future, so only the best is kept.
 
 The lexicon is sent to the workers; its size is the vocabulary limit of each language, checked here.
 """
@@ -15,9 +15,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from math import log
+from uuid import uuid4
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from keyloom.functions.keypad import GRID
@@ -91,7 +92,7 @@ class Table:
         seqs = {r[0] for rows in spelt for r in rows}
         self.prefixes = [""] + sorted({q[:k] for q in seqs for k in range(1, len(q) + 1)})
         number = {p: i for i, p in enumerate(self.prefixes)}
-        self.next = np.full((len(number), 10), NO, np.int32)
+        self.next = np.full((len(number) + 1, 10), NO, np.int64)  # the last row is that of NO
         for p, i in number.items():
             if p:
                 self.next[number[p[:-1]], int(p[-1])] = i
@@ -128,10 +129,15 @@ class Table:
         return np.where((prev >= 0) & (keys[at] == asked), values[at], 0.0)
 
 
-STATE = ["query", "prefix", "language", "prev", "score", "mistakes", "begin", "past"]
+STATE = ["node", "prefix", "language", "prev", "score", "mistakes", "begin", "past"]
+PAST = ["before", "source", "prefix", "begin", "end"]
 
 
 class Beam:
+    """The asked keys of a batch, sorted, are a tree: what they begin with alike is decoded once. Only the best of each beam go
+    on, so what can't be among them is left out before states are merged: the width-th best of the likely ways on (the key as
+    pressed, a press too many, one press missing) is a bound that is reached, so nothing below it is ever taken."""
+
     def __init__(self, sources: list[Source], width: int = 32, errors: Errors = Errors(), weights: Weights = Weights()):  # noqa: B008
         self.width, self.w, self.cost = width, weights, errors.costs()
         self.table, self.sources = Table(sources), sources
@@ -139,129 +145,239 @@ class Beam:
         self.remember = weights.context != 0 and any(s.pairs for s in sources)
         self.log_prior = np.array([weights.prior * log(s.prior) for s in sources])
         # For each key: what was meant (a slip's letter), perhaps after a letter whose press is missing.
-        self.meant = {}
+        self.slip, self.lost = np.full((10, 8), -np.inf), np.full((10, 8, 8), -np.inf)
         for key in GRID:
-            if key != "0":
-                slips = [(x, 0.0 if x == key else self.cost["adjacent"]) for x in LETTER_KEYS if x == key or near(x, key)]
-                lost = [(g, x, c + self.cost["repeat" if g == x else "missed"]) for x, c in slips for g in LETTER_KEYS]
-                self.meant[key] = slips, lost
-
-    def _closed(self, s: dict, at: int, spaced: bool) -> dict:
-        """Every way to end the word in hand at press `at`, one for each source that has it."""
+            for x in LETTER_KEYS if key != "0" else "":
+                if x == key or near(x, key):
+                    c = 0.0 if x == key else self.cost["adjacent"]
+                    self.slip[int(key), int(x) - 2] = weights.presses * c
+                    for g in LETTER_KEYS:
+                        self.lost[int(key), int(x) - 2, int(g) - 2] = weights.presses * (c + self.cost["repeat" if g == x else "missed"])
+
+    def _ended(self, s: dict, rows: np.ndarray, at: int, spaced: bool, least: np.ndarray | None = None) -> dict:
+        """Every way to end the words in hand of some rows at press `at`, one for each source that has the word; none below
+        least, which stands by node."""
         parts = []
         for k in range(len(self.sources)):
-            word = self.table.word[k, s["prefix"]]
-            i = np.flatnonzero(word >= 0)
+            word = self.table.word[k, s["prefix"][rows]]
+            i, word = rows[word >= 0], word[word >= 0]
             own = self.table.language[k]
             switched = (s["language"][i] >= 0) & (own >= 0) & (s["language"][i] != own)
             gain = self.w.frequency * self.table.gain[k, s["prefix"][i]] + self.log_prior[k] + np.where(switched, self.w.switch, 0.0)
             if self.w.context:
-                gain = gain + self.w.context * self.table.pair(k, s["prev"][i], word[i])
+                gain = gain + self.w.context * self.table.pair(k, s["prev"][i], word)
             if not spaced:
                 gain = gain + self.w.space * self.cost["no_space"]
-            first = len(self.past)
-            self.past += zip(s["past"][i].tolist(), [k] * len(i), s["prefix"][i].tolist(), s["begin"][i].tolist(), [at] * len(i))
-            part = {c: v[i] for c, v in s.items()}
-            part.update(prefix=np.zeros(len(i), np.int64), language=np.full(len(i), own), score=part["score"] + gain, past=first + np.arange(len(i)))
-            part.update(prev=word[i] if self.remember else part["prev"], begin=np.full(len(i), at + spaced))
-            parts.append(part)
-        return _joined(parts) if parts else {c: v[:0] for c, v in s.items()}
-
-    def _grown(self, s: dict, path: list, cost: float) -> dict:
-        at = s["prefix"]
-        for key in path:
-            at = np.where(at >= 0, self.table.next[at, int(key)], NO)
-        i = np.flatnonzero(at >= 0)
-        out = {c: v[i] for c, v in s.items()}
-        c = self.w.presses * cost
-        out.update(prefix=at[i].astype(np.int64), score=out["score"] + c, mistakes=out["mistakes"] + c)
-        return out
-
-    def _step(self, s: dict, key: str, at: int) -> dict:
-        """The states after one more press, from the best of each beam."""
-        s = _best(s, self.width)
+            score = s["score"][i] + gain
+            ok = slice(None) if least is None else score >= least[s["node"][i]]
+            i, word, score = i[ok], word[ok], score[ok]
+            parts.append({"row": i, "source": np.full(len(i), k), "node": s["node"][i], "language": np.full(len(i), own), "prev": word if self.remember else s["prev"][i], "score": score, "mistakes": s["mistakes"][i], "begin": np.full(len(i), at + spaced)})
+        e = _joined(parts)
+        i, n = e["row"], len(e["row"])
+        e["past"] = self.noted + np.arange(n)
+        self.noted += n
+        self.past.append(dict(zip(PAST, (s["past"][i], e["source"], s["prefix"][i], s["begin"][i], np.full(n, at)))))
+        return e
+
+    def _future(self, node: np.ndarray, prefix: np.ndarray, language: np.ndarray, prev: np.ndarray) -> np.ndarray:
+        """A number for what decides all that can follow; it ascends by node, prefix, language and last word."""
+        f = (node * len(self.table.prefixes) + prefix) * (len(self.table.languages) + 1) + language + 1
+        return f * (len(self.table.names) + 1) + prev + 1 if self.remember else f
+
+    def _bound(self, node: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+        """The width-th best score of each of n nodes; below all where there are fewer."""
+        order = np.lexsort((-score, node))
+        first = np.searchsorted(node[order], np.arange(n))
+        nth = first + self.width - 1
+        some = nth < np.append(first[1:], len(node))
+        return np.where(some, score[order][np.where(some, nth, 0)], -np.inf) if len(node) else np.full(n, -np.inf)
+
+    def _step(self, s: dict, key: np.ndarray, at: int, whole: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
+        """The states after one more press, from the best of each beam: all of them at the nodes in whole, elsewhere those
+        that may be among the best. And the bound of each node."""
+        n, nodes, nxt = len(s["node"]), len(key), self.table.next
+        pressed, rows = key[s["node"]], np.arange(n)
         extra = self.w.presses * self.cost["extra"]
-        parts = [{**s, "score": s["score"] + extra, "mistakes": s["mistakes"] + extra}]
-        held = s["prefix"] > 0
-        open_, empty = ({c: v[x] for c, v in s.items()} for x in (held, ~held))
-        if key == "0":
-            parts += [{**empty, "begin": np.full(len(empty["begin"]), at + 1)}, self._closed(open_, at, True)]
-        else:
-            slips, lost = self.meant[key]
-            ended = self._closed(open_, at, False)
-            parts += [self._grown(part, [x], c) for x, c in slips for part in (s, ended)]
-            parts += [self._grown(s, [g, x], c) for g, x, c in lost]
-        return _merged(_joined(parts))
+        parts = [(rows, s["prefix"], np.full(n, extra), 0)]  # whose state goes on, with which prefix, at what cost, offered when
+        zero, held = pressed == 0, s["prefix"] > 0
+        spaced = self._ended(s, np.flatnonzero(zero & held), at, True)
+        idle = np.flatnonzero(zero & ~held)
+        parts.append((idle, s["prefix"][idle], np.zeros(len(idle)), 1))
+        parts.append((n + np.arange(len(spaced["row"])), np.zeros(len(spaced["row"]), np.int64), np.zeros(len(spaced["row"])), 2))
+
+        least = self._bound(s["node"], s["score"] + extra, nodes)
+        if whole is not None:
+            least[whole] = -np.inf
+        r = np.flatnonzero(pressed > 0)
+        key_r, node_r, score_r = pressed[r], s["node"][r], s["score"][r]
+        child = nxt[s["prefix"][r], 2:]
+        sure = np.flatnonzero(key_r > 1)
+        right = child[sure, key_r[sure] - 2]
+        i = np.flatnonzero(right >= 0)
+        parts.append((r[sure[i]], right[i], np.zeros(len(i)), 1 + 2 * (key_r[sure[i]] - 2)))
+        after, cost = nxt[child[sure], key_r[sure][:, None]], self.lost[key_r[sure], key_r[sure] - 2]
+        i, g = np.nonzero((after >= 0) & (score_r[sure][:, None] + cost >= least[node_r[sure]][:, None]))
+        parts.append((r[sure[i]], after[i, g], cost[i, g], 17 + 8 * (key_r[sure[i]] - 2) + g))
+
+        src, prefix, cost, part = _columns(parts)
+        from_ = _joined([{c: s[c] for c in ("node", "language", "prev", "score", "mistakes", "begin", "past")}, {c: spaced[c] for c in ("node", "language", "prev", "score", "mistakes", "begin", "past")}])
+        score = from_["score"][src] + cost
+        key_f = self._future(from_["node"][src], prefix, from_["language"][src], from_["prev"][src])
+        order = np.lexsort((-score, key_f))
+        order = order[_first(key_f[order])]
+        least = np.maximum(least, self._bound(from_["node"][src[order]], score[order], nodes))
+        if whole is not None:
+            least[whole] = -np.inf
+        i = np.flatnonzero(score >= least[from_["node"][src]])
+        parts = [(src[i], prefix[i], cost[i], part[i])]
+
+        # The unlikely ways: a slip, a slip after a missing press, a word that ends without a space.
+        low = least[node_r]
+        cost = self.slip[key_r]
+        i, x = np.nonzero((child >= 0) & (score_r[:, None] + cost >= low[:, None]) & (np.arange(2, 10) != key_r[:, None]) & (cost > -np.inf))
+        parts.append((r[i], child[i, x], cost[i, x], 1 + 2 * x))
+        most = self.w.presses * (self.cost["adjacent"] + max(self.cost["repeat"], self.cost["missed"]))
+        some = np.flatnonzero(score_r + most >= low)
+        cost = self.lost[key_r[some]]
+        i, x, g = np.nonzero((score_r[some][:, None, None] + cost >= low[some][:, None, None]) & (np.arange(2, 10)[:, None] != key_r[some][:, None, None]) & (cost > -np.inf))
+        after = nxt[child[some[i], g], x + 2]
+        i, x, g, after = i[after >= 0], x[after >= 0], g[after >= 0], after[after >= 0]
+        parts.append((r[some[i]], after, cost[i, x, g], 17 + 8 * x + g))
+        ended = self._ended(s, r[s["prefix"][r] > 0], at, False, least)
+        cost = self.slip[pressed[ended["row"]]]
+        i, x = np.nonzero((nxt[0, 2:] >= 0) & (ended["score"][:, None] + cost >= least[ended["node"]][:, None]) & (cost > -np.inf))
+        parts.append((n + len(spaced["row"]) + i, nxt[0, x + 2], cost[i, x], 2 + 2 * x))
+
+        src, prefix, cost, part = _columns(parts)
+        from_ = _joined([from_, {c: ended[c] for c in from_}])
+        source = np.concatenate([np.zeros(n, np.int64), spaced["source"], ended["source"]])
+        row = np.concatenate([rows, spaced["row"], ended["row"]])
+        score = from_["score"][src] + cost
+        key_f = self._future(from_["node"][src], prefix, from_["language"][src], from_["prev"][src])
+        offered = (part * len(self.sources) + source[src]) * max(n, 1) + row[src]
+        order = np.lexsort((offered, -score, key_f))  # of states with one future the best; of equal scores the first offered
+        order = order[_first(key_f[order])]
+        out = {c: v[src[order]] for c, v in from_.items()}
+        idle = (part[order] == 1) & (key[out["node"]] == 0)
+        out.update(prefix=prefix[order].astype(np.int64), score=score[order], mistakes=out["mistakes"] + cost[order], begin=np.where(idle, at + 1, out["begin"]))
+        return out, least
+
+    def _best(self, s: dict) -> dict:
+        """The best states of each node; s stands by node, and of equal scores the least prefix, language and last word go first."""
+        order = np.lexsort((-s["score"], s["node"]))
+        q = s["node"][order]
+        return _taken(s, order[np.arange(len(q)) - np.searchsorted(q, q) < self.width])
+
+    def found(self, asked: list[str], limit: int = 4) -> dict:
+        """The best readings of the asked key sequences, which are sorted, distinct and not empty: which sequence, score and,
+        as lists of arrays from the last word to the first, the source, prefix, begin and end of each word (source NO: none)."""
+        size = np.array([len(k) for k in asked], np.int64)
+        longest = int(size.max())
+        keys = np.full((len(asked), longest), NO, np.int64)
+        keys[np.arange(longest) < size[:, None]] = np.frombuffer("".join(asked).encode("utf-32-le"), "<u4").astype(np.int64) - ord("0")
+        if keys.max() > 9 or keys.min() < NO:
+            raise KeyError("a press is none of the keys 0 to 9")
+        alike = np.append(0, (keys[1:] != keys[:-1]).argmax(1))  # keys that each begins with like the one before
+        self.past, self.noted, out = [], 0, []
+        s = dict(zip(STATE, (np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, NO), np.full(1, NO), np.zeros(1), np.zeros(1), np.zeros(1, np.int64), np.full(1, NO))))
+        at_node = np.zeros(len(asked), np.int64)
+        for at in range(longest):
+            active = np.flatnonzero(size > at)
+            new = alike[active] <= at
+            heads = active[new]
+            s = self._best(s)
+            first, last = (np.searchsorted(s["node"], at_node[heads], side) for side in ("left", "right"))
+            many = last - first
+            s = _taken(s, np.repeat(first - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum()))
+            s["node"] = np.repeat(np.arange(len(heads)), many)
+            at_node[active] = np.cumsum(new) - 1
+            before, key = s, keys[heads, at]
+            s, least = self._step(before, key, at)
+            done = np.flatnonzero(size == at + 1)
+            if len(done):
+                asks = np.full(len(heads), NO)
+                asks[at_node[done]] = done
+                ends = self._possible(_taken(s, asks[s["node"]] >= 0), at + 1)
+                # Where mistakes rule out so many that states below the bound may count, all of them are needed.
+                short = (asks >= 0) & (least > -np.inf) & (np.bincount(ends["node"], minlength=len(heads)) < self.width)
+                if short.any():
+                    rest = self._step(_taken(before, short[before["node"]]), key, at, short)[0]
+                    ends = _joined([_taken(ends, ~short[ends["node"]]), self._possible(rest, at + 1)])
+                out.append(self._finish(ends, asks, at + 1, limit))
+        got = _joined(out)
+        past = _joined(self.past)
+        at, got["words"] = got.pop("past"), []
+        while (at >= 0).any():
+            got["words"].append({c: np.where(at >= 0, past[c][at], NO) for c in PAST[1:]})
+            at = np.where(at >= 0, past["before"][at], NO)
+        return got
+
+    def _possible(self, s: dict, size: int) -> dict:
+        return _taken(s, s["mistakes"] >= -(7.0 + 1.2 * size))
+
+    def _finish(self, s: dict, asks: np.ndarray, size: int, limit: int) -> dict:
+        """The readings of the nodes where keys end: of the sources that close a state, the best; as many as asked for, and
+        those that are as good as the last."""
+        s = self._best(s)
+        ended = np.flatnonzero((s["prefix"] == 0) & (s["past"] >= 0))
+        closed = self._ended(s, np.flatnonzero(s["prefix"] > 0), size, True)
+        t = {"place": np.append(ended, closed["row"]), "score": np.append(s["score"][ended], closed["score"]), "past": np.append(s["past"][ended], closed["past"])}
+        order = np.lexsort((-t["score"], t["place"]))
+        t = _taken(t, order[_first(t["place"][order])])
+        t["asked"] = asks[s["node"][t["place"]]]
+        order = np.lexsort((t["place"], -t["score"], t["asked"]))
+        t = _taken(t, order)
+        nth = np.searchsorted(t["asked"], t["asked"]) + limit - 1
+        nth = np.minimum(nth, np.searchsorted(t["asked"], t["asked"], "right") - 1)
+        return _taken(t, t["score"] >= t["score"][nth])
+
+    def rows(self, asked: list[str], limit: int = 4) -> tuple[np.ndarray, list[float], list[str], dict[str, np.ndarray]]:
+        """The best readings in order of what is asked and of rank: the place in asked, the score and the text of each, and their
+        words one after another: reading, source, prefix, begin and end."""
+        got = self.found(asked, limit)
+        n, deep = len(got["asked"]), len(got["words"])
+        words = {c: np.stack([w[c] for w in got["words"][::-1]], 1) if deep else np.zeros((n, 0), np.int64) for c in PAST[1:]}
+        spelt = self.table.word[words["source"], words["prefix"]] if deep else words["source"]
+        text = [" ".join([self.table.names[w] for w in row if w >= 0]) for row in np.where(words["source"] >= 0, spelt, NO).tolist()]
+        place, scores, which = got["place"].tolist(), got["score"].tolist(), got["asked"].tolist()
+        order = np.array(sorted(range(n), key=lambda i: (which[i], -scores[i], text[i], place[i])), np.int64)
+        which = got["asked"][order]
+        order = order[np.arange(n) - np.searchsorted(which, which) < limit]
+        words = {c: v[order] for c, v in words.items()}
+        reading, at = np.nonzero(words["source"] >= 0)
+        return got["asked"][order], [scores[i] for i in order.tolist()], [text[i] for i in order.tolist()], {"reading": reading, **{c: v[reading, at] for c, v in words.items()}}
 
     def readings(self, asked: list[str], limit: int = 4) -> list[list[Reading]]:
         """The best readings of each of the asked key sequences."""
-        out: list[list[Reading]] = [[] for _ in asked]
-        if limit <= 0 or not self.sources:
-            return out
-        self.past: list = []
-        start = [i for i, keys in enumerate(asked) if keys]
-        n = len(start)
-        s = dict(zip(STATE, (np.array(start, np.int64), np.zeros(n, np.int64), np.full(n, NO), np.full(n, NO), np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.full(n, NO))))
-        size = np.array([len(k) for k in asked], np.int64)
-        for at in range(int(size.max(initial=0))):
-            keys = np.array([k[at] if at < len(k) else "" for k in asked])
-            parts = []
-            for key in np.unique(keys[s["query"]]).tolist():
-                mine = keys[s["query"]] == key
-                parts.append(self._step({c: v[mine] for c, v in s.items()}, key, at))
-            s = _joined(parts)
-            done = size[s["query"]] == at + 1
-            if done.any():
-                self._finish({c: v[done] for c, v in s.items()}, size, limit, out)
-                s = {c: v[~done] for c, v in s.items()}
-            if not len(s["query"]):
-                break
-        return out
-
-    def _finish(self, s: dict, size: np.ndarray, limit: int, out: list):
-        s = {c: v[s["mistakes"] >= -(7.0 + 1.2 * size[s["query"]])] for c, v in s.items()}
-        s = _best(s, self.width)
-        s["place"] = np.arange(len(s["query"]))
-        open_, ended = ({c: v[x] for c, v in s.items()} for x in (s["prefix"] > 0, s["prefix"] == 0))
-        parts = [ended]
-        for length in np.unique(size[open_["query"]]).tolist():
-            parts.append(self._closed({c: v[size[open_["query"]] == length] for c, v in open_.items()}, length, True))
-        s = _joined(parts)
-        s = {c: v[s["past"] >= 0] for c, v in s.items()}
-        order = np.lexsort((-s["score"], s["place"]))  # of the sources that close a state, the best
-        order = order[np.concatenate([[True], s["place"][order][1:] != s["place"][order][:-1]])] if len(order) else order
-        found: dict[int, list] = {}
-        for i in order.tolist():
-            words, past = [], int(s["past"][i])
-            while past >= 0:
-                past, k, prefix, begin, end = self.past[past]
-                others = self.table.spelling[k][prefix]
-                words.append((others[0], self.sources[k].language, begin, end, others[1:]))
-            words.reverse()
-            found.setdefault(int(s["query"][i]), []).append(Reading(" ".join(w[0] for w in words), float(s["score"][i]), words))
-        for q, got in found.items():
-            out[q] = sorted(got, key=lambda r: (-r.score, r.text))[:limit]
+        some = sorted({k for k in asked if k})
+        if limit <= 0 or not self.sources or not some:
+            return [[] for _ in asked]
+        which, scores, texts, words = self.rows(some, limit)
+        each: list[list] = [[] for _ in texts]
+        for i, k, prefix, begin, end in zip(*[words[c].tolist() for c in ("reading", *PAST[1:])]):
+            others = self.table.spelling[k][prefix]
+            each[i].append((others[0], self.sources[k].language, begin, end, others[1:]))
+        out: dict[str, list[Reading]] = {}
+        for q, score, text, w in zip(which.tolist(), scores, texts, each):
+            out.setdefault(some[q], []).append(Reading(text, score, w))
+        return [list(out.get(k, [])) for k in asked]
 
 
 def _joined(parts: list[dict]) -> dict:
     return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
-def _best(s: dict, width: int) -> dict:
-    """The best states of each query; of equal scores the least prefix, language and last word."""
-    order = np.lexsort((s["prev"], s["language"], s["prefix"], -s["score"], s["query"]))
-    q = s["query"][order]
-    order = order[np.arange(len(q)) - np.searchsorted(q, q) < width]
-    return {c: v[order] for c, v in s.items()}
+def _taken(s: dict, rows: np.ndarray) -> dict:
+    return {c: v[rows] for c, v in s.items()}
+
+
+def _columns(parts: list[tuple]) -> list[np.ndarray]:
+    return [np.concatenate([np.broadcast_to(p[c], p[0].shape) for p in parts]) for c in range(4)]
 
 
-def _merged(s: dict) -> dict:
-    """Of states with one future the best; of equal scores the first offered."""
-    key = np.lexsort((np.arange(len(s["query"])), -s["score"], s["prev"], s["language"], s["prefix"], s["query"]))
-    new = np.ones(len(key), bool)
-    if len(key) > 1:
-        new[1:] = np.any([s[c][key][1:] != s[c][key][:-1] for c in ("query", "prefix", "language", "prev")], axis=0)
-    return {c: v[key[new]] for c, v in s.items()}
+def _first(sorted_: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    return np.append(True, sorted_[1:] != sorted_[:-1])[: len(sorted_)]
 
 
 def assembled(lexicons: dict, learnt: dict | None = None) -> list[Source]:
@@ -287,17 +403,46 @@ def assembled(lexicons: dict, learnt: dict | None = None) -> list[Source]:
 SCHEMA = "keys string, rank int, reading string, score double, mixed boolean, words array<struct<word:string,language:string,begin:int,end:int,alternatives:array<string>>>"
 
 
-def decode(asked: DataFrame, lexicons: dict, limit: int = 4, width: int = 32, weights: Weights = Weights(), together: int = 128) -> DataFrame:  # noqa: B008
+BEAMS: dict = {}  # the beam that a worker holds
+
+
+def decode(asked: DataFrame, lexicons: dict, limit: int = 4, width: int = 32, weights: Weights = Weights(), together: int = 1024) -> DataFrame:  # noqa: B008
     """asked(keys); lexicons: language to (prior, lexicon[, pairs]). Readings by rank from 1; a query that
-    reads as nothing has no row. `together` queries are decoded at a time."""
-    sent = asked.sparkSession.sparkContext.broadcast(assembled(lexicons))
-
-    def run(frames):
-        beam = Beam(sent.value, width, weights=weights)
-        for f in frames:
-            for i in range(0, len(f), together):
-                keys = f["keys"].iloc[i : i + together].tolist()
-                out = [(k, n, r.text, round(r.score, 9), r.mixed, r.words) for k, got in zip(keys, beam.readings(keys, limit)) for n, r in enumerate(got, 1)]
-                yield pd.DataFrame(out, columns=["keys", "rank", "reading", "score", "mixed", "words"])
-
-    return asked.select("keys").mapInPandas(run, SCHEMA)
+    reads as nothing has no row. `together` queries are decoded at a time; the fewer keys they differ in, the faster."""
+    sent, name = asked.sparkSession.sparkContext.broadcast(assembled(lexicons)), uuid4().hex
+
+    def run(batches):
+        if name not in BEAMS:
+            BEAMS.clear()
+            BEAMS[name] = Beam(sent.value, width, weights=weights)
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            for i in range(0, len(keys), together):
+                yield tabled(BEAMS[name], keys[i : i + together], limit)
+
+    return asked.select("keys").mapInArrow(run, SCHEMA)
+
+
+def tabled(beam: Beam, asked: list, limit: int) -> pa.RecordBatch:
+    """The readings of a batch as rows, in order of the keys; keys that are asked twice have their rows twice."""
+    some = sorted({k for k in asked if k})
+    which, scores, texts, words = beam.rows(some, limit) if some and beam.sources and limit > 0 else (np.zeros(0, np.int64), [], [], {c: np.zeros(0, np.int64) for c in ("reading", *PAST[1:])})
+    reading, n = words["reading"], len(texts)
+    ints = lambda x: pa.array(x, pa.int32())
+    # The words of each source and prefix that occurs: the first, then the others.
+    pairs, at = np.unique(words["source"] * len(beam.table.prefixes) + words["prefix"], return_inverse=True)
+    spelt = [beam.table.spelling[p // len(beam.table.prefixes)][p % len(beam.table.prefixes)] for p in pairs.tolist()]
+    languages = pa.array([s.language for s in beam.sources], pa.string())
+    fields = [pa.array([w[0] for w in spelt], pa.string()).take(pa.array(at)), languages.take(pa.array(words["source"])), ints(words["begin"]), ints(words["end"]), pa.array([w[1:] for w in spelt], pa.list_(pa.string())).take(pa.array(at))]
+    each = pa.StructArray.from_arrays(fields, ["word", "language", "begin", "end", "alternatives"])
+    lists = pa.ListArray.from_arrays(ints(np.searchsorted(reading, np.arange(n + 1))), each)
+    own = beam.table.language[words["source"]] if n else reading
+    low, high = np.full(n, len(beam.table.languages)), np.full(n, NO)
+    np.minimum.at(low, reading[own >= 0], own[own >= 0])
+    np.maximum.at(high, reading[own >= 0], own[own >= 0])
+    out = pa.RecordBatch.from_arrays([pa.array(some, pa.string()).take(pa.array(which)), ints(np.arange(n) - np.searchsorted(which, which) + 1), pa.array(texts, pa.string()), pa.array([round(x, 9) for x in scores], pa.float64()), pa.array(low < high), lists], ["keys", "rank", "reading", "score", "mixed", "words"])
+    if len(some) == sum(1 for k in asked if k):
+        return out
+    number = {k: i for i, k in enumerate(some)}
+    first = np.searchsorted(which, np.arange(len(some) + 1))
+    return out.take(pa.array([j for k in asked if k for j in range(first[number[k]], first[number[k] + 1])], pa.int64()))

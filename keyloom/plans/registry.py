@@ -110,10 +110,10 @@ def _asked_phrases(s, d, n=4):
     return c.select(keypad.phrase_sequence(F.array_join(F.slice("said", F.col("at"), n), " ")).alias("keys")).distinct()
 
 
-def _decoded(s, d):
-    """All words of every user's turn, decoded; the phrases are dealt out evenly to the tasks."""
-    asked = _asked_phrases(s, d)
-    return decode.decode(asked.repartition(s.sparkContext.defaultParallelism * 4, "keys"), {"en": (1.0, _lex(s, d))})
+def _decoded(s, d, limit=4):
+    """All words of every user's turn, decoded; the phrases are dealt out evenly to the tasks, those that begin alike together."""
+    asked = _asked_phrases(s, d).repartitionByRange(s.sparkContext.defaultParallelism * 4, "keys").sortWithinPartitions("keys")
+    return decode.decode(asked, {"en": (1.0, _lex(s, d))}, limit)
 
 
 def _pairs(s, d):
