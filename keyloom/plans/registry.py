@@ -173,7 +173,7 @@ QUERIES = {
     "o58_learn": (lambda s, d: words.folded(_spoken(s, d), CAPACITY), f"""with w as (select conv_id user_id, unnest(list_filter(string_split({NORM.format("replace(text, chr(10), ' ')")}, ' '), lambda w: w <> '')) word from conversations)
         select user_id, lower(word) word, cast(least(count(*), 1000) as int) uses from w where {SEQ.format('word')} is not null group by all"""),
     "o42_decode": (lambda s, d: _decoded(s, d).select("keys", "rank", "reading", "score", "mixed"), None),
-    "o42_words": (lambda s, d: _decoded(s, d).where("rank = 1").select("keys", F.posexplode("words").alias("i", "w")).select("keys", "i", "w.word", "w.language", "w.begin", "w.end", F.array_join("w.alternatives", " ").alias("alternatives")), None),
+    "o42_words": (lambda s, d: _decoded(s, d, 1).select("keys", F.posexplode("words").alias("i", "w")).select("keys", "i", "w.word", "w.language", "w.begin", "w.end", F.array_join("w.alternatives", " ").alias("alternatives")), None),
     "o46_exact_reading": (lambda s, d: lexicon.exact_reading(_typed(s, d).select(F.col("wanted").alias("keys")).distinct(), _lex(s, d)), f"""{LEX}, {FRAGMENTS}, best as (select seq, arg_min(word, pos) word from lex group by seq), g as (select keys, unnest(list_filter(string_split(keys, '0'), lambda x: x <> '')) seq, generate_subscripts(list_filter(string_split(keys, '0'), lambda x: x <> ''), 1) i from ask)
         select keys, case when count(best.word) = count(*) then string_agg(best.word, ' ' order by i) end reading from g left join best on g.seq = best.seq group by keys"""),
     "o50_multitap": (lambda s, d: presses.multitap(presses.presses(table(s, d, "events")), 30 * DAY), f"""with {PRESSES}, f as (select *, case when digit = lag(digit) over w and ms - lag(ms) over w <= {30 * DAY} then 0 else 1 end new from presses window w as (partition by user_id order by ms, event_id)),
