@@ -9,7 +9,7 @@ from keyloom.operators import presses as batch
 from keyloom.sources.tables import table
 from keyloom.streaming import presses, records, runs, words
 
-from .more import EVENTS, events_of
+from .more import EVENTS, turns_of
 from .registry import CAPACITY, KEYMAP, PRESSES
 
 HOUR = 3_600_000
@@ -31,8 +31,8 @@ def _debounced(s, d):
 
 
 def _learnt(s, d):
-    said = users.learnable(events_of(runs.read(s, f"{d}/conversations.parquet")))
-    changes = runs.drained(words.streamed(said, CAPACITY), runs.place(s, "learnt"))
+    said = users.learnable(turns_of(runs.read(s, f"{d}/conversations.parquet")))
+    changes = runs.drained(words.learnt(said, CAPACITY), runs.place(s, "learnt"))
     return words.latest(changes).withColumn("uses", F.col("uses").cast("long"))
 
 

@@ -17,7 +17,7 @@ from keyloom.functions import keypad
 
 CAPACITY, MOST_USES = 4000, 1000
 STORE = "user_id long, word string, uses int"
-CHANGES = "user_id long, word string, uses int, at long"
+CHANGES = "user_id long, word array<string>, uses array<int>, at array<long>"
 
 
 class Last(str):
@@ -32,7 +32,7 @@ class Last(str):
 class Store:
     """Uses of the words of one user. Over capacity the least used word goes; of equals, the greatest: it stands on top of
     the heap of the least number of uses, so no event scans the store. What stands in a heap may be out of date and is
-    passed over then. A store may lie elsewhere (read, everything): then only words that are asked for are read, and all
+    passed over then. A store may lie elsewhere (read, everything): then only words that are asked for are taken, and all
     of them once something has to go."""
 
     def __init__(self, capacity: int = CAPACITY, size: int = 0, read: Callable[[str], int] | None = None, everything: Callable[[], Iterable[tuple[str, int]]] = tuple):
@@ -140,48 +140,53 @@ def folded(events: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 class Learner(StatefulProcessor):
-    """One user's store as map state. A batch reads the words it names, or all of them once a word has to go, and writes and
-    emits those that changed: uses is 0 where a word has gone."""
+    """One user's store as one value of state, as it is bounded by the capacity: a batch reads it once and writes it once,
+    however many words it names, since each call to the state costs more than many words. It takes rows of many events and emits
+    one, the words that changed, for the same reason: uses is 0 where a word has gone."""
 
     def __init__(self, capacity: int = CAPACITY):
         self.capacity = capacity
 
     def init(self, handle) -> None:
-        self.words = handle.getMapState("words", "word string", "uses int")
-        self.size = handle.getValueState("size", "size int")
+        self.state = handle.getValueState("store", "words array<string>, uses array<int>")
 
     def handleInputRows(self, key, rows, timerValues):
         # Twelve bytes an event and each word once, to put the events of the batch in order.
         at, named, number = array("q"), array("q"), {}
         for r in rows:
-            at.append(r.at)
-            named.append(2 * number.setdefault(r.word, len(number)) + r.forget)
+            at.extend(r.at)
+            named.extend(2 * number.setdefault(word, len(number)) + forget for word, forget in zip(r.word, r.forget))
         words = list(number)
         place = np.argsort(np.argsort(np.array(words)))
         code = np.frombuffer(named, np.int64)
         order = np.lexsort((place[code >> 1], code & 1, np.frombuffer(at, np.int64)))
 
-        def read(word):
-            found = self.words.getValue((word,)) if self.words.containsKey((word,)) else None
-            return found[0] if found else 0
-
-        store = Store(self.capacity, self.size.get()[0] if self.size.exists() else 0, read, lambda: [(w, n) for (w,), (n,) in self.words.iterator()] if self.words.exists() else [])
+        held = self.state.get()
+        held = dict(zip(*held)) if held else {}
+        store = Store(self.capacity, len(held), lambda word: held.get(word, 0), held.items)
         for k in order.tolist():
             word = words[code[k] >> 1]
             store.forget(word, at[k]) if code[k] & 1 else store.learn(word, at[k])
-        self.size.update((store.size,))
-        for word, when in store.touched.items():
-            n = store.uses[word]
-            if n:
-                self.words.updateValue((word,), (n,))
-            elif self.words.containsKey((word,)):
-                self.words.removeKey((word,))
-            yield Row(user_id=key[0], word=word, uses=n, at=when)
+        for word in store.touched:
+            held[word] = store.uses[word]
+        held = {word: n for word, n in held.items() if n}
+        self.state.update((list(held), list(held.values())))
+        if store.touched:
+            yield Row(user_id=key[0], word=list(store.touched), uses=[store.uses[word] for word in store.touched], at=list(store.touched.values()))
 
 
 def streamed(events: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The same as a stream: after each batch, the words whose uses changed. Rows of a later batch count as later."""
-    return spelled(events).groupBy("user_id").transformWithState(Learner(capacity), CHANGES, "append", "none")
+    return learnt(spelled(events).select("user_id", F.array(F.struct("at", "word", "forget")).alias("events")), capacity)
+
+
+def learnt(turns: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """streamed() for rows(user_id, events) that each hold an array of events(at, word, forget)."""
+    e = F.transform("events", lambda x: F.struct(x["at"].alias("at"), F.lower(x["word"]).alias("word"), x["forget"].alias("forget")))
+    e = F.filter(e, lambda x: F.coalesce(x["word"] != "", F.lit(False)) & keypad.typeable(x["word"]))
+    t = turns.select("user_id", F.explode(F.array(e)).alias("e")).where("size(e) > 0").select("user_id", *[F.col("e")[c].alias(c) for c in ("at", "word", "forget")])
+    t = t.groupBy("user_id").transformWithState(Learner(capacity), CHANGES, "append", "none")
+    return t.select("user_id", F.explode(F.arrays_zip("word", "uses", "at")).alias("x")).select("user_id", "x.*")
 
 
 def latest(changes: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 import time
 
+from pyspark.sql import Row
+
 from keyloom.operators import users
 from keyloom.streaming import runs, words
 
@@ -85,3 +87,51 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     assert got == {(u, w): n for u in (1, 2, 3) for w, n in plain([e for e in rows if e[0] == u], 5).items()}
     # A batch emits a word once at most, and only words that it changed.
     assert changes.count() < 300 and changes.where("uses = 0").count() > 0
+
+
+class Counted:
+    """State that counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.held = 0, {}
+
+    def _of(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("get", "getValue"):
+                return self.held.get(args)
+            if name in ("exists", "containsKey"):
+                return args in self.held
+            if name.startswith("update"):
+                self.held[args[:-1]] = args[-1]
+
+        return call
+
+    def __getattr__(self, name):
+        return self._of(name)
+
+
+def test_a_batch_reads_and_writes_a_store_once():
+    states = []
+    made = lambda *_: states.append(Counted()) or states[-1]
+    learner = words.Learner(100)
+    learner.init(type("Handle", (), {"getMapState": made, "getValueState": made}))
+    out = {}
+    for batch in range(3):
+        rows = [Row(user_id=1, at=[1000 * batch + k], word=[f"w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}"], forget=[False]) for k in range(300)]
+        before = sum(s.calls for s in states)
+        for r in learner.handleInputRows((1,), iter(rows), None):
+            out |= dict(zip(r.word, r.uses))
+        assert sum(s.calls for s in states) - before <= 4
+    assert len(out) == 100 and set(out.values()) == {9}
+
+
+def test_rows_of_many_events_are_as_good_as_rows_of_one(spark, tmp_path):
+    rows = [*events(8, 200), (1, 500, "don't", None), (1, 501, "", None), (2, 502, None, None)]
+    spark.createDataFrame(rows, EVENT).createOrReplaceTempView("learnt_rows")
+    folder = str(tmp_path / "turns")
+    turns = spark.sql("select user_id, collect_list(struct(at, word, coalesce(forget, false) forget)) events from learnt_rows group by user_id, at div 7")
+    turns.coalesce(1).write.parquet(folder)
+    changes = runs.drained(words.learnt(runs.read(spark, folder), 5), f"file://{tmp_path}/job")
+    got = {(r.user_id, r.word): r.uses for r in words.latest(changes).collect()}
+    assert got == {(u, w): n for u in (1, 2, 3) for w, n in plain([e for e in rows[:200] if e[0] == u], 5).items()}
