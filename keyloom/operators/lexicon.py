@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,20 @@ def first_words(lex: DataFrame) -> DataFrame:
 
 
 def exact_reading(asked: DataFrame, lex: DataFrame) -> DataFrame:
-    """asked(keys): best exact word per group between zeros; null where a group has none."""
-    parts = asked.select("keys", F.posexplode(F.filter(F.split("keys", "0"), lambda g: g != "")).alias("i", "seq"))
-    got = parts.join(first_words(lex), "seq", "left").groupBy("keys").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("w"))
-    return got.select("keys", F.when(F.forall("w", lambda x: x["word"].isNotNull()), F.array_join(F.transform("w", lambda x: x["word"]), " ")).alias("reading"))
+    """asked(keys): best exact word per group between zeros; null where a group has none. Keys without groups have no row.
+
+    The vocabulary is bounded, so it is sent to the keys, each of which stays in one row: groups taken apart would meet the
+    words by a join, the commonest in one task, and would be shuffled to come together again."""
+    sent = asked.sparkSession.sparkContext.broadcast(first_words(lex).select("seq", "word").toArrow())
+
+    def run(batches):
+        word = dict(zip(*[sent.value.column(c).to_pylist() for c in ("seq", "word")]))
+        for b in batches:
+            some, out = [], []
+            for keys in b.column(0).to_pylist():
+                if got := [word.get(g) for g in (keys or "").split("0") if g]:
+                    some.append(keys)
+                    out.append(None if None in got else " ".join(got))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(out, pa.string())], ["keys", "reading"])
+
+    return asked.select("keys").mapInArrow(run, "keys string, reading string")
